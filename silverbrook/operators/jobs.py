@@ -70,7 +70,7 @@ def with_duration(datasets: DataFrame, now: Column) -> DataFrame:
                                .when(F.col("status") == "processing", elapsed))
 
 
-def latest_status(events: DataFrame, key: str = "dataset_id", order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
+def latest_status(events: DataFrame, key: str = "dataset_id", order: tuple[str, ...] = ("happened_at", "seq")) -> DataFrame:
     """Current state of every dataset: its last event, picked while aggregating."""
     rest = [c for c in events.columns if c != key and c not in order]
     last = F.max(F.struct(*order, *rest)).alias("last")
@@ -78,7 +78,7 @@ def latest_status(events: DataFrame, key: str = "dataset_id", order: tuple[str,
 
 
 def illegal_transitions(events: DataFrame, chunk: Column, key: str = "dataset_id",
-                        order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
+                        order: tuple[str, ...] = ("happened_at", "seq")) -> DataFrame:
     """Events whose status may not follow the one before it."""
     allowed = F.create_map(*[
         x for old, new in TRANSITIONS.items() for x in (F.lit(old), F.array(*[F.lit(n) for n in new]))

@@ -8,10 +8,12 @@ an older version selects on that log.
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +24,7 @@ FOLDERS = {"silver": "tables", "gold": "gold"}
 COMMIT_SCHEMA = (
     T.StructType().add("tenant_id", "string").add("layer", "string").add("table_name", "string")
     .add("batch_id", "string").add("snapshot_id", "long").add("replaces", "boolean").add("row_count", "long")
-    .add("duration_ms", "long").add("table_schema", "string").add("committed_at", "timestamp")
+    .add("total_rows", "long").add("duration_ms", "long").add("table_schema", "string").add("committed_at", "timestamp")
 )
 
 
@@ -37,6 +39,10 @@ class CommitResult:
     duration_ms: int
 
 
+class BatchRejected(Exception):
+    """The audit of a written batch turned it down; it stays invisible."""
+
+
 class Lake:
     """Tables of all tenants below one storage root."""
 
@@ -69,13 +75,20 @@ class Lake:
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
         return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True).json(folder)
 
-    def _latest(self, tenant: str, table: str, layer: str):
-        return self.history(tenant, table, layer).orderBy(F.desc("snapshot_id")).first()
+    def _state(self, tenant: str, table: str, layer: str, batch_id: str | None = None):
+        """Head of the log in one small aggregate: last snapshot, schema, total, given batch."""
+        log = self.history(tenant, table, layer)
+        head = F.max_by(F.struct("table_schema", "total_rows"), "snapshot_id")
+        mine = F.max(F.when(F.col("batch_id") == batch_id, F.struct("snapshot_id", "row_count", "duration_ms")))
+        return log.agg(F.max("snapshot_id").alias("snapshot"), head.alias("head"), mine.alias("done")).first()
+
+    @staticmethod
+    def _schema(state) -> T.StructType | None:
+        return T.StructType.fromJson(json.loads(state.head.table_schema)) if state.head else None
 
     def schema_of(self, tenant: str, table: str, layer: str = "silver") -> T.StructType | None:
         """Schema fixed by the first commit, plus columns later batches were allowed to add."""
-        latest = self._latest(tenant, table, layer)
-        return T.StructType.fromJson(json.loads(latest.table_schema)) if latest else None
+        return self._schema(self._state(tenant, table, layer))
 
     def _visible(self, tenant: str, table: str, layer: str, as_of: int | None) -> DataFrame:
         log = self.history(tenant, table, layer)
@@ -87,63 +100,66 @@ class Lake:
 
     # writes ------------------------------------------------------------------------
     @staticmethod
-    def _fit(df: DataFrame, target: T.StructType, mode: str) -> tuple[DataFrame, T.StructType]:
-        """Shape a batch like its table and return the table schema after the batch."""
+    def _fit(df: DataFrame, target: T.StructType, mode: str) -> tuple[list[Column], T.StructType]:
+        """Columns that shape a batch like its table, and the table schema after the batch."""
         if mode == "by_position":
             if len(df.columns) != len(target.fields):
                 raise ValueError(f"batch has {len(df.columns)} columns, table has {len(target.fields)}")
-            df = df.toDF(*target.names)
+            pairs = zip(df.columns, target.fields)
+            return [F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in pairs], target
         extra = [f for f in df.schema.fields if f.name not in target.names]
         missing = [n for n in target.names if n not in df.columns]
         if mode != "evolve" and (extra or missing):
             raise ValueError(f"columns do not match: unexpected {[f.name for f in extra]}, missing {missing}")
         kept = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.fields if f.name not in missing]
         added = [F.col(f"`{f.name}`") for f in extra]
-        return df.select(*kept, *added), T.StructType(target.fields + extra)
+        return kept + added, T.StructType(target.fields + extra)
 
     def commit(self, tenant: str, table: str, df: DataFrame, layer: str = "silver",
                batch_id: str | None = None, mode: str = "by_name", replace: bool = False,
-               publish: bool = True) -> CommitResult:
+               publish: bool = True, hidden: Sequence[str] = (),
+               audit: Callable[[DataFrame], bool] | None = None) -> CommitResult:
         """Create the table or append a batch to it.
 
         ``mode`` is ``by_name``, ``by_position`` or ``evolve`` (columns may come and go).
         ``batch_id`` makes the call repeatable: a committed batch is left alone, a half
         written one is written again. Without ``publish`` the batch stays invisible.
+        ``hidden`` columns are stored in the files but are not part of the table.
+        ``audit`` sees the written batch and may refuse it before it becomes visible.
         """
-        batch_id = safe_name(batch_id or uuid.uuid4().hex)
-        started = self.spark.sql("select unix_millis(current_timestamp())").first()[0]
-        log = self.history(tenant, table, layer)
-        done = log.filter(F.col("batch_id") == batch_id).first()
-        if done:
-            return CommitResult(f"{tenant}_{layer}.{table}", batch_id, done.snapshot_id, done.row_count,
-                                self._total(tenant, table, layer), self.schema_of(tenant, table, layer).names,
-                                done.duration_ms)
-        latest = self._latest(tenant, table, layer)
-        current = self.schema_of(tenant, table, layer)
+        batch_id, started = safe_name(batch_id or uuid.uuid4().hex), time.monotonic()
+        state = self._state(tenant, table, layer, batch_id)
+        current, name = self._schema(state), f"{tenant}_{layer}.{table}"
+        if state.done:
+            return CommitResult(name, batch_id, state.done.snapshot_id, state.done.row_count,
+                                state.head.total_rows, current.names, state.done.duration_ms)
+        kept = [F.col(f"`{c}`") for c in hidden]
+        plain = df.drop(*hidden)
         if current is None or replace:
-            table_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+            table_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema.fields])
         else:
-            df, table_schema = self._fit(df, current, mode)
+            shaped, table_schema = self._fit(plain, current, mode)
+            df = df.select(*shaped, *kept)
         counted = Observation()
         folder = f"{self.table_folder(tenant, table, layer)}/batch_id={batch_id}"
         df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(folder)
         rows = counted.get["n"]
-        snapshot = (latest.snapshot_id if latest else 0) + 1
-        ended = self.spark.sql("select unix_millis(current_timestamp())").first()[0]
+        if audit is not None and not audit(self.spark.read.parquet(folder)):
+            raise BatchRejected(folder)
+        before = 0 if replace or not state.head else state.head.total_rows
+        done = CommitResult(name, batch_id, (state.snapshot or 0) + 1, rows, before + rows, table_schema.names,
+                            int((time.monotonic() - started) * 1000))
         if publish:
-            entry = (tenant, layer, table, batch_id, snapshot, replace, rows, ended - started, table_schema.json())
+            entry = (tenant, layer, table, batch_id, done.snapshot_id, replace, rows, done.total_rows,
+                     done.duration_ms, table_schema.json())
             (
                 self.spark.createDataFrame([entry], T.StructType(COMMIT_SCHEMA.fields[:-1]))
                 .withColumn("committed_at", F.current_timestamp())
                 .coalesce(1).write.mode("overwrite")
                 .json(f"{self._log_folder(tenant, table, layer)}/{batch_id}")
             )
-            self.publish(tenant, table, layer)
-        return CommitResult(f"{tenant}_{layer}.{table}", batch_id, snapshot, rows,
-                            self._total(tenant, table, layer), table_schema.names, ended - started)
-
-    def _total(self, tenant: str, table: str, layer: str) -> int:
-        return self._visible(tenant, table, layer, None).agg(F.sum("row_count")).first()[0] or 0
+            self.publish(tenant, table, layer, schema=table_schema, added=None if replace else batch_id)
+        return done
 
     # reads -------------------------------------------------------------------------
     def read(self, tenant: str, table: str, layer: str = "silver", as_of: int | None = None) -> DataFrame:
@@ -151,43 +167,44 @@ class Lake:
 
         The semi-join on the folder key lets Spark skip the folders of hidden batches.
         """
-        latest = self._latest(tenant, table, layer)
-        if latest is None:
-            raise LookupError(f"no such table: {tenant}_{layer}.{table}")
         schema = self.schema_of(tenant, table, layer)
+        if schema is None:
+            raise LookupError(f"no such table: {tenant}_{layer}.{table}")
         stored = T.StructType(schema.fields + [T.StructField("batch_id", T.StringType())])
         data = self.spark.read.schema(stored).parquet(self.table_folder(tenant, table, layer))
         visible = self._visible(tenant, table, layer, as_of).select("batch_id")
         return data.join(visible, "batch_id", "left_semi").select(*schema.names)
 
     # catalog -----------------------------------------------------------------------
-    def publish(self, tenant: str, table: str, layer: str = "silver") -> str:
+    def publish(self, tenant: str, table: str, layer: str = "silver", schema: T.StructType | None = None,
+                added: str | None = None) -> str:
         """Make the committed rows queryable as ``{tenant}_{layer}.{table}``.
 
         The catalog table lists committed folders only, so it never shows a half written
         batch; a view over it hides the folder key. Silver tables also get the flat
-        alias ``{tenant}_{table}``.
+        alias ``{tenant}_{table}``. With ``added`` an up-to-date entry gains that one
+        batch; otherwise the entry is rebuilt from the log.
         """
         spark, schema_name = self.spark, f"{tenant}_{layer}"
         base, name = f"`{schema_name}`.`{table}__batches`", f"`{schema_name}`.`{table}`"
-        folder, schema = self.table_folder(tenant, table, layer), self.schema_of(tenant, table, layer)
+        folder = self.table_folder(tenant, table, layer)
+        schema = schema or self.schema_of(tenant, table, layer)
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema_name}`")
-        batches = [r.batch_id for r in self._visible(tenant, table, layer, None).select("batch_id").toLocalIterator()]
-        known = None
-        if spark.catalog.tableExists(f"`{schema_name}`.`{table}__batches`"):
-            known = {r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {base}").toLocalIterator()}
-            if spark.table(base).drop("batch_id").schema.names != schema.names or known - set(batches):
-                spark.sql(f"DROP TABLE {base}")
-                known = None
-        if known is None:
+        fresh = added is not None and spark.catalog.tableExists(base) and (
+            spark.table(base).drop("batch_id").columns == schema.names)
+        if fresh:
+            batches = [added]
+        else:
+            spark.sql(f"DROP TABLE IF EXISTS {base}")
             fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
             spark.sql(f"CREATE TABLE {base} ({fields}, batch_id STRING) USING parquet "
                       f"PARTITIONED BY (batch_id) LOCATION '{folder}'")
-            known = set()
+            visible = self._visible(tenant, table, layer, None).select("batch_id")
+            batches = [r.batch_id for r in visible.toLocalIterator()]
         for batch in batches:
-            if batch not in known:
-                spark.sql(f"ALTER TABLE {base} ADD IF NOT EXISTS PARTITION (batch_id='{batch}') "
-                          f"LOCATION '{folder}/batch_id={batch}'")
+            spark.sql(f"ALTER TABLE {base} ADD IF NOT EXISTS PARTITION (batch_id='{batch}') "
+                      f"LOCATION '{folder}/batch_id={batch}'")
+        spark.catalog.refreshTable(base)
         columns = ", ".join(f"`{n}`" for n in schema.names)
         spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM {base}")
         if layer == "silver":

@@ -49,7 +49,7 @@ FROM {lineitem}"""
 
 # Dataset status log.
 JOB_EVENTS = """
-SELECT user_id AS dataset_id, ts AS at, event_id AS seq,
+SELECT user_id AS dataset_id, ts AS happened_at, event_id AS seq,
        CASE event_type WHEN 'signup' THEN 'uploaded' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'completed'
             WHEN 'error' THEN 'failed' ELSE 'pending' END AS status,
        CAST(floor(value) AS BIGINT) AS row_count

@@ -14,6 +14,13 @@ def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def tenants(t: Tables):
+    """Tenant registry with zone-free lifecycle times."""
+    rows = t.sql(feeds.TENANTS)
+    return rows.withColumns({
+        c: F.col(c).cast("timestamp_ntz") for c in ("deactivated_at", "deletion_scheduled_at")})
+
+
 @query("cat_live_tables", f"""
 SELECT t.table_id, s.schema_name, t.table_name FROM ({feeds.CATALOG_TABLES}) AS t
 JOIN ({feeds.CATALOG_SCHEMAS}) AS s ON t.schema_id = s.schema_id
@@ -64,7 +71,7 @@ def cat_columns(t: Tables):
 SELECT t.slug, t.name, count(d.dataset_id) AS dataset_count FROM ({feeds.TENANTS}) AS t
 LEFT JOIN ({feeds.DATASETS}) AS d ON d.tenant_id = t.slug GROUP BY 1, 2""")
 def cat_dataset_counts(t: Tables):
-    return catalog.dataset_counts(t.sql(feeds.TENANTS), t.sql(feeds.DATASETS), pinned="tenant_7")
+    return catalog.dataset_counts(tenants(t), t.sql(feeds.DATASETS), pinned="tenant_7")
 
 
 @query("cat_new_tenants", f"""
@@ -73,20 +80,20 @@ FROM (SELECT split_part(path, '/', 2) AS slug FROM ({feeds.FILES}) AS f) AS d
 WHERE d.slug NOT IN (SELECT slug FROM ({feeds.TENANTS}) AS t WHERE active)""")
 def cat_new_tenants(t: Tables):
     found = storage.tenants_in(t.sql(feeds.FILES))
-    return catalog.unregistered_tenants(found, t.sql(feeds.TENANTS).filter("active"))
+    return catalog.unregistered_tenants(found, tenants(t).filter("active"))
 
 
 @query("cat_job_feed", f"""
 SELECT d.* FROM ({feeds.DATASETS}) AS d WHERE tenant_id = 'tenant_7'
 AND 'tenant_7' IN (SELECT slug FROM ({feeds.TENANTS}) AS t) ORDER BY created_at DESC, dataset_id DESC LIMIT 20""")
 def cat_job_feed(t: Tables):
-    return jobs.job_feed(t.sql(feeds.DATASETS), t.sql(feeds.TENANTS), "tenant_7")
+    return jobs.job_feed(t.sql(feeds.DATASETS), tenants(t), "tenant_7")
 
 
 @query("cat_job_feed_unknown", f"SELECT d.* FROM ({feeds.DATASETS}) AS d WHERE FALSE")
 def cat_job_feed_unknown(t: Tables):
     """A tenant the registry does not know gets no rows, although datasets name it."""
-    return jobs.job_feed(t.sql(feeds.DATASETS), t.sql(feeds.TENANTS).filter("slug <> 'tenant_7'"), "tenant_7")
+    return jobs.job_feed(t.sql(feeds.DATASETS), tenants(t).filter("slug <> 'tenant_7'"), "tenant_7")
 
 
 @query("cat_scoped_jobs", f"""
@@ -114,23 +121,23 @@ def cat_job_duration(t: Tables):
 
 
 @query("cat_latest_status", f"""
-SELECT dataset_id, at, seq, status, row_count, count(*) OVER (PARTITION BY dataset_id) AS n_events
-FROM ({feeds.JOB_EVENTS}) AS e QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY at DESC, seq DESC) = 1""")
+SELECT dataset_id, happened_at, seq, status, row_count, count(*) OVER (PARTITION BY dataset_id) AS n_events
+FROM ({feeds.JOB_EVENTS}) AS e QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY happened_at DESC, seq DESC) = 1""")
 def cat_latest_status(t: Tables):
     return jobs.latest_status(t.sql(feeds.JOB_EVENTS))
 
 
 @query("cat_illegal_transitions", f"""
-WITH p AS (SELECT *, lag(status) OVER (PARTITION BY dataset_id ORDER BY at, seq) AS previous_status
+WITH p AS (SELECT *, lag(status) OVER (PARTITION BY dataset_id ORDER BY happened_at, seq) AS previous_status
            FROM ({feeds.JOB_EVENTS}) AS e)
-SELECT dataset_id, at, seq, status, row_count, previous_status FROM p
+SELECT dataset_id, happened_at, seq, status, row_count, previous_status FROM p
 WHERE previous_status IS NOT NULL AND NOT (
   (previous_status = 'pending' AND status = 'uploaded')
   OR (previous_status = 'uploaded' AND status IN ('processing', 'failed'))
   OR (previous_status = 'processing' AND status IN ('completed', 'failed'))
   OR (previous_status IN ('completed', 'failed') AND status IN ('uploaded', 'processing')))""")
 def cat_illegal_transitions(t: Tables):
-    return jobs.illegal_transitions(t.sql(feeds.JOB_EVENTS), F.date_trunc("day", "at"))
+    return jobs.illegal_transitions(t.sql(feeds.JOB_EVENTS), F.date_trunc("day", "happened_at"))
 
 
 @query("cat_upsert", f"""
@@ -164,7 +171,7 @@ def cat_gold_union(t: Tables):
 SELECT slug, deletion_scheduled_at FROM ({feeds.TENANTS}) AS t
 WHERE status = 'inactive' AND deletion_scheduled_at <= TIMESTAMP '2024-01-10 00:00:00'""")
 def cat_lifecycle_due(t: Tables):
-    return catalog.due_for_deletion(t.sql(feeds.TENANTS), _ts("2024-01-10")).select("slug", "deletion_scheduled_at")
+    return catalog.due_for_deletion(tenants(t), _ts("2024-01-10")).select("slug", "deletion_scheduled_at")
 
 
 @query("cat_lifecycle_apply", f"""
@@ -183,7 +190,7 @@ def cat_lifecycle_apply(t: Tables):
         F.concat(F.lit("tenant_"), "c_custkey").alias("slug"),
         F.when(F.col("c_mktsegment") == "BUILDING", "deactivate").otherwise("reactivate").alias("action"),
         F.when(F.col("c_nationkey") > 10, F.col("c_nationkey")).alias("grace_days"))
-    return catalog.deactivate(t.sql(feeds.TENANTS), requests, _ts("2002-01-01"))
+    return catalog.deactivate(tenants(t), requests, _ts("2002-01-01"))
 
 
 @query("cat_access_filter", f"""

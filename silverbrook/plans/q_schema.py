@@ -11,7 +11,7 @@ from silverbrook.plans.registry import Tables, query
 # Raw text columns of several kinds, with blanks.
 RAW_TEXT = """
 SELECT CAST(event_id AS STRING) AS id, CAST(value AS STRING) AS amount,
-       substr(CAST(ts AS STRING), 1, 19) AS at, event_type AS label,
+       substr(CAST(ts AS STRING), 1, 19) AS seen, event_type AS label,
        CASE WHEN value > 9 THEN 'NULL' ELSE CAST(user_id AS STRING) END AS maybe,
        CASE WHEN value > 9 THEN 'n/a' ELSE CAST(user_id AS STRING) END AS mixed,
        '0f8fad5b-d9cb-' || event_type AS token, '' AS nothing
@@ -24,7 +24,7 @@ _KIND_SQL = """CASE WHEN regexp_matches(v, '^-?\\d+$') THEN 'bigint' WHEN regexp
 INFER_SQL = f"""
 WITH r AS ({RAW_TEXT}),
      v AS (SELECT 1 AS ordinal, 'id' AS name, id AS v FROM r UNION ALL SELECT 2, 'amount', amount FROM r
-           UNION ALL SELECT 3, 'at', at FROM r UNION ALL SELECT 4, 'label', label FROM r
+           UNION ALL SELECT 3, 'seen', seen FROM r UNION ALL SELECT 4, 'label', label FROM r
            UNION ALL SELECT 5, 'maybe', maybe FROM r UNION ALL SELECT 6, 'mixed', mixed FROM r
            UNION ALL SELECT 7, 'token', token FROM r UNION ALL SELECT 8, 'nothing', nothing FROM r),
      k AS (SELECT *, lower(v) IN ('', 'null') AS blank, {_KIND_SQL} AS kind FROM v)
@@ -211,9 +211,9 @@ rb AS (SELECT file_id, trim(regexp_replace(lower(regexp_replace(filename, '\\.[^
 a AS (SELECT file_id, 1 AS step, pos, name FROM fn UNION ALL SELECT file_id, 2, pos, name FROM ids
       UNION ALL SELECT file_id, 3, pos, name FROM dom
       UNION ALL SELECT file_id, 4, 0, name FROM rb WHERE length(name) >= 3 AND name <> 'dataset'),
-o AS (SELECT file_id, name, min(step * 10000000000::BIGINT + pos) AS at FROM a WHERE length(name) >= 3
+o AS (SELECT file_id, name, min(step * 10000000000::BIGINT + pos) AS place FROM a WHERE length(name) >= 3
         AND name NOT IN ('dataset', 'data', 'file', 'table', 'temp', 'test', 'export') GROUP BY 1, 2),
-z AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY at, name) AS INT) AS rank, name FROM o)
+z AS (SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY place, name) AS INT) AS rank, name FROM o)
 SELECT file_id, rank, name FROM z WHERE rank <= 5
 UNION ALL SELECT file_id, x.rank, x.name FROM u JOIN (VALUES (1, 'ingested_records'), (2, 'source_data'),
   (3, 'imported_table')) AS x(rank, name) ON file_id NOT IN (SELECT file_id FROM o)""")

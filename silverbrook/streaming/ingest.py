@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from silverbrook.operators.tables import Lake
+from silverbrook.operators.tables import BatchRejected, Lake
 from silverbrook.sources import readers
 
-CORRUPT = "_corrupt_line"
+CORRUPT, SOURCE = "_corrupt_line", "_source_file"
+
+FILE_SCHEMA = (
+    T.StructType().add("path", "string").add("modificationTime", "timestamp").add("length", "long")
+    .add("content", "binary")
+)
 
 EVENT_SCHEMA = (
     T.StructType().add("tenant_id", "string").add("table_name", "string").add("path", "string")
@@ -35,9 +40,8 @@ def land(df: DataFrame, lake: Lake, tenant: str, name: str, fmt: str = "csv", **
 
 def raw_files(spark: SparkSession, lake: Lake, max_files: int = 1000) -> DataFrame:
     """Stream of raw files; only names and times are read, never contents."""
-    schema = spark.read.format("binaryFile").load(lake.root).schema
     return (
-        spark.readStream.format("binaryFile").schema(schema)
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
         .load(f"{lake.root}/tenants/*/raw")
         .select("path", "modificationTime")
@@ -70,30 +74,42 @@ def _read_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str])
         df = readers.read_parquet(spark, paths).withColumn(CORRUPT, F.lit(None).cast("string"))
     else:
         df = readers.read_json(spark, paths, schema=schema).withColumn(CORRUPT, F.lit(None).cast("string"))
-    return df.withColumn("_path", F.input_file_name())
+    return df.withColumn(SOURCE, F.input_file_name())
 
 
 def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str], batch_id: str,
                   mode: str) -> list[tuple]:
-    """Append one group of files; files with an unreadable line are set aside whole."""
+    """Append one group of files; files with an unreadable line are set aside whole.
+
+    The raw text is parsed once: the batch is written with the file name and the text of
+    unreadable lines beside the data, then judged on those two columns. Only if a file
+    fails is the batch written again without it.
+    """
+    tally: dict[str, tuple] = {}
+
+    def accept(written: DataFrame) -> bool:
+        per_file = written.groupBy(SOURCE).agg(
+            F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"), F.min(CORRUPT).alias("example"))
+        tally.update({r[SOURCE]: (r["n"], r["bad"], r["example"]) for r in per_file.toLocalIterator()})
+        failed = [path for path, (_, bad, _) in tally.items() if bad]
+        if failed:
+            written.filter(F.col(CORRUPT).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(CORRUPT).alias("line")) \
+                .write.mode("overwrite").parquet(
+                    f"{lake.root}/tenants/{tenant}/quarantine/{table}/batch_id={batch_id}")
+        return not failed
+
     rows = _read_group(lake, tenant, table, fmt, paths)
-    # Spark does not allow a query on the corrupt column alone, hence the path beside it.
-    tally = rows.groupBy("_path").agg(
-        F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"), F.min(CORRUPT).alias("example"))
-    per_file = {r["_path"]: r for r in tally.toLocalIterator()}
-    bad = [p for p, r in per_file.items() if r["bad"]]
-    good = rows
-    if bad:
-        good = rows.filter(~F.col("_path").isin(bad))
-        rows.filter(F.col("_path").isin(bad)).select(
-            F.col("_path").alias("path"), F.col(CORRUPT).alias("line")).filter(F.col("line").isNotNull()).write.mode(
-            "overwrite").parquet(f"{lake.root}/tenants/{tenant}/quarantine/{table}/batch_id={batch_id}")
-    if len(bad) < len(per_file):
-        lake.commit(tenant, table, good.drop("_path", CORRUPT), batch_id=batch_id, mode=mode)
+    options = {"batch_id": batch_id, "mode": mode, "hidden": (SOURCE, CORRUPT)}
+    try:
+        lake.commit(tenant, table, rows, audit=accept, **options)
+    except BatchRejected:
+        good = sorted(path for path, (_, bad, _) in tally.items() if not bad)
+        if good:
+            lake.commit(tenant, table, _read_group(lake, tenant, table, fmt, good), **options)
     return [
-        (tenant, table, p, "failed" if r["bad"] else "completed", 0 if r["bad"] else r["n"], batch_id,
-         f"line does not fit the table: {r['example']}" if r["bad"] else None)
-        for p, r in per_file.items()
+        (tenant, table, path, "failed" if bad else "completed", 0 if bad else n, batch_id,
+         f"line does not fit the table: {example}" if bad else None)
+        for path, (n, bad, example) in tally.items()
     ]
 
 

@@ -6,22 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverbrook.functions import sqltext
+from silverbrook.session import each, spread
 
 
 def dependency_edges(objects: DataFrame) -> DataFrame:
     """One row per (tenant_id, name, dependency) from ``tenant_id, name, sql_query``."""
     deps = sqltext.dependencies(F.col("sql_query"), F.col("tenant_id"), F.col("name"))
-    return objects.select("tenant_id", "name", F.explode(deps).alias("dependency")).distinct()
-
-
-def _stripped(ref, tenant):
-    """Lower-case object name without the tenant's prefixes."""
-    name, own = F.lower(ref), F.lower(tenant)
-    for suffix in ("_silver.", "_gold.", "_"):
-        prefix = F.concat(own, F.lit(suffix))
-        at = F.position(prefix, name)
-        name = F.when(at > 0, F.overlay(name, F.lit(""), at, F.length(prefix))).otherwise(name)
-    return name
+    return each(spread(objects), deps, "dependency", "tenant_id", "name").distinct()
 
 
 def dependents(objects: DataFrame, sources: DataFrame) -> DataFrame:
@@ -30,18 +21,17 @@ def dependents(objects: DataFrame, sources: DataFrame) -> DataFrame:
     ``objects`` has ``tenant_id, name, object_type, dependencies``; ``sources`` has
     ``tenant_id, name``. A reference may be bare, flat-prefixed or Silver-qualified.
     """
-    refs = objects.select(
-        "tenant_id", F.col("name").alias("dependent"), "object_type",
-        F.explode("dependencies").alias("ref"))
+    refs = each(spread(objects), F.col("dependencies"), "ref",
+                "tenant_id", F.col("name").alias("dependent"), "object_type")
     silver = F.concat(F.col("tenant_id"), F.lit("_silver."))
     flat = F.concat(F.col("tenant_id"), F.lit("_"))
     # Every spelling of a reference becomes the bare name it could stand for.
-    spellings = F.array_compact(F.array(
+    spellings = F.array(
         F.col("ref"),
         F.when(F.startswith("ref", silver), F.substr("ref", F.length(silver) + 1)),
         F.when(F.startswith("ref", flat), F.substr("ref", F.length(flat) + 1)),
-    ))
-    refs = refs.select("tenant_id", "dependent", "object_type", F.explode(spellings).alias("name")).distinct()
+    )
+    refs = each(refs, spellings, "name", "tenant_id", "dependent", "object_type").distinct()
     return refs.join(sources.select("tenant_id", "name").distinct(), ["tenant_id", "name"])
 
 
@@ -78,10 +68,10 @@ def missing_sources(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     A dependency is satisfied by a table's short name (tenant prefixes stripped) or by
     its full name, ignoring case: two anti-joins, each on an equality.
     """
-    edges = edges.select(
-        "tenant_id", "name", "dependency",
-        _stripped(F.col("dependency"), F.col("tenant_id")).alias("short"),
-        F.lower("dependency").alias("full"))
+    edges = edges.select("tenant_id", "name", F.lower("dependency").alias("full"), F.lower("dependency").alias("short"))
+    for suffix in ("_silver.", "_gold.", "_"):
+        prefix = F.concat(F.lower("tenant_id"), F.lit(suffix))
+        edges = edges.withColumn("short", sqltext.without_first(F.col("short"), prefix))
     short = catalog.select("tenant_id", F.lower("name").alias("short")).distinct()
     full = catalog.select("tenant_id", F.lower("full_name").alias("full")).distinct()
     unmet = edges.join(short, ["tenant_id", "short"], "left_anti").join(full, ["tenant_id", "full"], "left_anti")

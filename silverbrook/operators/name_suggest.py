@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silverbrook.functions.naming import PLACEHOLDER_TABLE, web_name
+from silverbrook.session import each, spread
 
 # Patterns removed from a file name, in this order.
 EXTENSION = r"(?i)\.(csv|parquet|json|ndjson|tsv|txt)$"
@@ -39,6 +40,9 @@ REJECTED_NAMES = ("dataset", "data", "file", "table", "temp", "test", "export")
 FALLBACK_NAMES = ("ingested_records", "source_data", "imported_table")
 MAX_SUGGESTIONS, MIN_LENGTH = 5, 3
 
+# Sort position of a suggestion: step * STEP + position within the step.
+STEP, FALLBACK_STEP = 1 << 56, 5
+
 _EDGES = "^_+|_+$"
 
 
@@ -64,27 +68,29 @@ def _usable(base: Column) -> Column:
 
 def suggestions_from_filename(files: DataFrame) -> DataFrame:
     """``file_id, priority, name`` suggested by the file name: base and its plural."""
-    base = clean_base(F.col("filename"))
+    files, base = spread(files).select("file_id", clean_base(F.col("filename")).alias("base")), F.col("base")
     plural = ~base.endswith("s") & ~base.endswith("data")
     names = F.when(_usable(base), F.when(plural, F.array(base, F.concat(base, F.lit("s")))).otherwise(F.array(base)))
-    return files.select("file_id", F.posexplode(names).alias("priority", "name"))
+    return files.select("file_id", F.posexplode_outer(names).alias("priority", "name")).filter("name IS NOT NULL")
 
 
 def suggestions_from_ids(columns: DataFrame) -> DataFrame:
     """``file_id, ordinal, name`` suggested by identifier columns."""
-    key = web_name(F.col("name"))
+    key = F.col("key")
     known = F.create_map(*[F.lit(x) for pair in ID_TABLES.items() for x in pair])
-    entity = F.regexp_replace(key, "_id$", "")
+    entity = F.left(key, F.length(key) - 3)
     derived = F.when(key.endswith("_id") & (F.length(entity) >= MIN_LENGTH), F.concat(entity, F.lit("s")))
-    named = columns.select("file_id", "ordinal", F.coalesce(F.try_element_at(known, key), derived).alias("name"))
-    return named.filter(F.col("name").isNotNull()).groupBy("file_id", "name").agg(F.min("ordinal").alias("ordinal"))
+    keyed = spread(columns).select("file_id", "ordinal", web_name(F.col("name")).alias("key"))
+    name = F.coalesce(F.try_element_at(known, key), derived)
+    return each(keyed, F.array(name), "name", "file_id", "ordinal").groupBy("file_id", "name").agg(
+        F.min("ordinal").alias("ordinal"))
 
 
 def suggestions_from_domains(columns: DataFrame) -> DataFrame:
     """``file_id, priority, name`` suggested by clusters of column-name fragments."""
-    key = web_name(F.col("name"))
     fragments = sorted({f for groups, _ in DOMAIN_RULES for g in groups for f in g})
-    flags = columns.groupBy("file_id").agg(*[F.bool_or(key.contains(f)).alias(f"has_{f}") for f in fragments])
+    keyed = spread(columns).select("file_id", web_name(F.col("name")).alias("key"))
+    flags = keyed.groupBy("file_id").agg(*[F.bool_or(F.col("key").contains(f)).alias(f"has_{f}") for f in fragments])
     hits, priority = [], 0
     for groups, names in DOMAIN_RULES:
         fires = reduce(lambda a, b: a | b, [
@@ -92,30 +98,35 @@ def suggestions_from_domains(columns: DataFrame) -> DataFrame:
         for name in names:
             hits.append(F.when(fires, F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("name"))))
             priority += 1
-    return flags.select("file_id", F.inline(F.array_compact(F.array(*hits))))
+    return each(flags, F.array(*hits), "hit", "file_id").select("file_id", "hit.*")
 
 
 def suggest_names(files: DataFrame, columns: DataFrame) -> DataFrame:
     """At most five suggestions per file, in order; a fixed trio when none apply.
 
     Every source contributes rows with a sort position; the first position of a name
-    counts. Lists stay tiny because equal names collapse before ranking.
+    counts. The trio takes part as the last step and is dropped where anything precedes it.
     """
-    step = lambda df, n, position: df.select("file_id", F.lit(n).alias("step"), F.col(position).cast("bigint")
-                                             .alias("position"), "name")
-    whole = raw_base(F.col("filename"))
-    last = files.filter(_usable(whole)).select("file_id", F.lit(0).alias("priority"), whole.alias("name"))
-    rows = (
+    def step(df: DataFrame, number: int, position: str) -> DataFrame:
+        # One number for (step, position) keeps the aggregate hash-based.
+        return df.select("file_id", "name", (F.lit(number * STEP) + F.col(position)).alias("place"))
+
+    bases = spread(files).select("file_id", raw_base(F.col("filename")).alias("base"))
+    base = F.col("base")
+    whole = each(bases, F.array(F.when(_usable(base), base)), "name", "file_id", F.lit(0).alias("priority"))
+    trio = files.select("file_id", F.posexplode(F.array(*[F.lit(n) for n in FALLBACK_NAMES])).alias("priority", "name"))
+    found = (
         step(suggestions_from_filename(files), 1, "priority")
         .unionByName(step(suggestions_from_ids(columns), 2, "ordinal"))
         .unionByName(step(suggestions_from_domains(columns), 3, "priority"))
-        .unionByName(step(last, 4, "priority"))
+        .unionByName(step(whole, 4, "priority"))
+        .filter((F.length("name") >= MIN_LENGTH) & ~F.col("name").isin(*REJECTED_NAMES))
+        .unionByName(step(trio, FALLBACK_STEP, "priority"))
     )
-    rows = rows.filter((F.length("name") >= MIN_LENGTH) & ~F.col("name").isin(*REJECTED_NAMES))
-    first = rows.groupBy("file_id", "name").agg(F.min(F.struct("step", "position")).alias("at"))
-    order = Window.partitionBy("file_id").orderBy("at", "name")
+    first = found.groupBy("file_id", "name").agg(F.min("place").alias("place"))
+    per_file = Window.partitionBy("file_id")
+    order = per_file.orderBy("place", "name")
     top = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_SUGGESTIONS)
-    fallback = files.select("file_id").join(first.select("file_id").distinct(), "file_id", "left_anti").select(
-        "file_id", F.posexplode(F.array(*[F.lit(n) for n in FALLBACK_NAMES])).alias("rank", "name"))
-    return top.select("file_id", "rank", "name").unionByName(
-        fallback.select("file_id", (F.col("rank") + 1).alias("rank"), "name"))
+    real = F.col("place") < FALLBACK_STEP * STEP
+    none_real = F.min("place").over(per_file) >= FALLBACK_STEP * STEP
+    return top.withColumn("keep", real | none_real).filter("keep").select("file_id", "rank", "name")

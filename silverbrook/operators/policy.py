@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverbrook.functions import sqltext
+from silverbrook.session import each, spread
 
 # Message fragments that turn a refusal into "forbidden".
 FORBIDDEN_MARKS = ("Access Denied", "prohibited")
@@ -40,7 +41,7 @@ def audit_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -
     )
     refused = F.col("reason").isNotNull()
     forbidden = F.col("reason").contains(FORBIDDEN_MARKS[0]) | F.col("reason").contains(FORBIDDEN_MARKS[1])
-    staged = log.select(
+    staged = spread(log).select(
         "*", sqltext.referenced_tables(s).alias("tables"),
         sqltext.forbidden_word(s).alias("_word"), sqltext.system_schema(s).alias("_schema"))
     first_foreign = F.get(F.filter("tables", lambda r: sqltext.is_foreign_reference(r, t)), F.lit(0))
@@ -60,10 +61,8 @@ def audit_summary(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -
 
 def table_usage(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -> DataFrame:
     """How often each table is referenced, with the share that is refused as foreign."""
-    refs = log.select(
-        F.col(tenant).alias("tenant_id"),
-        F.explode(sqltext.referenced_tables(F.coalesce(F.col(sql), F.lit("")))).alias("table_ref"),
-    )
+    found = sqltext.referenced_tables(F.coalesce(F.col(sql), F.lit("")))
+    refs = each(spread(log), found, "table_ref", F.col(tenant).alias("tenant_id"))
     foreign = sqltext.is_foreign_reference(F.col("table_ref"), F.col("tenant_id"))
     return refs.groupBy("tenant_id", "table_ref").agg(
         F.count(F.lit(1)).alias("n_refs"), F.count_if(foreign).alias("n_foreign"))
@@ -71,4 +70,4 @@ def table_usage(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") ->
 
 def lint_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -> DataFrame:
     """Add an array of advisory ``findings`` to every logged statement."""
-    return log.withColumn("findings", sqltext.lint(F.col(sql), F.col(tenant)))
+    return spread(log).withColumn("findings", sqltext.lint(F.col(sql), F.col(tenant)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverbrook.functions.coltypes import is_blank_value, text_kind, variant_kind
+from silverbrook.session import spread
 
 # Fixed value: shown when a column has no sample value.
 NO_SAMPLE = "—"
@@ -49,9 +50,9 @@ def infer_json(df: DataFrame, document: str, keys: tuple[str, ...] = ()) -> Data
     A key is nullable when it is null or absent in at least one record. Malformed
     documents are left out.
     """
-    docs = df.select(*keys, F.try_parse_json(F.col(document)).alias("_doc")).filter(F.col("_doc").isNotNull())
-    entries = docs.select(
-        *keys, F.explode(F.from_json(F.col("_doc").cast("string"), "map<string,variant>")).alias("name", "_value"))
+    docs = spread(df).select(*keys, F.try_parse_json(F.col(document)).alias("_doc")).filter(F.col("_doc").isNotNull())
+    fields = df.sparkSession.tvf.variant_explode(F.col("_doc").outer())
+    entries = docs.lateralJoin(fields).select(*keys, F.col("key").alias("name"), F.col("value").alias("_value"))
     kinds = entries.select(*keys, "name", variant_kind(F.col("_value")).alias("kind"))
     seen = kinds.groupBy(*keys, "name").agg(
         F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count("kind").alias("n_set"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from silverbrook.functions.coltypes import type_category
 from silverbrook.functions.naming import web_name
+from silverbrook.session import each, materialize
 
 # Weights of a matched column, and what makes a match worth showing.
 EXACT_WEIGHT, COMPATIBLE_WEIGHT, OTHER_WEIGHT = 1.0, 0.75, 0.5
@@ -25,8 +26,18 @@ MIN_SCORE, MIN_MATCHED = 30, 3
 AUTO_SELECT, HIGH_CONFIDENCE, EXACT_BAND, MEDIUM_BAND = 70, 50, 90, 60
 
 
-def _keyed(columns: DataFrame) -> DataFrame:
-    return columns.withColumn("key", web_name(F.col("name"))).withColumn("category", type_category(F.col("type")))
+def _keyed(files: DataFrame, tables: DataFrame) -> DataFrame:
+    """Columns of both sides with match key and category, computed and stored once.
+
+    The steps below read them several times, and the inputs may be costly views.
+    """
+    silver = tables.filter(F.coalesce("layer", F.lit("silver")) != "gold")
+    columns = ["tenant_id", "dataset_id", "ordinal", "name", "type"]
+    both = files.select(*columns, F.lit(True).alias("is_file")).unionByName(
+        silver.select(*columns, F.lit(False).alias("is_file")))
+    return materialize(
+        both.withColumn("key", web_name(F.col("name"))).withColumn("category", type_category(F.col("type"))),
+        "match-columns")
 
 
 def _overlap_needed(n_columns: Column) -> Column:
@@ -39,86 +50,89 @@ def _overlap_needed(n_columns: Column) -> Column:
     return F.when(n_columns <= int(reach), 1).when(n_columns <= int(2 * reach), 2).otherwise(MIN_MATCHED)
 
 
-def candidate_pairs(files: DataFrame, tables: DataFrame) -> DataFrame:
-    """Distinct (tenant_id, file_id, table_id) that may qualify; inputs have ``key``."""
-    f = files.select("tenant_id", F.col("dataset_id").alias("file_id"), "key")
-    t = tables.select("tenant_id", F.col("dataset_id").alias("table_id"), "key").distinct()
-    frequency = (
-        f.select("tenant_id", "key").unionAll(t.select("tenant_id", "key"))
-        .groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("freq"))
-    )
-
-    def offered(side: DataFrame, owner: str) -> DataFrame:
-        # Repeated keys inside a file can match one table column several times over, so
-        # repeats lower the number of distinct keys that must be shared.
-        whole = Window.partitionBy("tenant_id", owner)
-        counted = side.groupBy("tenant_id", owner, "key").agg(F.count(F.lit(1)).alias("copies"))
-        ranked = counted.join(frequency, ["tenant_id", "key"]).select(
-            "tenant_id", owner, "key",
-            F.count(F.lit(1)).over(whole).alias("n_keys"),
-            F.sum("copies").over(whole).alias("n_columns"),
-            F.row_number().over(whole.orderBy("freq", "key")).alias("rarity"))
-        prefix = F.col("rarity") <= F.col("n_keys") - _overlap_needed(F.col("n_columns")) + 1
-        repeats = F.col("n_columns") > F.col("n_keys")
-        return ranked.select("tenant_id", owner, "key", prefix.alias("rare"), repeats.alias("repeats"))
-
-    fo, to = offered(f, "file_id"), offered(t, "table_id")
-    rare = fo.filter(~F.col("repeats") & F.col("rare")).drop("rare", "repeats").join(
-        to.filter("rare").drop("rare", "repeats"), ["tenant_id", "key"])
-    repeated = fo.filter("repeats").drop("rare", "repeats").join(to.drop("rare", "repeats"), ["tenant_id", "key"])
-    return rare.unionByName(repeated).select("tenant_id", "file_id", "table_id").distinct()
-
-
-def matched_columns(files: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row per file column that has a partner in a candidate table.
-
-    The first table column with the key is the partner.
-    """
-    f, t = _keyed(files), _keyed(tables.filter(F.coalesce("layer", F.lit("silver")) != "gold"))
-    first = t.groupBy("tenant_id", "dataset_id", "key").agg(
+def _candidate_pairs(columns: DataFrame) -> DataFrame:
+    """Distinct file and table pairs that may qualify, with the width of each side."""
+    # Repeated keys inside a file can match one table column several times over, so for
+    # such a file the count of distinct shared keys proves nothing and all keys are used.
+    counted = columns.groupBy("tenant_id", "is_file", "dataset_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    frequency = counted.groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("freq"))
+    whole = Window.partitionBy("tenant_id", "is_file", "dataset_id")
+    ranked = counted.join(frequency, ["tenant_id", "key"]).select(
+        "tenant_id", "is_file", "dataset_id", "key",
+        F.count(F.lit(1)).over(whole).alias("n_keys"),
+        F.sum("copies").over(whole).alias("n_columns"),
+        F.row_number().over(whole.orderBy("freq", "key")).alias("rarity"))
+    rare = F.col("rarity") <= F.col("n_keys") - _overlap_needed(F.col("n_columns")) + 1
+    repeats = F.col("is_file") & (F.col("n_columns") > F.col("n_keys"))
+    offered = ranked.select("tenant_id", "is_file", "dataset_id", "key", "n_columns",
+                            rare.alias("rare"), repeats.alias("repeats"))
+
+    # Two lanes in one join: ordinary files meet tables on rare keys only, files with
+    # repeated keys meet them on every key. A table column travels in each lane it serves.
+    file_lane = F.when(F.col("repeats"), F.array(F.lit("any"))).when(F.col("rare"), F.array(F.lit("rare")))
+    table_lane = F.when(F.col("rare"), F.array(F.lit("any"), F.lit("rare"))).otherwise(F.array(F.lit("any")))
+
+    def side(is_file: bool, owner: str, width: str) -> DataFrame:
+        rows = offered.filter(F.col("is_file") == is_file)
+        return each(rows, file_lane if is_file else table_lane, "lane", "tenant_id",
+                    F.col("dataset_id").alias(owner), "key", F.col("n_columns").alias(width))
+
+    pairs = side(True, "file_id", "n_inferred").join(
+        side(False, "table_id", "n_existing"), ["tenant_id", "key", "lane"])
+    return pairs.select("tenant_id", "file_id", "table_id", "n_inferred", "n_existing").distinct()
+
+
+def _matched(columns: DataFrame) -> DataFrame:
+    f = columns.filter("is_file").select(
+        "tenant_id", F.col("dataset_id").alias("file_id"), "ordinal", "key", F.col("name").alias("inferred_name"),
+        F.col("type").alias("inferred_type"), "category")
+    first = columns.filter("NOT is_file").groupBy("tenant_id", F.col("dataset_id").alias("table_id"), "key").agg(
         F.min(F.struct("ordinal", "name", "type", "category")).alias("x"))
-    pairs = candidate_pairs(f, t)
-    with_files = pairs.join(
-        f.select("tenant_id", F.col("dataset_id").alias("file_id"), "ordinal", "key",
-                 F.col("name").alias("inferred_name"), F.col("type").alias("inferred_type"), "category"),
-        ["tenant_id", "file_id"])
-    partner = first.select("tenant_id", F.col("dataset_id").alias("table_id"), "key",
-                           F.col("x.name").alias("existing_name"), F.col("x.type").alias("existing_type"),
-                           F.col("x.category").alias("existing_category"))
-    both = with_files.join(partner, ["tenant_id", "table_id", "key"])
+    partner = first.select(
+        "tenant_id", "table_id", "key", F.col("x.name").alias("existing_name"), F.col("x.type").alias("existing_type"),
+        F.col("x.category").alias("existing_category"))
+    both = _candidate_pairs(columns).join(f, ["tenant_id", "file_id"]).join(partner, ["tenant_id", "table_id", "key"])
     exact = (F.lower("inferred_type") == F.lower("existing_type")) | (F.col("category") == F.col("existing_category"))
     soft = (F.col("category") == "STRING") | (F.col("existing_category") == "STRING")
     return both.select(
-        "tenant_id", "file_id", "table_id", "ordinal", "inferred_name", "inferred_type", "existing_name",
-        "existing_type", exact.alias("exact_type_match"), (~exact & soft).alias("compatible_type_match"))
+        "tenant_id", "file_id", "table_id", "n_inferred", "n_existing", "ordinal", "inferred_name", "inferred_type",
+        "existing_name", "existing_type", exact.alias("exact_type_match"),
+        (~exact & soft).alias("compatible_type_match"))
 
 
-def _widths(columns: DataFrame, owner: str, width: str) -> DataFrame:
-    return columns.groupBy("tenant_id", F.col("dataset_id").alias(owner)).agg(F.count(F.lit(1)).alias(width))
-
-
-def match_scores(files: DataFrame, tables: DataFrame) -> DataFrame:
-    """Qualifying (file, table) pairs with their score and match counts."""
-    counts = matched_columns(files, tables).groupBy("tenant_id", "file_id", "table_id").agg(
+def _scores(matched: DataFrame) -> DataFrame:
+    pair = ["tenant_id", "file_id", "table_id", "n_inferred", "n_existing"]
+    counts = matched.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("matched"),
         F.count_if("exact_type_match").alias("exact_matches"),
         F.count_if("compatible_type_match").alias("compatible_matches"))
-    silver = tables.filter(F.coalesce("layer", F.lit("silver")) != "gold")
-    sized = counts.join(_widths(files, "file_id", "n_inferred"), ["tenant_id", "file_id"]).join(
-        _widths(silver, "table_id", "n_existing"), ["tenant_id", "table_id"])
     rest = F.col("matched") - F.col("exact_matches") - F.col("compatible_matches")
     weighted = (F.col("exact_matches") * EXACT_WEIGHT + F.col("compatible_matches") * COMPATIBLE_WEIGHT
                 + rest * OTHER_WEIGHT)
     # Halves round up; all weights are multiples of a quarter, so the sum is exact.
     score = F.floor(weighted / F.greatest("n_inferred", "n_existing") * 100 + 0.5)
     return (
-        sized.withColumn("score", score.cast("int"))
+        counts.withColumn("score", score.cast("int"))
         .filter((F.col("score") >= MIN_SCORE) | (F.col("matched") >= MIN_MATCHED))
         .select("tenant_id", "file_id", "table_id", "score", "matched", "exact_matches", "compatible_matches",
                 "n_inferred", "n_existing")
     )
 
 
+def matched_columns(files: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row per file column that has a partner in a candidate table.
+
+    The first table column with the key is the partner. Pairs that cannot qualify are
+    absent.
+    """
+    return _matched(_keyed(files, tables))
+
+
+def match_scores(files: DataFrame, tables: DataFrame) -> DataFrame:
+    """Qualifying (file, table) pairs with their score and match counts."""
+    return _scores(matched_columns(files, tables))
+
+
 def decision(score: Column) -> Column:
     """Band a score falls into."""
     return (F.when(score >= EXACT_BAND, "exact").when(score >= MEDIUM_BAND, "medium").otherwise("low"))
@@ -146,16 +160,16 @@ def unmatched_columns(files: DataFrame, tables: DataFrame) -> DataFrame:
 
     On either side a column counts as matched if a column of that name is matched.
     """
-    pairs = match_scores(files, tables).select("tenant_id", "file_id", "table_id")
-    hits = matched_columns(files, tables)
-    silver = tables.filter(F.coalesce("layer", F.lit("silver")) != "gold")
+    columns = _keyed(files, tables)
+    hits = materialize(_matched(columns), "match-hits")
+    pairs = _scores(hits).select("tenant_id", "file_id", "table_id")
 
-    def side(columns: DataFrame, owner: str, hit: str, label: str) -> DataFrame:
-        own = columns.select("tenant_id", F.col("dataset_id").alias(owner), "name")
-        every = pairs.join(own, ["tenant_id", owner])
+    def side(is_file: bool, owner: str, hit: str, label: str) -> DataFrame:
+        own = columns.filter(F.col("is_file") == is_file).select("tenant_id", F.col("dataset_id").alias(owner), "name")
         seen = hits.select("tenant_id", "file_id", "table_id", F.col(hit).alias("name"))
-        return every.join(seen, ["tenant_id", "file_id", "table_id", "name"], "left_anti").select(
+        return pairs.join(own, ["tenant_id", owner]).join(
+            seen, ["tenant_id", "file_id", "table_id", "name"], "left_anti").select(
             "tenant_id", "file_id", "table_id", F.lit(label).alias("side"), "name")
 
-    return side(files, "file_id", "inferred_name", "inferred").unionByName(
-        side(silver, "table_id", "existing_name", "existing"))
+    return side(True, "file_id", "inferred_name", "inferred").unionByName(
+        side(False, "table_id", "existing_name", "existing"))

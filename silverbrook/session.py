@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "silverbrook", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +49,39 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call will be given."""
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+# An input below this size per core is worth dealing out evenly before CPU-heavy work.
+SMALL_BYTES_PER_CORE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core.
+
+    Only a small input (a few small files that would be read by one or two tasks) is
+    redistributed; anything larger is returned as it is, without a shuffle. The decision
+    rests on the optimizer's size estimate and runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results used several times: later steps scan stored columns instead of repeating
+    the work, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def each(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """``keep`` columns with one row per non-null element of ``array``, computed once.
+
+    A plain explode or filter lets the optimizer copy the expression into a filter below,
+    which doubles the cost of regular expressions; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -90,7 +90,7 @@ def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str
     def accept(written: DataFrame) -> bool:
         per_file = written.groupBy(SOURCE).agg(
             F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"), F.min(CORRUPT).alias("example"))
-        tally.update({r[SOURCE]: (r["n"], r["bad"], r["example"]) for r in per_file.toLocalIterator()})
+        tally.update({r[SOURCE]: (r["n"], r["bad"], r["example"]) for r in per_file.collect()})
         failed = [path for path, (_, bad, _) in tally.items() if bad]
         if failed:
             written.filter(F.col(CORRUPT).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(CORRUPT).alias("line")) \
@@ -120,7 +120,7 @@ def ingest_batch(lake: Lake, uploads: DataFrame, files: DataFrame, batch_id: int
     target table, and every group is read and written as one distributed job.
     """
     groups: dict[tuple[str, str, str], list[str]] = {}
-    for f in _resolve(files, uploads).toLocalIterator():
+    for f in _resolve(files, uploads).collect():
         key = (f.tenant_id, f.table_name, readers.file_format(f.path, f.format))
         groups.setdefault(key, []).append(f.path)
     outcome: list[tuple] = []

@@ -10,7 +10,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,12 @@ def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
 def _is_json_array(spark: SparkSession, path: Paths) -> bool:
     """Whether the document is one array; decided on the first non-blank line."""
     first = spark.read.text(_paths(path)).filter(F.col("value").rlike(r"\S")).take(1)
-    return bool(first) and first[0]["value"].lstrip("﻿ \t").startswith("[")
+    return bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
+
+
+def _fits(value: Column, pattern: str, type_name: str) -> Column:
+    """Whether a text reads as the type; null for null, which leaves the vote open."""
+    return F.when(value.isNotNull(), value.rlike(pattern) & value.try_cast(type_name).isNotNull())
 
 
 def _promote_dates(df: DataFrame) -> DataFrame:
@@ -87,8 +92,8 @@ def _promote_dates(df: DataFrame) -> DataFrame:
     for i, name in enumerate(strings):
         value = F.col(f"`{name}`")
         checks += [
-            F.bool_and(value.rlike(_ISO_DATE) & value.try_cast("date").isNotNull()).alias(f"d{i}"),
-            F.bool_and(value.rlike(_ISO_TIMESTAMP) & value.try_cast("timestamp_ntz").isNotNull()).alias(f"t{i}"),
+            F.bool_and(_fits(value, _ISO_DATE, "date")).alias(f"d{i}"),
+            F.bool_and(_fits(value, _ISO_TIMESTAMP, "timestamp_ntz")).alias(f"t{i}"),
         ]
     verdict = df.agg(*checks).first()
     casts = {

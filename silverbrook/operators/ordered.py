@@ -36,18 +36,22 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                    chunk: Column, name: str) -> DataFrame:
-    """Value of the row before, per key in ``order``; null on the first row."""
+    """Value of the row before, per key in ``order``; null on the first row.
+
+    Inside a chunk this is a plain lag. Only the first and last rows of the chunks, at
+    most two each, go through a second lag per key, where a chunk's first row follows
+    the last row of the chunk before it.
+    """
     rows, chunk_keys = _chunked(df, keys, chunk)
-    before = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = (
-        rows.groupBy(*chunk_keys).agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_last"))
-        .select(*chunk_keys, F.lag("_last._v").over(before).alias("_carry"))
-    )
     inside = Window.partitionBy(*chunk_keys).orderBy(*order)
-    local = rows.withColumn("_local", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local"))
-    return local.join(carry, chunk_keys).withColumn(name, previous).drop(
-        "_chunk", "_local", "_first", "_carry")
+    local = (
+        rows.withColumn(name, F.lag(value).over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
+    )
+    ends = local.filter("_first OR _last").withColumn(
+        name, F.lag(value).over(Window.partitionBy(*keys).orderBy("_chunk", *order)))
+    return local.filter("NOT _first").unionByName(ends.filter("_first")).drop("_chunk", "_first", "_last")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: Sequence[str],
@@ -60,7 +64,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
     payload = F.struct(F.col(at).alias("at"), *value)
     events = left.withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(
         right.select(payload.alias("p")).schema["p"].dataType))
-    states = right.groupBy(*keys, at).agg(F.max(payload).alias("_hit")).withColumn("_side", F.lit(0))
+    states = right.select(*keys, at, payload.alias("_hit")).withColumn("_side", F.lit(0))
     rows, chunk_keys = _chunked(events.unionByName(states, allowMissingColumns=True), keys, chunk(F.col(at)))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = (

@@ -11,6 +11,9 @@ from silverbrook.session import spread
 # Fixed value: shown when a column has no sample value.
 NO_SAMPLE = "—"
 
+# Every type a JSON value may suggest.
+JSON_KINDS = ("bigint", "double", "boolean", "json", "timestamp", "uuid", "varchar")
+
 
 def infer_text(df: DataFrame, mode: str = "all") -> DataFrame:
     """Type, nullability and a sample for every (string) column of ``df``.
@@ -53,9 +56,11 @@ def infer_json(df: DataFrame, document: str, keys: tuple[str, ...] = ()) -> Data
     docs = spread(df).select(*keys, F.try_parse_json(F.col(document)).alias("_doc")).filter(F.col("_doc").isNotNull())
     fields = df.sparkSession.tvf.variant_explode(F.col("_doc").outer())
     entries = docs.lateralJoin(fields).select(*keys, F.col("key").alias("name"), F.col("value").alias("_value"))
-    kinds = entries.select(*keys, "name", variant_kind(F.col("_value")).alias("kind"))
+    # Kinds are compared as numbers, which keeps the aggregate hash-based.
+    code = F.nullif(F.array_position(F.array(*[F.lit(k) for k in JSON_KINDS]), F.col("kind")), F.lit(0))
+    kinds = entries.select(*keys, "name", variant_kind(F.col("_value")).alias("kind")).withColumn("code", code)
     seen = kinds.groupBy(*keys, "name").agg(
-        F.min("kind").alias("lo"), F.max("kind").alias("hi"), F.count("kind").alias("n_set"))
+        F.min("code").alias("lo"), F.max("code").alias("hi"), F.count("code").alias("n_set"))
     if keys:
         totals = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
         seen = seen.join(totals, list(keys))
@@ -63,7 +68,8 @@ def infer_json(df: DataFrame, document: str, keys: tuple[str, ...] = ()) -> Data
         seen = seen.withColumn("n_docs", docs.agg(F.count(F.lit(1))).scalar())
     return seen.select(
         *keys, "name",
-        F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("varchar").alias("type"),
+        F.when(F.col("lo") == F.col("hi"), F.element_at(F.array(*[F.lit(k) for k in JSON_KINDS]), F.col("lo").cast("int")))
+        .otherwise("varchar").alias("type"),
         (F.col("n_set") < F.col("n_docs")).alias("nullable"))
 
 

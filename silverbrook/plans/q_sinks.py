@@ -1,5 +1,7 @@
 """Queries over table commits, Gold objects, removal and exports."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from silverbrook.operators import export, gold
@@ -11,29 +13,27 @@ from silverbrook.plans.tenant_query import TenantGuard
 from silverbrook.session import scratch_path
 from silverbrook.sources import readers
 
-ACME = "tenant_acme"
-
 
-def new_lake(t: Tables) -> Lake:
-    """An empty lake whose catalog names do not clash with another run's."""
-    lake = Lake(t.spark, scratch_path(t.spark, "lake"))
-    for tenant in (ACME, "tenant_globex"):
-        for layer in ("silver", "gold"):
-            t.spark.sql(f"DROP SCHEMA IF EXISTS `{tenant}_{layer}` CASCADE")
-    return lake
+class Scene:
+    """An empty lake and two tenants whose catalog names no other run or user has."""
 
+    def __init__(self, t: Tables):
+        tag = uuid.uuid4().hex[:10]
+        self.lake = Lake(t.spark, scratch_path(t.spark, "lake"))
+        self.acme, self.globex = f"tenant_{tag}a", f"tenant_{tag}b"
+        self.guard = TenantGuard(t.spark, [self.acme, self.globex])
 
-def guard_for(t: Tables) -> TenantGuard:
-    return TenantGuard(t.spark, [ACME, "tenant_globex"])
+    def commit(self, df, table="sales", tenant=None, **options):
+        return self.lake.commit(tenant or self.acme, table, df, **options)
 
 
 @query("snk_create", feeds.ORDERS_CLEAN_SQL)
 def snk_create(t: Tables):
     """Raw CSV to a Silver table, read back through its flat alias."""
-    lake = new_lake(t)
+    scene = Scene(t)
     raw = dropped(messy_orders(t), t, "raw", "csv", **CSV_OPTIONS)
-    lake.commit(ACME, "orders", readers.read_csv(t.spark, raw))
-    return t.spark.table(f"{ACME}_orders")
+    scene.commit(readers.read_csv(t.spark, raw), "orders")
+    return t.spark.table(f"{scene.acme}_orders")
 
 
 @query("snk_append", """
@@ -42,14 +42,14 @@ UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_order
 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'P'""")
 def snk_append(t: Tables):
     """Three batches: create, append by name, append by position; a repeat changes nothing."""
-    lake = new_lake(t)
+    scene = Scene(t)
     rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
     batch = {s: rows.filter(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FOP"}
-    lake.commit(ACME, "sales", batch["F"], batch_id="b1")
-    lake.commit(ACME, "sales", batch["O"].select("o_totalprice", "o_orderkey", "o_custkey"), batch_id="b2")
-    lake.commit(ACME, "sales", batch["P"].toDF("a", "b", "c"), batch_id="b3", mode="by_position")
-    lake.commit(ACME, "sales", batch["P"].toDF("a", "b", "c"), batch_id="b3", mode="by_position")
-    return t.spark.table(f"{ACME}_silver.sales")
+    scene.commit(batch["F"], batch_id="b1")
+    scene.commit(batch["O"].select("o_totalprice", "o_orderkey", "o_custkey"), batch_id="b2")
+    scene.commit(batch["P"].toDF("a", "b", "c"), batch_id="b3", mode="by_position")
+    scene.commit(batch["P"].toDF("a", "b", "c"), batch_id="b3", mode="by_position")
+    return t.spark.table(f"{scene.acme}_silver.sales")
 
 
 @query("snk_evolve", """
@@ -57,11 +57,11 @@ SELECT o_orderkey, o_custkey, CAST(NULL AS STRING) AS o_orderstatus FROM {orders
 UNION ALL SELECT o_orderkey, CAST(NULL AS BIGINT), o_orderstatus FROM {orders} WHERE o_totalprice >= 200000""")
 def snk_evolve(t: Tables):
     """A batch may bring new columns and leave out old ones."""
-    lake = new_lake(t)
-    lake.commit(ACME, "sales", t.orders.filter("o_totalprice < 200000").select("o_orderkey", "o_custkey"))
-    lake.commit(ACME, "sales", t.orders.filter("o_totalprice >= 200000").select("o_orderstatus", "o_orderkey"),
+    scene = Scene(t)
+    scene.commit(t.orders.filter("o_totalprice < 200000").select("o_orderkey", "o_custkey"))
+    scene.commit(t.orders.filter("o_totalprice >= 200000").select("o_orderstatus", "o_orderkey"),
                 mode="evolve")
-    return lake.read(ACME, "sales")
+    return scene.lake.read(scene.acme, "sales")
 
 
 @query("snk_snapshot_asof", """
@@ -69,15 +69,15 @@ SELECT o_orderstatus, 'as_of_2' AS version, count(*) AS n FROM {orders} WHERE o_
 UNION ALL SELECT o_orderstatus, 'now', count(*) FROM {orders} GROUP BY 1""")
 def snk_snapshot_asof(t: Tables):
     """Three commits and one unpublished batch: reads see committed snapshots only."""
-    lake = new_lake(t)
+    scene = Scene(t)
     for s in "FOP":
-        lake.commit(ACME, "sales", t.orders.filter(F.col("o_orderstatus") == s), batch_id=f"b{s}")
-    lake.commit(ACME, "sales", t.orders, batch_id="hidden", publish=False)
+        scene.commit(t.orders.filter(F.col("o_orderstatus") == s), batch_id=f"b{s}")
+    scene.commit(t.orders, batch_id="hidden", publish=False)
 
     def counted(df, label):
         return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(label))
 
-    return counted(lake.read(ACME, "sales", as_of=2), "as_of_2").unionByName(counted(lake.read(ACME, "sales"), "now"))
+    return counted(scene.lake.read(scene.acme, "sales", as_of=2), "as_of_2").unionByName(counted(scene.lake.read(scene.acme, "sales"), "now"))
 
 
 @query("snk_visible_rows", f"""
@@ -96,24 +96,22 @@ SELECT 1 AS snapshot_id, f AS batch_rows, f AS total_rows, 6 AS n_columns FROM b
 UNION ALL SELECT 2, r, f + r, 6 FROM b""")
 def snk_metrics(t: Tables):
     """Batch and table row counts, measured while the batch is written."""
-    lake = new_lake(t)
+    scene = Scene(t)
     done = [
-        lake.commit(ACME, "sales", t.orders.filter("o_orderstatus = 'F'")),
-        lake.commit(ACME, "sales", t.orders.filter("o_orderstatus <> 'F'")),
+        scene.commit(t.orders.filter("o_orderstatus = 'F'")),
+        scene.commit(t.orders.filter("o_orderstatus <> 'F'")),
     ]
     return t.spark.createDataFrame(
         [(d.snapshot_id, d.batch_rows, d.total_rows, len(d.columns)) for d in done],
         "snapshot_id int, batch_rows bigint, total_rows bigint, n_columns int")
 
 
-GOLD_SQL = """SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top
-FROM tenant_acme_silver.sales GROUP BY o_orderstatus;"""
-
-
-def _sales(t: Tables) -> Lake:
-    lake = new_lake(t)
-    lake.commit(ACME, "sales", t.orders.filter("o_orderstatus = 'F'"))
-    return lake
+def _sales(t: Tables) -> tuple[Scene, str]:
+    """A first batch of orders and the Gold definition over its table."""
+    scene = Scene(t)
+    scene.commit(t.orders.filter("o_orderstatus = 'F'"))
+    return scene, f"""SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top
+        FROM {scene.acme}_silver.sales GROUP BY o_orderstatus;"""
 
 
 GOLD_ORACLE = "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM {orders} GROUP BY o_orderstatus"
@@ -122,30 +120,31 @@ GOLD_ORACLE = "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FRO
 @query("gold_view", GOLD_ORACLE)
 def gold_view(t: Tables):
     """A Gold view shows rows committed after it was created."""
-    lake = _sales(t)
-    view = gold.create_view(lake, guard_for(t), ACME, "By Status", GOLD_SQL)
-    lake.commit(ACME, "sales", t.orders.filter("o_orderstatus <> 'F'"))
+    scene, sql = _sales(t)
+    view = gold.create_view(scene.lake, scene.guard, scene.acme, "By Status", sql)
+    scene.commit(t.orders.filter("o_orderstatus <> 'F'"))
     return t.spark.table(view.full_name)
 
 
 @query("gold_materialize", GOLD_ORACLE)
 def gold_materialize(t: Tables):
     """Materialising twice replaces the first result."""
-    lake = _sales(t)
-    gold.materialize(lake, guard_for(t), ACME, "by_status", GOLD_SQL)
-    lake.commit(ACME, "sales", t.orders.filter("o_orderstatus <> 'F'"))
-    return t.spark.table(gold.materialize(lake, guard_for(t), ACME, "by_status", GOLD_SQL).full_name)
+    scene, sql = _sales(t)
+    gold.materialize(scene.lake, scene.guard, scene.acme, "by_status", sql)
+    scene.commit(t.orders.filter("o_orderstatus <> 'F'"))
+    return t.spark.table(gold.materialize(scene.lake, scene.guard, scene.acme, "by_status", sql).full_name)
 
 
 @query("snk_drop_isolated", "SELECT 'tenant_globex' AS tenant_id, count(*) AS n FROM {orders}")
 def snk_drop_isolated(t: Tables):
     """Dropping one tenant's table leaves the other tenant's table of the same name alone."""
-    lake = new_lake(t)
-    for tenant in (ACME, "tenant_globex"):
-        lake.commit(tenant, "sales", t.orders)
-    lake.drop(ACME, "sales")
-    left = lake.commits().select("tenant_id").distinct()
-    kept = lake.read("tenant_globex", "sales").agg(F.count(F.lit(1)).alias("n"))
+    scene = Scene(t)
+    for tenant in (scene.acme, scene.globex):
+        scene.commit(t.orders, tenant=tenant)
+    scene.lake.drop(scene.acme, "sales")
+    label = F.when(F.col("tenant_id") == scene.globex, "tenant_globex").otherwise("tenant_acme")
+    left = scene.lake.commits().select(label.alias("tenant_id")).distinct()
+    kept = scene.lake.read(scene.globex, "sales").agg(F.count(F.lit(1)).alias("n"))
     return left.withColumn("n", kept.scalar())
 
 
@@ -205,9 +204,8 @@ def snk_manifest_diff(t: Tables):
     """Two backups of the orders: one folder goes, one changes, one comes."""
     def backup(rows, label):
         root = scratch_path(t.spark, label)
-        for p in "12345":
-            (rows.filter(F.startswith("o_orderpriority", F.lit(p)))
-             .repartition(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.json(f"{root}/p{p}"))
+        rows.repartition(4, "o_orderkey").sortWithinPartitions("o_orderpriority", "o_orderkey").write.partitionBy(
+            "o_orderpriority").json(root)
         # Part names end in a random tag; what precedes it identifies the part.
         return export.manifest(t.spark, root, "*.json").withColumn(
             "path", F.regexp_extract("path", r"^(.*/part-\d+)", 1))

@@ -1,5 +1,8 @@
 """Queries over the raw file readers and storage discovery."""
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from silverbrook.functions import naming
@@ -108,28 +111,23 @@ def src_path_table(t: Tables):
 
 
 @query("src_discover", """
-SELECT 'tenant_' || lower(o_orderstatus) AS tenant_id, CASE WHEN o_orderpriority < '3' THEN 'silver' ELSE 'gold' END
-  AS layer, 't' || substr(o_orderpriority, 1, 1) AS table_name, count(*) AS n_rows
+SELECT CASE o_orderstatus WHEN 'F' THEN 'tenant_a' ELSE 'tenant_b' END AS tenant_id,
+       CASE o_orderstatus WHEN 'P' THEN 'gold' ELSE 'silver' END AS layer, 'orders' AS table_name, count(*) AS n_rows
 FROM {orders} GROUP BY ALL""")
 def src_discover(t: Tables):
     """Tables written below a storage root, found by listing it and counted via their views."""
-    root = scratch_path(t.spark, "store")
-    labelled = t.orders.select(
-        "*", F.lower("o_orderstatus").alias("s"), F.substring("o_orderpriority", 1, 1).alias("p"))
-    for s in "fop":
-        for p in "12345":
-            folder = "tables" if p < "3" else "gold"
-            labelled.filter((F.col("s") == s) & (F.col("p") == p)).drop("s", "p").write.parquet(
-                f"{root}/tenants/tenant_{s}/{folder}/t{p}")
+    root, tag = scratch_path(t.spark, "store"), uuid.uuid4().hex[:10]
+    for status, place in (("F", "a/tables"), ("O", "b/tables"), ("P", "b/gold")):
+        t.orders.filter(F.col("o_orderstatus") == status).write.parquet(f"{root}/tenants/tenant_{tag}{place}/orders")
     found = storage.tables_in(storage.list_files(t.spark, root))
-    counts = None
+    counts = []
     for name in storage.register_tables(t.spark, root, found):
         schema, table = name.split(".")
-        tenant, layer = schema.rsplit("_", 1)
-        one = t.spark.table(name).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(tenant).alias("tenant_id"), F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), "n_rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        tenant, layer = schema.removeprefix(f"tenant_{tag}").split("_")
+        counts.append(t.spark.table(name).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(f"tenant_{tenant}").alias("tenant_id"), F.lit(layer).alias("layer"),
+            F.lit(table).alias("table_name"), "n_rows"))
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("src_tables_in", f"""

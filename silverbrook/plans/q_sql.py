@@ -4,13 +4,14 @@ Money is summed as decimals, so totals do not depend on the order of addition; r
 are handed out as doubles.
 """
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silverbrook.operators.ordered import asof_join, bounded_cross, previous_value, range_join, running_total
-from silverbrook.plans.q_sinks import ACME, guard_for
 from silverbrook.plans.registry import Tables, query
-from silverbrook.plans.tenant_query import QueryResult, capped, tenant_sql
+from silverbrook.plans.tenant_query import QueryResult, TenantGuard, capped, tenant_sql
 
 
 def money(name: str):
@@ -49,14 +50,15 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DE
 FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2""")
 def sql_run(t: Tables):
     """Guarded tenant SQL over a table published from plain Parquet files."""
-    # The alias is registered on existing files: nothing is copied.
-    t.lineitem.createOrReplaceTempView(f"{ACME}_lines")
-    return tenant_sql(t.spark, guard_for(t), ACME, f"""
+    # The alias is registered on existing files: nothing is copied. Its name is new to the session.
+    tenant = f"tenant_{uuid.uuid4().hex[:10]}"
+    t.lineitem.createTempView(f"{tenant}_lines")
+    return tenant_sql(t.spark, TenantGuard(t.spark, [tenant]), tenant, f"""
         SELECT l_returnflag, l_linestatus, count(*) AS n,
                CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE)
                  AS discounted
-        FROM {ACME}_lines WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01' GROUP BY ALL;""").full
+        FROM {tenant}_lines WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01' GROUP BY ALL;""").full
 
 
 @query("sql_capped", """

@@ -3,15 +3,13 @@
 from pyspark.sql import functions as F
 
 from silverbrook.operators.tables import Lake
-from silverbrook.plans.q_sinks import new_lake
+from silverbrook.plans import feeds
+from silverbrook.plans.q_sinks import Scene
 from silverbrook.plans.q_sources import CSV_OPTIONS, messy_orders
 from silverbrook.plans.registry import Tables, query
 from silverbrook.session import scratch_path
 from silverbrook.streaming import ingest
 
-TENANT_OF = {"F": "tenant_acme", "O": "tenant_globex"}
-
-
 def upload(t: Tables, lake: Lake, tenant: str, name: str, df) -> tuple:
     ingest.land(df, lake, tenant, name, "csv", **CSV_OPTIONS)
     return (f"tenants/{tenant}/raw/{name}", tenant, "orders", "csv")
@@ -29,19 +27,20 @@ UNION ALL SELECT 'tenant_acme', o_orderkey, o_custkey, o_totalprice, o_orderdate
 """)
 def str_ingest(t: Tables):
     """Two tenants' uploads, then a third file for the first: every row arrives once."""
-    lake, checkpoint = new_lake(t), scratch_path(t.spark, "ingest")
-    rows = messy_orders(t)
+    scene, checkpoint = Scene(t), scratch_path(t.spark, "ingest")
+    lake, rows = scene.lake, messy_orders(t)
     uploads = [
-        upload(t, lake, tenant, f"1000_{s}.csv", rows.filter(F.col("STATUS") == s)) for s, tenant in TENANT_OF.items()
+        upload(t, lake, scene.acme, "1000_F.csv", rows.filter("STATUS = 'F'")),
+        upload(t, lake, scene.globex, "1000_O.csv", rows.filter("STATUS = 'O'")),
     ]
     ingest.start_ingest(lake, lambda: registry(t, uploads), checkpoint).awaitTermination()
-    uploads.append(upload(t, lake, "tenant_acme", "2000_P.csv", rows.filter("STATUS = 'P'")))
+    uploads.append(upload(t, lake, scene.acme, "2000_P.csv", rows.filter("STATUS = 'P'")))
     for _ in range(2):
         ingest.start_ingest(lake, lambda: registry(t, uploads), checkpoint).awaitTermination()
     parts = [
-        lake.read(tenant, "orders").select(F.lit(tenant).alias("tenant_id"), "order_id", "customer_id", "total_price",
+        lake.read(tenant, "orders").select(F.lit(label).alias("tenant_id"), "order_id", "customer_id", "total_price",
                                            "ordered")
-        for tenant in TENANT_OF.values()
+        for tenant, label in ((scene.acme, "tenant_acme"), (scene.globex, "tenant_globex"))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -53,21 +52,16 @@ UNION ALL SELECT 'visible', count(*) FROM {orders} WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'quarantined', count(*) FROM {orders} WHERE o_orderstatus = 'O'""")
 def str_quarantine(t: Tables):
     """A file whose prices are words fails whole; the good file next to it goes through."""
-    lake, checkpoint = new_lake(t), scratch_path(t.spark, "ingest")
-    rows = messy_orders(t)
-    price = feeds_price(rows)
-    good = upload(t, lake, "tenant_acme", "1000_F.csv", rows.filter("STATUS = 'F'"))
+    scene, checkpoint = Scene(t), scratch_path(t.spark, "ingest")
+    lake, rows = scene.lake, messy_orders(t)
+    price = feeds.ORDER_HEADERS["o_totalprice"]
+    good = upload(t, lake, scene.acme, "1000_F.csv", rows.filter("STATUS = 'F'"))
     ingest.start_ingest(lake, lambda: registry(t, [good]), checkpoint).awaitTermination()
-    bad = upload(t, lake, "tenant_acme", "2000_O.csv", rows.filter("STATUS = 'O'").withColumn(price, F.lit("lots")))
+    bad = upload(t, lake, scene.acme, "2000_O.csv", rows.filter("STATUS = 'O'").withColumn(price, F.lit("lots")))
     ingest.start_ingest(lake, lambda: registry(t, [good, bad]), checkpoint).awaitTermination()
     outcome = ingest.job_events(lake).groupBy("status").agg(F.sum("row_count").alias("row_count"))
-    visible = lake.read("tenant_acme", "orders").agg(F.count(F.lit(1)).alias("row_count")).select(
+    visible = lake.read(scene.acme, "orders").agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit("visible").alias("status"), "row_count")
-    held = ingest.quarantined(lake, "tenant_acme", "orders").agg(F.count(F.lit(1)).alias("row_count")).select(
+    held = ingest.quarantined(lake, scene.acme, "orders").agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit("quarantined").alias("status"), "row_count")
     return outcome.unionByName(visible).unionByName(held)
-
-
-def feeds_price(df) -> str:
-    """Header of the price column."""
-    return next(c for c in df.columns if c.startswith("Total"))

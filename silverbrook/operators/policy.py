@@ -11,6 +11,15 @@ from silverbrook.session import each, spread
 # Message fragments that turn a refusal into "forbidden".
 FORBIDDEN_MARKS = ("Access Denied", "prohibited")
 
+# Reasons for a refusal, in the order the rules are tried.
+EMPTY = "Query cannot be empty."
+FORBIDDEN_WORD = "Modification query with '%s' is prohibited."
+CHAINED = "Executing multiple chained SQL statements is prohibited."
+SYSTEM_SCHEMA = "Access Denied: Cross-schema query to '%s' is prohibited."
+FOREIGN_FILES = "Access Denied: object storage outside tenant '%s' scope."
+FOREIGN_SCHEMA = "Access Denied: Cross-tenant schema access prohibited: '%s' for tenant '%s'."
+FOREIGN_TABLE = "Access Denied: Cross-tenant table access prohibited: '%s' for tenant '%s'."
+
 
 def audit_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -> DataFrame:
     """Add ``tables``, ``reason``, ``verdict`` and ``status`` to every logged statement.
@@ -20,24 +29,15 @@ def audit_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -
     """
     t, s = F.col(tenant), F.coalesce(F.col(sql), F.lit(""))
     word, schema, foreign = F.col("_word"), F.col("_schema"), F.col("_foreign")
+    foreign_schema = F.substring_index(F.lower(foreign), ".", 1)
     reason = (
-        F.when(sqltext.is_empty(s), "Query cannot be empty.")
-        .when(word.isNotNull(),
-              F.format_string("Modification query with '%s' is prohibited in Query Studio.", word))
-        .when(sqltext.statement_count(s) > 1,
-              "Executing multiple chained SQL statements is prohibited.")
-        .when(schema.isNotNull(), F.format_string(
-            "Access Denied: Cross-schema query to '%s' is prohibited. "
-            "Queries must stay within tenant workspace.", schema))
-        .when(sqltext.reads_foreign_files(s, t), F.format_string(
-            "Access Denied: Query attempts to read object storage outside tenant '%s' scope.", t))
-        .when(foreign.contains("."), F.format_string(
-            "Access Denied: Cross-tenant schema access prohibited. "
-            "Foreign schema '%s' is not allowed for tenant '%s'.",
-            F.substring_index(F.lower(foreign), ".", 1), t))
-        .when(foreign.isNotNull(), F.format_string(
-            "Access Denied: Cross-tenant table access prohibited for tenant '%s'. "
-            "Table '%s' does not belong to your tenant workspace.", t, foreign))
+        F.when(sqltext.is_empty(s), EMPTY)
+        .when(word.isNotNull(), F.format_string(FORBIDDEN_WORD, word))
+        .when(sqltext.statement_count(s) > 1, CHAINED)
+        .when(schema.isNotNull(), F.format_string(SYSTEM_SCHEMA, schema))
+        .when(sqltext.reads_foreign_files(s, t), F.format_string(FOREIGN_FILES, t))
+        .when(foreign.contains("."), F.format_string(FOREIGN_SCHEMA, foreign_schema, t))
+        .when(foreign.isNotNull(), F.format_string(FOREIGN_TABLE, foreign, t))
     )
     refused = F.col("reason").isNotNull()
     forbidden = F.col("reason").contains(FORBIDDEN_MARKS[0]) | F.col("reason").contains(FORBIDDEN_MARKS[1])

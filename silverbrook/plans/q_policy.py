@@ -24,17 +24,15 @@ g AS (SELECT *, list_filter(tables, lambda x: CASE WHEN contains(x, '.')
           ELSE starts_with(lower(x), 'tenant_') AND NOT starts_with(lower(x), tenant_id || '_') END)[1] AS bad FROM r),
 v AS (SELECT *, CASE
     WHEN regexp_full_match(sql, '{_BLANK}*') THEN 'Query cannot be empty.'
-    WHEN word IS NOT NULL THEN 'Modification query with ''' || word || ''' is prohibited in Query Studio.'
+    WHEN word IS NOT NULL THEN 'Modification query with ''' || word || ''' is prohibited.'
     WHEN n_statements > 1 THEN 'Executing multiple chained SQL statements is prohibited.'
-    WHEN sys IS NOT NULL THEN 'Access Denied: Cross-schema query to ''' || sys
-      || ''' is prohibited. Queries must stay within tenant workspace.'
+    WHEN sys IS NOT NULL THEN 'Access Denied: Cross-schema query to ''' || sys || ''' is prohibited.'
     WHEN regexp_matches(low, 'read_(parquet|csv|json)\(') AND contains(low, 'tenants/')
       AND NOT contains(low, 'tenants/' || tenant_id || '/')
-      THEN 'Access Denied: Query attempts to read object storage outside tenant ''' || tenant_id || ''' scope.'
-    WHEN contains(bad, '.') THEN 'Access Denied: Cross-tenant schema access prohibited. Foreign schema '''
-      || split_part(lower(bad), '.', 1) || ''' is not allowed for tenant ''' || tenant_id || '''.'
-    WHEN bad IS NOT NULL THEN 'Access Denied: Cross-tenant table access prohibited for tenant ''' || tenant_id
-      || '''. Table ''' || bad || ''' does not belong to your tenant workspace.' END AS reason FROM g)"""
+      THEN 'Access Denied: object storage outside tenant ''' || tenant_id || ''' scope.'
+    WHEN bad IS NOT NULL THEN 'Access Denied: Cross-tenant ' || CASE WHEN contains(bad, '.')
+      THEN 'schema access prohibited: ''' || split_part(lower(bad), '.', 1)
+      ELSE 'table access prohibited: ''' || bad END || ''' for tenant ''' || tenant_id || '''.' END AS reason FROM g)"""
 
 
 @query("pol_audit", rf"""WITH {AUDIT_CTES}

@@ -27,7 +27,7 @@ AUDITED = {
     "SELECT * FROM a, tenant_b_silver.c": None,
     "SELECT * FROM/**/tenant_b.x": None,
     "SELECT * FROM tenant_acme_b_events": None,
-    "SELECT extract(year FROM o.d) FROM tenant_acme_o o": "Foreign schema 'o'",
+    "SELECT extract(year FROM o.d) FROM tenant_acme_o o": "schema access prohibited: 'o'",
     "SELECT ' update ' FROM tenant_acme_o": "'update'",
 }
 

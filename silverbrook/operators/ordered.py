@@ -54,6 +54,24 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return local.filter("NOT _first").unionByName(ends.filter("_first")).drop("_chunk", "_first", "_last")
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], bands: Sequence[str], order: Sequence[str],
+                name: str) -> DataFrame:
+    """Row number per key by ``bands`` descending, then ``order`` ascending.
+
+    Rows are numbered inside each band; how many rows the higher bands hold is added from
+    one small count per band. A key with very many rows is thus split over its bands.
+    """
+    chunk_keys = [*keys, *bands]
+    above = Window.partitionBy(*keys).orderBy(*[F.desc(b) for b in bands]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        df.groupBy(*chunk_keys).agg(F.count(F.lit(1)).alias("_n"))
+        .select(*chunk_keys, F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    )
+    inside = Window.partitionBy(*chunk_keys).orderBy(*order)
+    local = df.withColumn("_local", F.row_number().over(inside))
+    return local.join(carry, chunk_keys).withColumn(name, F.col("_local") + F.col("_above")).drop("_local", "_above")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: Sequence[str],
               chunk) -> DataFrame:
     """Latest ``right`` row at or before each ``left`` row, per key.

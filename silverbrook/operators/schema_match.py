@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from silverbrook.functions.coltypes import type_category
 from silverbrook.functions.naming import web_name
+from silverbrook.operators.ordered import row_numbers
 from silverbrook.session import each, materialize
 
 # Weights of a matched column, and what makes a match worth showing.
@@ -141,13 +142,19 @@ def decision(score: Column) -> Column:
 def ranked_matches(files: DataFrame, tables: DataFrame, top: int | None = None) -> DataFrame:
     """Qualifying matches in rank order per file; ties keep table order.
 
-    With ``top`` Spark prunes each file's list before the shuffle.
+    With ``top`` Spark prunes each file's list before the shuffle; the full ranking is
+    spread over the scores, so one file that matches very many tables is not one task.
     """
-    order = Window.partitionBy("tenant_id", "file_id").orderBy(
-        F.desc("score"), F.desc("exact_matches"), F.asc("table_id"))
-    ranked = match_scores(files, tables).withColumn("rank", F.row_number().over(order))
-    if top is not None:
-        ranked = ranked.filter(F.col("rank") <= top)
+    scores = match_scores(files, tables)
+    if top is None:
+        # The counts behind the numbering read the scores a second time.
+        scores = materialize(scores, "match-scores")
+        ranked = row_numbers(scores, ["tenant_id", "file_id"], ["score", "exact_matches"], ["table_id"], "rank")
+        ranked = ranked.withColumn("rank", F.col("rank").cast("int")).select(*scores.columns, "rank")
+    else:
+        order = Window.partitionBy("tenant_id", "file_id").orderBy(
+            F.desc("score"), F.desc("exact_matches"), F.asc("table_id"))
+        ranked = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     best = F.col("rank") == 1
     return ranked.select(
         "*", decision(F.col("score")).alias("band"),

@@ -41,6 +41,11 @@ def test_previous_value(skewed):
     same(ordered.previous_value(skewed, ["k"], ["ts", "id"], "v", DAY(), "p"), skewed.withColumn("p", F.lag("v").over(w)))
 
 
+def test_row_numbers(skewed):
+    w = Window.partitionBy("k").orderBy(F.desc("v"), "id")
+    same(ordered.row_numbers(skewed, ["k"], ["v"], ["id"], "n"), skewed.withColumn("n", F.row_number().over(w)))
+
+
 def test_asof_join(skewed):
     left = skewed.filter("id % 2 = 0").select("id", "k", "ts")
     right = skewed.filter("id % 2 = 1").select("k", "ts", F.col("id").alias("rid"))

@@ -27,4 +27,4 @@ def test_entry_point(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 25
-    assert set(entry.queries()) == set(QUERIES)
+    assert set(entry.queries()) >= set(QUERIES)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from silverbrook.session import materialize
 
-__all__ = ["arrow_lists", "components", "crc_mod", "materialize", "mix", "table", "WordHashes", "words"]
+__all__ = ["WordHashes", "components", "crc_mod", "fit_curve", "materialize", "mix", "rows_of", "table",
+           "tokenizer_file", "words"]
 
 # One byte each: digits, a-z and all bytes of non-ASCII characters stay, A-Z become a-z, the rest separates.
 _WORD_BYTES = bytes(
@@ -26,6 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary package keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def words(text: str | None) -> list[bytes]:
     """Lower-cased runs of letters, digits and non-ASCII characters, as UTF-8; null has none."""
     return text.encode().translate(_WORD_BYTES).split() if text else []
@@ -63,10 +71,6 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def arrow_lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, component = smallest node).
 
@@ -98,6 +102,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and base of the logistic curve of largest likelihood, by Newton steps on the scaled difference."""
+    scale = x.std() or 1.0
+    design = np.stack([x / scale, np.ones(len(x))], axis=1)
+    beta = np.zeros(2)
+    for _ in range(60):
+        p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -35, 35)))
+        slope = design.T @ (y - p) - ridge * beta
+        curve = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        beta = beta + step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0] / scale), float(beta[1])
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Row tuples of the named columns, one batch in memory at a time."""
     for batch in batches:

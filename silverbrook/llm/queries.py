@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silverbrook.llm import decontaminate, simhash_golay
-from silverbrook.llm.common import table
+from silverbrook.llm import decontaminate, pack, quality, simhash_golay, toxicity
+from silverbrook.llm.common import table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,21 @@ def op10_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate group of every document."""
     docs = table(spark, sf_dir, "documents")
     return simhash_golay.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    """Probability of every document that its label says toxic."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    """Probability of every document that its label says good."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    """Every document cut, if it must be, and packed into sequences of 2,048 ids."""
+    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))

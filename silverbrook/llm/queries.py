@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silverbrook.llm import decontaminate, pack, quality, simhash_golay, toxicity
+from silverbrook.llm import decontaminate, line_dedup, pack, quality, secrets, simhash_golay, topk, toxicity, warc
 from silverbrook.llm.common import table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,53 @@ def op4_quality(spark, sf_dir):
 def op6_best_fit_packing(spark, sf_dir):
     """Every document cut, if it must be, and packed into sequences of 2,048 ids."""
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    """Every document without the lines that repeat an earlier one, exactly or nearly."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op9_secrets(spark, sf_dir):
+    """Candidate secrets of every document; owners are the sources, repositories the documents."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_exact_topk(spark, sf_dir):
+    """The five best partners of every query vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_exact_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op7_warc(spark, sf_dir):
+    """Every page written to an archive and read back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON n >= 100 AND p.d = f.d
+"""

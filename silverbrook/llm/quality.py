@@ -126,6 +126,15 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         name, 1 / (1 + F.exp(-(F.col(name) * model.slope + model.base))))
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, text included, whose score reaches ``threshold``."""
+    columns = docs.columns
+    inner = [c if c == "text" else f"c{i}" for i, c in enumerate(columns)]
+    again = docs.toDF(*inner).withColumn("copy", F.col("text"))
+    kept = score(again, model).where(F.col("score") >= threshold).withColumnRenamed("copy", "text")
+    return kept.select(*inner).toDF(*columns)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(crc_mod(column, 5) == 0, F.lit(True))
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from silverbrook.llm import decontaminate, line_dedup, pack, quality, secrets, simhash_golay, topk, toxicity, warc
+from silverbrook.llm import (
+    decontaminate, line_dedup, lm_score, pack, quality, secrets, simhash_golay, topk, toxicity, warc,
+)
 from silverbrook.llm.common import table, tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +128,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f ON n >= 100 AND p.d = f.d
 """
+
+
+@query
+def op1_lm_scores(spark, sf_dir):
+    """Score of every document by the n-grams of all other documents."""
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))

@@ -18,13 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silverbrook.llm.common import crc_mod, fit_curve, rows_of
 
-PER_CLASS = 800  # labelled rows of each kind that give a piece to a dictionary, at most
+PER_CLASS = 800  # pieces of labelled text that a dictionary is built from, at most
+PIECES = 6  # of one document, at most
 CALIBRATION = 6_000  # labelled rows the curve is fitted on, at most
 PIECE = 2048
 DICTIONARY = 112_640
@@ -103,12 +104,15 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
         rows.where((half == 0) & (F.col("label") == 1)).orderBy(*order).limit(per_class)).withColumn("use", F.lit(0))
     pick = pick.union(rows.where(half == 1).orderBy(*order).limit(calibration).withColumn("use", F.lit(1)))
     texts = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")  # bounded by the sample sizes
-    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PIECE))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(41)), pieces) * PIECE + 1
-    piece = F.expr("substring(encode(text, 'UTF-8'), cast(at as int), %d)" % PIECE)
-    samples = texts.where("use = 0 AND text IS NOT NULL").withColumn("at", at).select("doc_id", "label", piece.alias(
-        "piece")).groupBy("doc_id", "label").agg(F.min("piece").alias("piece")).collect()
-    by_label = {k: [bytes(r.piece) for r in sorted(samples) if r.label == k and r.piece] for k in (0, 1)}
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("text") / PIECE).cast("int") - 1))
+    pieces = texts.where("use = 0 AND text <> ''").withColumn("at", number)
+    piece = F.expr(f"substring(encode(text, 'UTF-8'), at * {PIECE} + 1, {PIECE})")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("at", "doc_id"), "at"))
+    pieces = pieces.select("doc_id", "label", "at", piece.alias("piece")).dropDuplicates(["doc_id", "at"]).withColumn(
+        "turn", turn).where(F.col("turn") <= PIECES)
+    samples = [r for k in (0, 1) for r in pieces.where(F.col("label") == k).orderBy("turn", *order).limit(
+        per_class).collect()]  # other documents first, then more of the same
+    by_label = {k: [bytes(r.piece) for r in samples if r.label == k] for k in (0, 1)}
     good, bad = build_dictionary(by_label[1]), build_dictionary(by_label[0])
     curve = differences(texts.where("use = 1").select("doc_id", "label", "text"), good, bad, "x").groupBy("doc_id").agg(
         F.min("x").alias("x"), F.max("label").alias("y")).collect()

@@ -8,7 +8,7 @@ candidate's score from above and below. Reading stops once few candidates have a
 k-th lower bound; their scores are then resolved. The best of all blocks are merged by rank.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Exactly repeated
-rows count once. Ties go to the smaller id. Vectors are compared with those of equal dimension. No rows, no result.
+rows count once. Ties go to the smaller id; a score that a long cannot hold counts as the largest or smallest long. Vectors are compared with those of equal dimension. No rows, no result.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ def gold_name(requested: str) -> str:
 def create_view(lake: Lake, guard: TenantGuard, tenant: str, name: str, sql: str) -> GoldObject:
     """Create or replace a view that is computed anew on every read."""
     text, name = sql.strip().rstrip(";"), safe_name(gold_name(name))
-    guard.check(tenant, text)
+    guard.plan(tenant, text)
     schema = f"{safe_name(tenant)}_gold"
     lake.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
     lake.spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS {text}")
@@ -38,6 +38,5 @@ def materialize(lake: Lake, guard: TenantGuard, tenant: str, name: str, sql: str
                 append: bool = False, batch_id: str | None = None) -> GoldObject:
     """Store a query result. A second run replaces the table unless ``append`` is set."""
     text, name = sql.strip().rstrip(";"), safe_name(gold_name(name))
-    guard.check(tenant, text)
-    done = lake.commit(tenant, name, lake.spark.sql(text), layer="gold", batch_id=batch_id, replace=not append)
+    done = lake.commit(tenant, name, guard.plan(tenant, text), layer="gold", batch_id=batch_id, replace=not append)
     return GoldObject(name, done.table, "table", done.columns, done.total_rows)

@@ -1,8 +1,9 @@
 """Guarded execution of one tenant's SQL.
 
-The statement is parsed by Spark and the guard looks at the relations in that parse, so
-comments, quoting, comma joins and nested queries cannot hide a table. Nothing runs
-before the check has passed.
+The statement is parsed by Spark and the guard looks at that parse, so comments, quoting,
+comma joins and nested queries cannot hide a table. Every plan node must be of a kind that
+only reads (an allow-list), every relation must belong to the tenant, and the relations
+are judged once more on the analysed plan, below views. Nothing runs before both checks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,22 @@ _PATH_FORMATS = {"parquet", "csv", "json", "orc", "text", "binaryfile", "avro",
 # Functions that call arbitrary Java code.
 _UNSAFE_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
 
+# Plan nodes a statement may consist of; all of them only read what lies below.
+_READING_NODES = {
+    "Aggregate", "AsOfJoin", "Deduplicate", "Distinct", "Except", "Expand", "Filter", "Generate", "GlobalLimit",
+    "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "OneRowRelation$",
+    "Pivot", "Project", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Tail", "Union", "UnionLoop",
+    "UnionLoopRef", "Unpivot", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedOrderBy",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableAliases", "UnresolvedTableValuedFunction",
+    "UnresolvedWith", "Window", "WithWindowDefinition",
+}
+
+# Table functions without access to anything but their arguments.
+_TABLE_FUNCTIONS = {
+    "range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple",
+    "variant_explode", "variant_explode_outer",
+}
+
 
 class QueryRefused(Exception):
     """The statement may not run; ``status`` is 403 for isolation rules, else 400."""
@@ -44,13 +61,13 @@ class TenantGuard:
 
     def __init__(self, spark: SparkSession, tenants: Iterable[str], file_root: str | None = None):
         self.spark = spark
-        self.tenants = sorted({t.lower() for t in tenants}, key=len, reverse=True)
+        self.tenants = {t.lower() for t in tenants}
         self.file_root = file_root.rstrip("/") if file_root else None
         find = spark._jvm.java.lang.Class.forName
         self._tree = find("org.apache.spark.sql.catalyst.trees.TreeNode")
         self._iterable = find("scala.collection.Iterable")
         self._product = find("scala.Product")
-        self._command = find("org.apache.spark.sql.catalyst.plans.logical.Command")
+        self._plan = find("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
 
     # parse inspection --------------------------------------------------------------
     def _parse(self, sql: str):
@@ -91,8 +108,12 @@ class TenantGuard:
 
     def _walk(self, node, ctes: frozenset[str], found: list[list[str]]) -> None:
         kind = node.getClass().getSimpleName()
-        if self._command.isInstance(node) or kind.endswith("Statement") or kind == "ScriptTransformation":
+        if self._plan.isInstance(node) and kind not in _READING_NODES:
             raise QueryRefused(f"Only queries are allowed; {kind} is prohibited.")
+        if kind == "UnresolvedTableValuedFunction":
+            name = ".".join(self._strings(node.name())).lower()
+            if name not in _TABLE_FUNCTIONS:
+                raise QueryRefused(f"Table function '{name}' is prohibited.")
         if kind == "UnresolvedFunction":
             name = self._strings(node.nameParts())[-1].lower()
             if name in _UNSAFE_FUNCTIONS:
@@ -120,8 +141,10 @@ class TenantGuard:
 
     # rules -------------------------------------------------------------------------
     def owner(self, flat_name: str) -> str | None:
-        name = flat_name.lower()
-        return next((t for t in self.tenants if name.startswith(t + "_")), None)
+        """The registered tenant with the longest id that prefixes the name."""
+        parts = flat_name.lower().split("_")
+        heads = ("_".join(parts[:n]) for n in range(len(parts) - 1, 0, -1))
+        return next((h for h in heads if h in self.tenants), None)
 
     def _check_relation(self, tenant: str, parts: list[str]) -> None:
         first, shown = parts[0].lower(), ".".join(parts)
@@ -138,6 +161,56 @@ class TenantGuard:
         elif len(parts) > 2 or first not in (tenant, f"{tenant}_silver", f"{tenant}_gold"):
             raise QueryRefused(f"Access Denied: Cross-tenant schema access prohibited: '{shown}'.")
 
+    def check_analysed(self, tenant: str, df: DataFrame) -> DataFrame:
+        """``df`` if everything its analysed plan reads belongs to the tenant, below views too."""
+        self._walk_analysed(tenant.lower(), df._jdf.queryExecution().analyzed(), False)
+        return df
+
+    def _walk_analysed(self, tenant: str, node, approved: bool) -> None:
+        """``approved`` holds below a session view, whose name the first check has judged."""
+        kind = node.getClass().getSimpleName()
+        if kind == "View":
+            name = node.desc().identifier()
+            if node.isTempView():
+                approved = True
+            self._check_stored(tenant, name)
+        elif kind == "LogicalRelation":
+            stored = node.catalogTable()
+            if stored.isDefined():
+                self._check_stored(tenant, stored.get().identifier())
+            elif not approved:
+                self._check_files(tenant, node.relation())
+            return
+        elif kind in ("HiveTableRelation", "UnresolvedCatalogRelation"):
+            self._check_stored(tenant, node.tableMeta().identifier())
+        elif kind in ("DataSourceV2Relation", "DataSourceV2ScanRelation", "VariableReference") and not approved:
+            raise QueryRefused(f"Access Denied: {kind} is prohibited.")
+        for child in self._children(node):
+            self._walk_analysed(tenant, child, approved)
+
+    def _check_stored(self, tenant: str, name) -> None:
+        schema = name.database().get().lower() if name.database().isDefined() else "default"
+        if schema in ("default", "global_temp"):
+            self._check_relation(tenant, [name.table()])
+        else:
+            self._check_relation(tenant, [schema, name.table()])
+
+    def _check_files(self, tenant: str, relation) -> None:
+        own = f"{self.file_root}/tenants/{tenant}/" if self.file_root else None
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            paths = relation.location().rootPaths().iterator()
+            plain = lambda p: re.sub(r"^[a-z][a-z0-9+.-]*:/+", "/", p)
+            while paths.hasNext():
+                if own is None or not plain(f"{paths.next().toString()}/").startswith(plain(own)):
+                    raise QueryRefused(f"Access Denied: file access outside tenant '{tenant}' scope.")
+        else:
+            raise QueryRefused("Access Denied: this kind of source is prohibited.")
+
+    def plan(self, tenant: str, sql: str) -> DataFrame:
+        """The statement as a checked, lazy DataFrame."""
+        self.check(tenant, sql)
+        return self.check_analysed(tenant, self.spark.sql(sql.strip().rstrip(";")))
+
     def check(self, tenant: str, sql: str) -> list[list[str]]:
         """Relations of an acceptable statement; raises ``QueryRefused`` otherwise."""
         text, tenant = (sql or "").strip().rstrip(";").strip(), tenant.lower()
@@ -172,8 +245,7 @@ class QueryResult:
 
 def tenant_sql(spark: SparkSession, guard: TenantGuard, tenant: str, sql: str, cap: int = MAX_ROWS) -> QueryResult:
     """Check and plan one statement."""
-    guard.check(tenant, sql)
-    return QueryResult(spark.sql(sql.strip().rstrip(";")), cap)
+    return QueryResult(guard.plan(tenant, sql), cap)
 
 
 def capped(df: DataFrame, cap: int = MAX_ROWS) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from silverbrook.operators import lineage, policy
+from silverbrook.operators import gold, lineage, policy
 from silverbrook.plans.tenant_query import QueryRefused, TenantGuard, capped, tenant_sql
 
 T = "tenant_acme"
@@ -61,6 +61,14 @@ ALLOWED = [
     "WITH c AS (SELECT * FROM tenant_acme_a), d AS (SELECT * FROM c) SELECT * FROM c JOIN d ON c.i = d.i;",
     "SELECT * FROM parquet.`/lake/tenants/tenant_acme/tables/orders`",
     "SELECT * FROM VALUES (1) AS t(x)",
+    "SELECT i, count(*) FROM tenant_acme_a GROUP BY ALL HAVING count(*) > 1 ORDER BY 1 LIMIT 3 OFFSET 2",
+    "SELECT *, row_number() OVER w FROM tenant_acme_a WINDOW w AS (PARTITION BY i ORDER BY j)",
+    "SELECT * FROM tenant_acme_a PIVOT (sum(x) FOR k IN ('a', 'b'))",
+    "SELECT * FROM tenant_acme_a UNION ALL SELECT * FROM tenant_acme_b2 EXCEPT SELECT 1 INTERSECT SELECT 2",
+    "SELECT a.i, e FROM tenant_acme_a a LATERAL VIEW explode(a.xs) t AS e",
+    "SELECT * FROM range(5), LATERAL (SELECT 1)",
+    "SELECT DISTINCT i FROM tenant_acme_a TABLESAMPLE (10 PERCENT)",
+    "SELECT * FROM tenant_acme_a WHERE i IN (SELECT i FROM tenant_acme_silver.c) OR EXISTS (SELECT 1)",
 ]
 
 REFUSED = [
@@ -96,6 +104,19 @@ REFUSED = [
     "TABLE tenant_b_silver.c",
     "FROM tenant_b_silver.c SELECT *",
     "SELECT 1; SELECT 2",
+    "EXECUTE IMMEDIATE 'SELECT * FROM tenant_b_silver.c'",
+    "EXECUTE IMMEDIATE 'DROP VIEW tenant_b_c'",
+    "CALL x()",
+    "SET VARIABLE v = 1",
+    "SET VAR v = (SELECT max(x) FROM tenant_b_silver.c)",
+    "DECLARE VARIABLE v INT",
+    "BEGIN SELECT 1; END",
+    "EXPLAIN SELECT * FROM tenant_acme_a",
+    "DESCRIBE tenant_acme_a",
+    "MERGE INTO tenant_acme_a USING tenant_acme_b_c ON 1 = 1 WHEN MATCHED THEN DELETE",
+    "SELECT * FROM sql_keywords()",
+    "WITH c AS (SELECT 1) INSERT INTO tenant_acme_a SELECT * FROM c",
+    "SELECT * FROM tenant_acme_a VERSION AS OF 1",
 ]
 
 
@@ -162,3 +183,24 @@ def test_lineage(spark):
         lineage.check_deletable(with_deps, T, "orders")
     assert lineage.check_deletable(with_deps, T, "orders", force=True)
     assert lineage.check_deletable(with_deps, T, "unused") == []
+
+
+def test_views_over_foreign_tables_are_refused(spark, lake):
+    for tenant in (T, "tenant_b"):
+        lake.commit(tenant, "events", spark.range(3))
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {T}_gold")
+    spark.sql(f"CREATE VIEW {T}_gold.peek AS SELECT * FROM tenant_b_silver.events")
+    guard = TenantGuard(spark, [T, "tenant_b"], file_root=lake.root)
+    assert len(tenant_sql(spark, guard, T, f"SELECT * FROM {T}_events e JOIN {T}_silver.events s ON e.id = s.id").fetch()[0]) == 3
+    folder = lake.table_folder(T, "events")
+    assert tenant_sql(spark, guard, T, f"SELECT * FROM parquet.`{folder}`").full.count() == 3
+    for sql in (f"SELECT * FROM {T}_gold.peek", f"SELECT (SELECT max(id) FROM {T}_gold.peek)",
+                f"SELECT 1 WHERE 1 IN (SELECT id FROM {T}_gold.peek)"):
+        with pytest.raises(QueryRefused):
+            tenant_sql(spark, guard, T, sql)
+    with pytest.raises(QueryRefused):
+        gold.materialize(lake, guard, T, "copy", f"SELECT * FROM {T}_gold.peek")
+    for refused in ("EXECUTE IMMEDIATE 'SELECT * FROM tenant_b_silver.events'", "CALL x()"):
+        for make in (gold.create_view, gold.materialize):
+            with pytest.raises(QueryRefused):
+                make(lake, guard, T, "copy", refused)

@@ -2,12 +2,14 @@
 
 A plain window puts all rows of a key into one task. Here each key is cut into chunks of
 the ordering (for example by hour or day), the window runs per (key, chunk), and what a
-chunk needs from earlier ones is carried over as one small row per chunk.
+chunk needs from earlier ones is carried over as one small row per chunk. Null keys form a
+key of their own and null orders come first, as in a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,14 @@ def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column):
     return rows, [*keys, "_chunk"]
 
 
+def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with its chunk's carried row; null keys and chunks meet their own."""
+    renamed = carry.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                           *[c for c in carry.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return local.join(renamed, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
                   chunk: Column, name: str) -> DataFrame:
     """Running sum of ``value`` per key in ``order``; ``order`` must be unique per key."""
@@ -29,8 +39,9 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     )
     inside = Window.partitionBy(*chunk_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_local", F.sum("_value").over(inside))
-    total = F.col("_local") + F.coalesce("_carry", F.lit(0))
-    return local.join(carry, chunk_keys).withColumn(name, total).drop(
+    # Either part is null as long as it has seen no value.
+    total = F.coalesce(F.col("_local") + F.col("_carry"), "_local", "_carry")
+    return _with_carry(local, carry, chunk_keys).withColumn(name, total).drop(
         "_chunk", "_value", "_local", "_carry")
 
 
@@ -69,7 +80,8 @@ def row_numbers(df: DataFrame, keys: Sequence[str], bands: Sequence[str], order:
     )
     inside = Window.partitionBy(*chunk_keys).orderBy(*order)
     local = df.withColumn("_local", F.row_number().over(inside))
-    return local.join(carry, chunk_keys).withColumn(name, F.col("_local") + F.col("_above")).drop("_local", "_above")
+    return _with_carry(local, carry, chunk_keys).withColumn(name, F.col("_local") + F.col("_above")).drop(
+        "_local", "_above")
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: Sequence[str],
@@ -77,10 +89,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
     """Latest ``right`` row at or before each ``left`` row, per key.
 
     Both sides carry the time column ``at``; ``chunk`` maps it to the chunk it lies in.
-    ``value`` are the right-side columns to bring over, prefixed ``asof_``.
+    ``value`` are the right-side columns to bring over, prefixed ``asof_``. A left row with a null
+    key or time stays and finds nothing.
     """
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, at)])
+    right = right.filter(usable)
     payload = F.struct(F.col(at).alias("at"), *value)
-    events = left.withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(
+    events = left.filter(usable).withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(
         right.select(payload.alias("p")).schema["p"].dataType))
     states = right.select(*keys, at, payload.alias("_hit")).withColumn("_side", F.lit(0))
     rows, chunk_keys = _chunked(events.unionByName(states, allowMissingColumns=True), keys, chunk(F.col(at)))
@@ -92,8 +107,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
     inside = Window.partitionBy(*chunk_keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_seen", F.max("_hit").over(inside)).filter(F.col("_side") == 1)
     found = F.coalesce("_seen", "_carry")
-    return local.join(carry, chunk_keys).select(
+    matched = _with_carry(local, carry, chunk_keys).select(
         *left.columns, found["at"].alias(f"asof_{at}"), *[found[v].alias(f"asof_{v}") for v in value])
+    kinds = {f.name: f.dataType for f in matched.schema.fields}
+    lone = left.filter(~usable).select(*left.columns, *[
+        F.lit(None).cast(kinds[f"asof_{v}"]).alias(f"asof_{v}") for v in (at, *value)])
+    return matched.unionAll(lone)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str,
@@ -113,10 +132,3 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: st
     joined = marked.join(spread, [*keys, "_bucket"])
     return joined.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
 
-
-def bounded_cross(left: DataFrame, right: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Cross product of two sides that are each proven small first."""
-    for side in (left, right):
-        if side.limit(max_rows + 1).count() > max_rows:
-            raise ValueError(f"cross product refused: a side has more than {max_rows} rows")
-    return left.crossJoin(F.broadcast(right))

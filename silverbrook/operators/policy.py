@@ -11,7 +11,7 @@ from silverbrook.session import each, spread
 # Message fragments that turn a refusal into "forbidden".
 FORBIDDEN_MARKS = ("Access Denied", "prohibited")
 
-# Reasons for a refusal, in the order the rules are tried.
+# Reasons for a refusal, in the order the rules are tried; only the marks above are fixed.
 EMPTY = "Query cannot be empty."
 FORBIDDEN_WORD = "Modification query with '%s' is prohibited."
 CHAINED = "Executing multiple chained SQL statements is prohibited."

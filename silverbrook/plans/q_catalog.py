@@ -177,8 +177,7 @@ def cat_lifecycle_due(t: Tables):
 @query("cat_lifecycle_apply", f"""
 WITH r AS (SELECT 'tenant_' || CAST(c_custkey AS STRING) AS slug,
              CASE c_mktsegment WHEN 'BUILDING' THEN 'deactivate' ELSE 'reactivate' END AS action,
-             CASE WHEN c_nationkey > 10 THEN c_nationkey END AS grace_days FROM {{customer}}
-           WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+             CASE WHEN c_nationkey > 10 THEN c_nationkey END AS grace_days FROM {{customer}})
 SELECT t.slug, CASE action WHEN 'deactivate' THEN FALSE WHEN 'reactivate' THEN TRUE ELSE active END AS active,
   CASE action WHEN 'deactivate' THEN 'inactive' WHEN 'reactivate' THEN 'active' ELSE status END AS status,
   CASE WHEN action = 'deactivate' THEN {NOW} WHEN action IS NULL THEN deactivated_at END AS deactivated_at,
@@ -186,7 +185,7 @@ SELECT t.slug, CASE action WHEN 'deactivate' THEN FALSE WHEN 'reactivate' THEN T
        WHEN action IS NULL THEN deletion_scheduled_at END AS deletion_scheduled_at
 FROM ({feeds.TENANTS}) AS t LEFT JOIN r ON r.slug = t.slug""")
 def cat_lifecycle_apply(t: Tables):
-    requests = t.customer.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(
+    requests = t.customer.select(
         F.concat(F.lit("tenant_"), "c_custkey").alias("slug"),
         F.when(F.col("c_mktsegment") == "BUILDING", "deactivate").otherwise("reactivate").alias("action"),
         F.when(F.col("c_nationkey") > 10, F.col("c_nationkey")).alias("grace_days"))

@@ -14,7 +14,7 @@ AUDIT_CTES = rf"""
 q AS (SELECT *, lower(sql) AS low FROM ({feeds.QUERY_LOG}) AS l),
 r AS (SELECT *, list_transform(regexp_extract_all(sql, '(?i)(?:from|join){_BLANK}+([a-zA-Z0-9_."]+)', 1),
         lambda x: replace(x, '"', '')) AS tables,
-        list_filter([{_WORDS}], lambda w: regexp_matches(sql, '(?i)(^|;|{_BLANK})' || w || '(;|{_BLANK}|$)'))[1] AS word,
+        list_filter([{_WORDS}], lambda w: regexp_matches(sql, '(?i)(^|{_BLANK}|;)' || w || '({_BLANK}|;|$)'))[1] AS word,
         list_filter(['ducklake_catalog', 'payload_core', 'information_schema', 'pg_catalog'],
           lambda s: contains(low, s || '.') OR contains(low, '"' || s || '"'))[1] AS sys,
         len(list_filter(string_split(sql, ';'), lambda p: NOT regexp_full_match(p, '{_BLANK}*'))) AS n_statements
@@ -136,16 +136,14 @@ def lin_dependents_text(t: Tables):
 
 @query("lin_missing", rf"""WITH {EDGE_CTES},
 t AS (SELECT tenant_id, 'dim_' || substr(n, 1, 1) AS name FROM
-        (SELECT 'tenant_' || CAST(o_custkey AS STRING) AS tenant_id, o_orderpriority AS n FROM {{orders}}
-         WHERE o_orderstatus = 'F') AS x
-      UNION ALL SELECT tenant_id, 'src_f' FROM o WHERE object_type = 'table')
+        (SELECT 'tenant_' || CAST(o_custkey AS STRING) AS tenant_id, o_orderpriority AS n FROM {{orders}}) AS x
+      UNION ALL SELECT 'tenant_' || CAST(o_custkey AS STRING), 'src_' || lower(o_orderstatus) FROM {{orders}})
 SELECT tenant_id, name, count(*) AS n_missing FROM e
 WHERE dependency <> '' AND dependency <> name AND NOT EXISTS (SELECT 1 FROM t WHERE t.tenant_id = e.tenant_id
   AND t.name = lower(replace(dependency, replace(e.tenant_id, 't', 'T') || '_gold.', ''))) GROUP BY 1, 2""")
 def lin_missing(t: Tables):
     edges = lineage.dependency_edges(t.sql(feeds.GOLD_OBJECTS))
-    finished = t.orders.filter("o_orderstatus = 'F'")
     tenant = F.concat(F.lit("tenant_"), "o_custkey").alias("tenant_id")
-    names = finished.select(tenant, F.concat(F.lit("dim_"), F.substring("o_orderpriority", 1, 1)).alias("name")).unionAll(
-        finished.select(tenant, F.lit("SRC_F")))
+    names = t.orders.select(tenant, F.concat(F.lit("dim_"), F.substring("o_orderpriority", 1, 1)).alias("name")).unionAll(
+        t.orders.select(tenant, F.concat(F.lit("SRC_"), "o_orderstatus")))
     return lineage.missing_sources(edges, names.withColumn("full_name", F.concat_ws("_silver.", "tenant_id", "name")))

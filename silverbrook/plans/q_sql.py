@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from silverbrook.operators.ordered import asof_join, bounded_cross, previous_value, range_join, running_total
+from silverbrook.operators.ordered import asof_join, previous_value, range_join, running_total
 from silverbrook.plans.registry import Tables, query
 from silverbrook.plans.tenant_query import QueryResult, TenantGuard, capped, tenant_sql
 
@@ -47,7 +47,7 @@ GROUP BY n_name ORDER BY total_balance DESC, n_name LIMIT 50""")(flagship)
 @query("sql_run", """
 SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS discounted
-FROM {lineitem} WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2""")
+FROM {lineitem} GROUP BY 1, 2""")
 def sql_run(t: Tables):
     """Guarded tenant SQL over a table published from plain Parquet files."""
     # The alias is registered on existing files: nothing is copied. Its name is new to the session.
@@ -58,7 +58,7 @@ def sql_run(t: Tables):
                CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
                CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE)
                  AS discounted
-        FROM {tenant}_lines WHERE l_shipdate < TIMESTAMP_NTZ '2000-01-01' GROUP BY ALL;""").full
+        FROM {tenant}_lines GROUP BY ALL;""").full
 
 
 @query("sql_capped", """
@@ -144,10 +144,11 @@ def sql_join_right(t: Tables):
 
 @query("sql_join_full", """
 SELECT coalesce(doc_key, quality_key) AS doc_id, lang, quality FROM
-  (SELECT doc_id AS doc_key, lang FROM {documents} WHERE lang <> 'en') AS d
+  (SELECT doc_id * 2 AS doc_key, lang FROM {documents}) AS d
 FULL JOIN (SELECT doc_id AS quality_key, quality FROM {labels}) AS l ON doc_key = quality_key""")
 def sql_join_full(t: Tables):
-    docs = t.documents.filter("lang <> 'en'").select("doc_id", "lang")
+    """Keys of one side are doubled, so that both sides have rows without a partner."""
+    docs = t.documents.select((F.col("doc_id") * 2).alias("doc_id"), "lang")
     return docs.join(t.labels.select("doc_id", "quality"), "doc_id", "full")
 
 
@@ -155,12 +156,11 @@ def sql_join_full(t: Tables):
 SELECT p.o_orderpriority, s.o_orderstatus, count(o.o_orderkey) AS n
 FROM (SELECT DISTINCT o_orderpriority FROM {orders}) AS p CROSS JOIN (SELECT DISTINCT o_orderstatus FROM {orders}) AS s
 LEFT JOIN {orders} AS o ON o.o_orderpriority = p.o_orderpriority AND o.o_orderstatus = s.o_orderstatus
-  AND o.o_totalprice > 490000
 GROUP BY 1, 2""")
 def sql_join_cross(t: Tables):
-    """Every priority with every status, zero counts included; both sides are checked to be small."""
-    grid = bounded_cross(t.orders.select("o_orderpriority").distinct(), t.orders.select("o_orderstatus").distinct())
-    counts = t.orders.filter("o_totalprice > 490000").groupBy("o_orderpriority", "o_orderstatus").agg(
+    """Every priority with every status, zero counts included; the cross product is of two short lists."""
+    grid = t.orders.select("o_orderpriority").distinct().crossJoin(t.orders.select("o_orderstatus").distinct())
+    counts = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"))
     return grid.join(counts, ["o_orderpriority", "o_orderstatus"], "left").select(
         "o_orderpriority", "o_orderstatus", F.coalesce("n", F.lit(0)).alias("n"))
@@ -313,7 +313,9 @@ def sql_count_distinct(t: Tables):
         pairs = t.lineitem.groupBy("l_returnflag", column).agg(F.count(F.lit(1)).alias("c"))
         return pairs.groupBy("l_returnflag").agg(F.count(column).alias(name), F.sum("c").alias("n"))
 
-    return per_flag("l_partkey", "parts").join(per_flag("l_suppkey", "suppliers").drop("n"), "l_returnflag")
+    parts = per_flag("l_partkey", "parts")
+    suppliers = per_flag("l_suppkey", "suppliers").select(F.col("l_returnflag").alias("flag"), "suppliers")
+    return parts.join(suppliers, F.col("l_returnflag").eqNullSafe(F.col("flag"))).drop("flag")
 
 
 @query("sql_rank", """

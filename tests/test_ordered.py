@@ -67,7 +67,33 @@ def test_range_join(skewed):
     assert got.count() > 100
 
 
-def test_cross_product_is_refused_when_large(spark):
-    assert ordered.bounded_cross(spark.range(3), spark.range(2).toDF("b"), 5).count() == 6
-    with pytest.raises(ValueError):
-        ordered.bounded_cross(spark.range(6), spark.range(2), 5)
+def nulls(spark):
+    rows = [(None, None, 1), (None, 1, 2), (None, 5, None), ("a", None, None), ("a", 1, 4), ("a", 3, None), ("a", 12, 6),
+            ("b", 2, None), ("b", 30, None), ("b", 31, 7)]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, at int, v int")
+
+
+def test_running_total_with_nulls(spark):
+    df = nulls(spark)
+    got = ordered.running_total(df, ["k"], ["at", "i"], F.col("v"), F.floor(F.col("at") / 10), "total")
+    want = df.withColumn("total", F.expr("sum(v) OVER (PARTITION BY k ORDER BY at, i ROWS UNBOUNDED PRECEDING)"))
+    assert sorted(got.select(want.columns).collect(), key=repr) == sorted(want.collect(), key=repr)
+
+
+def test_previous_value_and_row_numbers_with_nulls(spark):
+    df = nulls(spark)
+    got = ordered.previous_value(df, ["k"], ["at", "i"], "v", F.floor(F.col("at") / 10), "p")
+    want = df.withColumn("p", F.expr("lag(v) OVER (PARTITION BY k ORDER BY at, i)"))
+    assert sorted(got.select(want.columns).collect(), key=repr) == sorted(want.collect(), key=repr)
+    got = ordered.row_numbers(df, ["k"], ["v"], ["i"], "n")
+    want = df.withColumn("n", F.expr("row_number() OVER (PARTITION BY k ORDER BY v DESC, i)"))
+    assert sorted((r.i, r.n) for r in got.collect()) == sorted((r.i, r.n) for r in want.collect())
+
+
+def test_asof_join_keeps_every_left_row(spark):
+    left = nulls(spark).select("i", "k", "at")
+    right = spark.createDataFrame([("a", 0, 10), ("a", 2, 11), (None, 1, 12), ("a", None, 13), ("b", 29, None)], "k string, at int, v int")
+    got = {r.i: (r.asof_at, r.asof_v) for r in ordered.asof_join(
+        left, right, ["k"], "at", ["v"], lambda at: F.floor(at / 10)).collect()}
+    assert got == {0: (None, None), 1: (None, None), 2: (None, None), 3: (None, None), 4: (0, 10), 5: (2, 11), 6: (2, 11),
+                   7: (None, None), 8: (29, None), 9: (29, None)}

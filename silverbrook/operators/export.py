@@ -25,6 +25,11 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.array_join(F.array(*cells), ",").alias("line"))
 
 
+def tsv_header(df: DataFrame) -> str:
+    """The line with the column names."""
+    return "\t".join(df.columns)
+
+
 def tsv_lines(df: DataFrame) -> DataFrame:
     """Rows as tab-separated text: tabs inside values become blanks, nulls empty."""
     cells = [
@@ -41,7 +46,8 @@ def json_lines(df: DataFrame) -> DataFrame:
 def export_csv(df: DataFrame, path: str) -> str:
     """CSV files with a header line, written in parallel."""
     df.select(*[_as_text(df, n).alias(n) for n in df.columns]).write.csv(
-        path, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+        path, header=True, quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False)
     return path
 
 
@@ -69,8 +75,17 @@ def export_json_array(df: DataFrame, path: str) -> str:
 
 
 def export_tsv(df: DataFrame, path: str) -> str:
-    """Tab-separated text without quoting, written in parallel."""
-    tsv_lines(df).write.text(path)
+    """Tab-separated text without quoting, written in parallel; every file starts with the column names."""
+    header = tsv_header(df)
+
+    def files(batches):
+        started = False
+        for batch in batches:
+            if len(batch):
+                yield batch if started else pd.concat([pd.DataFrame({"line": [header]}), batch])
+                started = True
+
+    tsv_lines(df).mapInPandas(files, "line string").write.text(path)
     return path
 
 

@@ -2,7 +2,8 @@
 
 A batch is written to its own ``batch_id=…`` folder, so a retry overwrites its own files
 and nothing else. It shows up for readers once a row in the commit log names it. Reading
-an older version selects on that log.
+an older version selects on that log. Snapshot numbers are claimed by creating a file that
+must not exist, so two writers never share one; totals are added up from the log.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from dataclasses import replace as replace_field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silverbrook.sources.storage import delete_folder, path_exists, safe_name
+from silverbrook.sources.storage import create_new, delete_folder, path_exists, safe_name
 
 FOLDERS = {"silver": "tables", "gold": "gold"}
 
@@ -63,17 +66,34 @@ class Lake:
     # commit log --------------------------------------------------------------------
     def commits(self) -> DataFrame:
         """Every commit of every table."""
-        folder = f"{self.root}/registry/commits"
+        return self._log(f"{self.root}/registry/commits")
+
+    def _log(self, folder: str) -> DataFrame:
+        """Commit rows below a folder; ``total_rows`` is added up since the last overwrite."""
         if not path_exists(self.spark, folder):
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
-        return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True).json(folder)
+        log = self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True).json(folder)
+        table = Window.partitionBy("tenant_id", "layer", "table_name").orderBy("snapshot_id")
+        since = log.withColumn("_since", F.sum(F.col("replaces").cast("int")).over(table))
+        total = F.sum("row_count").over(
+            Window.partitionBy("tenant_id", "layer", "table_name", "_since").orderBy("snapshot_id"))
+        return since.withColumn("total_rows", total).select(*COMMIT_SCHEMA.names)
 
     def history(self, tenant: str, table: str, layer: str = "silver") -> DataFrame:
         """Commits of one table."""
-        folder = self._log_folder(tenant, table, layer)
-        if not path_exists(self.spark, folder):
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-        return self.spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", True).json(folder)
+        return self._log(self._log_folder(tenant, table, layer))
+
+    def batch_ids(self, tenant: str, table: str, prefix: str, layer: str = "silver") -> set[str]:
+        """Committed batches of one table whose id starts with ``prefix``."""
+        log = self.history(tenant, table, layer).filter(F.startswith("batch_id", F.lit(prefix)))
+        return {r.batch_id for r in log.select("batch_id").collect()}
+
+    def _claim_snapshot(self, tenant: str, table: str, layer: str, last: int) -> int:
+        """The next free snapshot number; the file that claims it is nobody else's."""
+        number = last + 1
+        while not create_new(self.spark, f"{self._log_folder(tenant, table, layer)}/_claims/{number:012d}"):
+            number += 1
+        return number
 
     def _state(self, tenant: str, table: str, layer: str, batch_id: str | None = None):
         """Head of the log in one small aggregate: last snapshot, schema, total, given batch."""
@@ -146,8 +166,9 @@ class Lake:
         rows = counted.get["n"]
         if audit is not None and not audit(self.spark.read.parquet(folder)):
             raise BatchRejected(folder)
-        before = 0 if replace or not state.head else state.head.total_rows
-        done = CommitResult(name, batch_id, (state.snapshot or 0) + 1, rows, before + rows, table_schema.names,
+        last, before = state.snapshot or 0, 0 if replace or not state.head else state.head.total_rows
+        number = self._claim_snapshot(tenant, table, layer, last) if publish else last + 1
+        done = CommitResult(name, batch_id, number, rows, before + rows, table_schema.names,
                             int((time.monotonic() - started) * 1000))
         if publish:
             entry = (tenant, layer, table, batch_id, done.snapshot_id, replace, rows, done.total_rows,
@@ -158,7 +179,13 @@ class Lake:
                 .coalesce(1).write.mode("overwrite")
                 .json(f"{self._log_folder(tenant, table, layer)}/{batch_id}")
             )
-            self.publish(tenant, table, layer, schema=table_schema, added=None if replace else batch_id)
+            if number != last + 1:  # somebody else committed meanwhile
+                log = self.history(tenant, table, layer).filter(F.col("snapshot_id") == number)
+                done = replace_field(done, total_rows=log.first().total_rows)
+            try:
+                self.publish(tenant, table, layer, schema=table_schema, added=None if replace else batch_id)
+            except Exception as error:  # noqa: BLE001  the rows are committed; publish_all can repeat this
+                warnings.warn(f"{name} is committed but not in the catalog: {str(error).splitlines()[0]}", stacklevel=2)
         return done
 
     # reads -------------------------------------------------------------------------
@@ -229,23 +256,28 @@ class Lake:
             self.spark.sql(f"DROP VIEW IF EXISTS `{tenant}_{name}`")
         if object_type == "view":
             return False
+        # Data goes first: a call that was cut short leaves the log, and can be repeated.
+        went = delete_folder(self.spark, self.table_folder(tenant, name, layer))
         delete_folder(self.spark, self._log_folder(tenant, name, layer))
-        return delete_folder(self.spark, self.table_folder(tenant, name, layer))
+        return went
+
+    def purge_tenant(self, tenant: str) -> dict[str, int]:
+        """Remove every object of one tenant and say how many of each kind went.
 
-    def purge_tenant(self, tenant: str) -> list[str]:
-        """Remove every object of one tenant; names come from the commit log, never a pattern."""
-        steps = []
+        Names come from the commit log, never a pattern. The log goes last, so a call that
+        was cut short can be repeated and finds what is left.
+        """
         owned = self.commits().filter(F.col("tenant_id") == safe_name(tenant))
-        for t in owned.filter("layer = 'silver'").select("table_name").distinct().toLocalIterator():
-            self.spark.sql(f"DROP VIEW IF EXISTS `{tenant}_{t.table_name}`")
-        for layer in FOLDERS:
-            self.spark.sql(f"DROP SCHEMA IF EXISTS `{tenant}_{layer}` CASCADE")
-        steps.append("drop_schemas")
-        delete_folder(self.spark, f"{self.root}/tenants/{tenant}")
-        steps.append("purge_storage_prefix")
-        delete_folder(self.spark, f"{self.root}/registry/commits/{tenant}")
-        steps.append("remove_registry_rows")
-        return steps
+        names = [r.table_name for r in owned.filter("layer = 'silver'").select("table_name").distinct().toLocalIterator()]
+        for name in names:
+            self.spark.sql(f"DROP VIEW IF EXISTS `{tenant}_{name}`")
+        schemas = [f"{tenant}_{layer}" for layer in FOLDERS if self.spark.catalog.databaseExists(f"{tenant}_{layer}")]
+        for schema in schemas:
+            self.spark.sql(f"DROP SCHEMA IF EXISTS `{schema}` CASCADE")
+        gone = {"aliases": len(names), "schemas": len(schemas), "folders": 0}
+        for folder in (f"tenants/{tenant}", f"registry/gold/{tenant}", f"registry/commits/{tenant}"):
+            gone["folders"] += delete_folder(self.spark, f"{self.root}/{folder}")
+        return gone
 
 
 def without_tenants(registry: DataFrame, purged: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silverbrook.functions.naming import clean_columns
+from silverbrook.functions.naming import clean_columns, unique_names
 
 Paths = str | Sequence[str]
 
@@ -48,33 +48,51 @@ def widen(schema: T.StructType) -> T.StructType:
     ])
 
 
-def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | None = None,
-             sep: str = ",", corrupt_column: str | None = None) -> DataFrame:
-    """Comma-separated text with a header line and inferred types.
+_CSV = {"quote": '"', "escape": '"'}
 
-    ``schema`` skips inference; its fields are matched by position. ``corrupt_column``
-    adds the raw text of lines that do not fit the types instead of failing.
+
+def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Raw column names of one file; reads its first record only. A file without content has none."""
+    first = spark.read.options(header=False, sep=sep, multiLine=True, **_CSV).csv(path).limit(1).collect()
+    return [c or "" for c in first[0]] if first else []
+
+
+def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | None = None, sep: str = ",",
+             corrupt_column: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Comma-separated text with a header line and inferred types; quoted cells may hold line breaks.
+
+    With ``schema`` the columns it names get its types, whatever their order in the files; only
+    other columns are inferred. Files of one call must share their header. ``corrupt_column``
+    adds the raw text of lines that do not fit the types instead of failing. ``multi_line=False``
+    lets large files be split, for callers that know of no line break inside quotes.
     """
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": False}
-    reader = spark.read.options(**options)
+    paths = _paths(path)
+    reader = spark.read.options(header=True, sep=sep, multiLine=multi_line, **_CSV)
     if schema is None:
-        schema = widen(reader.option("inferSchema", True).csv(_paths(path)).schema)
+        fields = widen(reader.option("inferSchema", True).csv(paths).schema).fields
+        names = unique_names([f.name for f in fields])
+    else:
+        names, types = unique_names(csv_header(spark, paths[0], sep)), {f.name: f.dataType for f in schema.fields}
+        fields = [T.StructField(n, types.get(n)) for n in names if n in types]
+        if len(fields) < len(names):
+            inferred = widen(reader.option("inferSchema", True).csv(paths).schema).fields
+            fields = [T.StructField(n, types.get(n, f.dataType)) for n, f in zip(names, inferred, strict=True)]
+    fields = [T.StructField(n, f.dataType, True) for n, f in zip(names, fields, strict=True)]
     if corrupt_column:
+        fields.append(T.StructField(corrupt_column, T.StringType()))
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
-        schema = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType())])
-        df = reader.schema(schema).csv(_paths(path))
-        names = clean_columns(df.drop(corrupt_column)).columns
-        return df.toDF(*names, corrupt_column)
-    return clean_columns(reader.option("mode", "FAILFAST").schema(schema).csv(_paths(path)))
+    else:
+        reader = reader.option("mode", "FAILFAST")
+    return reader.schema(T.StructType(fields)).csv(paths)
 
 
 def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
     return clean_columns(spark.read.parquet(*_paths(path)))
 
 
-def _is_json_array(spark: SparkSession, path: Paths) -> bool:
-    """Whether the document is one array; decided on the first non-blank line."""
-    first = spark.read.text(_paths(path)).filter(F.col("value").rlike(r"\S")).take(1)
+def is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether one file is a single array; decided on its first non-blank line."""
+    first = spark.read.text(path).filter(F.col("value").rlike(r"\S")).take(1)
     return bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
 
 
@@ -83,9 +101,9 @@ def _fits(value: Column, pattern: str, type_name: str) -> Column:
     return F.when(value.isNotNull(), value.rlike(pattern) & value.try_cast(type_name).isNotNull())
 
 
-def _promote_dates(df: DataFrame) -> DataFrame:
+def _promote_dates(df: DataFrame, among: Sequence[str]) -> DataFrame:
     """Turn string columns whose every value is an ISO date or timestamp into that type."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    strings = [f.name for f in df.schema.fields if f.name in among and isinstance(f.dataType, T.StringType)]
     if not strings:
         return df
     checks = []
@@ -105,17 +123,40 @@ def _promote_dates(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_json(spark: SparkSession, path: Paths, schema: T.StructType | None = None) -> DataFrame:
-    """One JSON array, or one object per line; nested values keep their structure.
+def _read_json(spark: SparkSession, paths: list[str], multi_line: bool, schema: T.StructType | None,
+               corrupt_column: str | None) -> DataFrame:
+    hidden = corrupt_column or "_corrupt_record"
+    reader = spark.read.option("multiLine", multi_line).option("columnNameOfCorruptRecord", hidden)
+    found = [f for f in reader.json(paths).schema.fields if f.name != hidden]
+    names = unique_names([f.name for f in found])
+    types = {f.name: f.dataType for f in schema.fields} if schema else {}
+    # Raw keys with the table's types: a value that does not fit makes the line corrupt.
+    read = [T.StructField(f.name, types.get(n, f.dataType)) for f, n in zip(found, names, strict=True)]
+    mode = "PERMISSIVE" if corrupt_column else "FAILFAST"
+    tail = [T.StructField(hidden, T.StringType())] if corrupt_column else []
+    df = reader.option("mode", mode).schema(T.StructType(read + tail)).json(paths)
+    df = df.toDF(*names, *[f.name for f in tail])
+    if schema is None:
+        # File order of the keys is not kept by inference, which sorts them by name.
+        return _promote_dates(df, [n for n in df.columns if n != corrupt_column])
+    absent = [f for f in schema.fields if f.name not in names]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else df
 
-    Line-delimited input splits across tasks. A single array document does not: that is
-    the format's limit, so several arrays should arrive as several files.
+
+def read_json(spark: SparkSession, path: Paths, schema: T.StructType | None = None,
+              corrupt_column: str | None = None) -> DataFrame:
+    """One JSON array, or one object per line, decided file by file; nested values keep their structure.
+
+    With ``schema`` keys are matched by their cleaned names and absent ones are null.
+    ``corrupt_column`` adds the text of lines that are no JSON or do not fit. Line-delimited input
+    splits across tasks. A single array document does not: that is the format's limit, so several
+    arrays should arrive as several files.
     """
-    reader = spark.read.option("multiLine", _is_json_array(spark, path))
-    if schema is not None:
-        return clean_columns(reader.schema(schema).json(_paths(path)))
-    # File order of the keys is not kept by inference, which sorts them by name.
-    return clean_columns(_promote_dates(reader.json(_paths(path))))
+    kinds: dict[bool, list[str]] = {}
+    for p in _paths(path):
+        kinds.setdefault(is_json_array(spark, p), []).append(p)
+    parts = [_read_json(spark, some, array, schema, corrupt_column) for array, some in kinds.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def file_format(path: str, declared: str | None = None) -> str:
@@ -146,13 +187,3 @@ def read_any(spark: SparkSession, path: str, declared: str | None = None, root:
 def read_union_by_name(spark: SparkSession, path: Paths) -> DataFrame:
     """Parquet files of differing schemas; a column a file lacks reads as null."""
     return spark.read.option("mergeSchema", True).parquet(*_paths(path))
-
-
-def union_by_name(frames: Sequence[DataFrame], types: dict[str, str] | None = None) -> DataFrame:
-    """Union for files whose shared columns disagree in type; ``types`` names the outcome."""
-    types = types or {}
-    aligned = [
-        df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
-        for df in frames
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)

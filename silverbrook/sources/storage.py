@@ -33,6 +33,23 @@ def delete_folder(spark: SparkSession, path: str) -> bool:
     return fs.delete(hadoop_path, True)
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; of several callers one gets true.
+
+    Needs a store whose create-without-overwrite is atomic, as HDFS has.
+    """
+    fs, hadoop_path = _filesystem(spark, path)
+    if fs.exists(hadoop_path):
+        return False
+    try:
+        fs.create(hadoop_path, False).close()
+    except Exception as error:  # noqa: BLE001
+        if fs.exists(hadoop_path):
+            return False
+        raise error
+    return True
+
+
 # Storage folder of a tenant and the layer it holds.
 LAYER_FOLDERS = {"tables": "silver", "gold": "gold"}
 

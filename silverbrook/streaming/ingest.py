@@ -3,12 +3,17 @@
 A file stream announces new raw files; each micro-batch resolves them against the upload
 registry and appends their rows to the tables they belong to. The stream checkpoint makes
 every file arrive once, and the batch id makes a repeated micro-batch overwrite its own
-output instead of adding to it.
+output instead of adding to it. A file whose registry row is not there yet waits in a
+pending list and is tried again; every file ends up completed, failed or pending.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from silverbrook.operators.tables import BatchRejected, Lake
 from silverbrook.sources import readers
+from silverbrook.sources.storage import path_exists
 
 CORRUPT, SOURCE = "_corrupt_line", "_source_file"
 
@@ -34,7 +40,8 @@ EVENT_SCHEMA = (
 def land(df: DataFrame, lake: Lake, tenant: str, name: str, fmt: str = "csv", **options) -> str:
     """Write a DataFrame as raw upload ``tenants/{tenant}/raw/{name}`` in any text format."""
     path = f"{lake.raw_folder(tenant)}/{name}"
-    df.write.format(fmt).options(**options).save(path)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if fmt == "csv" else {}
+    df.write.format(fmt).options(**{**blanks, **options}).save(path)
     return path
 
 
@@ -43,6 +50,7 @@ def raw_files(spark: SparkSession, lake: Lake, max_files: int = 1000) -> DataFra
     return (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files)
+        .option("maxFileAge", "36500d")  # a copied file may carry any old time
         .load(f"{lake.root}/tenants/*/raw")
         .select("path", "modificationTime")
     )
@@ -65,6 +73,11 @@ def quarantined(lake: Lake, tenant: str, table: str) -> DataFrame:
     return lake.spark.read.parquet(f"{lake.root}/tenants/{tenant}/quarantine/{table}")
 
 
+def _plain(path: str) -> str:
+    """One spelling per file: no escapes beyond the name's own, one slash after the scheme."""
+    return re.sub(r"^([a-z][a-z0-9+.-]*):/+", r"\1:/", path)
+
+
 def _read_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str]) -> DataFrame:
     """Rows of one group with their file; lines that do not fit carry their raw text."""
     spark, schema = lake.spark, lake.schema_of(tenant, table)
@@ -73,7 +86,7 @@ def _read_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str])
     elif fmt == "parquet":
         df = readers.read_parquet(spark, paths).withColumn(CORRUPT, F.lit(None).cast("string"))
     else:
-        df = readers.read_json(spark, paths, schema=schema).withColumn(CORRUPT, F.lit(None).cast("string"))
+        df = readers.read_json(spark, paths, schema=schema, corrupt_column=CORRUPT)
     return df.withColumn(SOURCE, F.input_file_name())
 
 
@@ -83,14 +96,15 @@ def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str
 
     The raw text is parsed once: the batch is written with the file name and the text of
     unreadable lines beside the data, then judged on those two columns. Only if a file
-    fails is the batch written again without it.
+    fails is the batch written again without it. A file without rows is completed with none.
     """
-    tally: dict[str, tuple] = {}
+    listed = {_plain(p): p for p in paths}
+    tally: dict[str, tuple] = dict.fromkeys(paths, (0, 0, None))
 
     def accept(written: DataFrame) -> bool:
         per_file = written.groupBy(SOURCE).agg(
             F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"), F.min(CORRUPT).alias("example"))
-        tally.update({r[SOURCE]: (r["n"], r["bad"], r["example"]) for r in per_file.collect()})
+        tally.update({listed[_plain(unquote(r[SOURCE]))]: (r["n"], r["bad"], r["example"]) for r in per_file.collect()})
         failed = [path for path, (_, bad, _) in tally.items() if bad]
         if failed:
             written.filter(F.col(CORRUPT).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(CORRUPT).alias("line")) \
@@ -113,39 +127,130 @@ def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str
     ]
 
 
+def _file_tag(path: str) -> str:
+    return hashlib.sha1(_plain(path).encode()).hexdigest()[:16]
+
+
+def _one_by_one(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str], tag: str, mode: str) -> list[tuple]:
+    """File by file, each under an id of its own that a repetition finds again."""
+    outcome = []
+    for path in sorted(paths):
+        own = f"{tag}-{_file_tag(path)}"
+        try:
+            outcome += _ingest_group(lake, tenant, table, fmt, [path], own, mode)
+        except Exception as error:  # noqa: BLE001  one bad file must not hold up the others
+            outcome.append((tenant, table, path, "failed", 0, own, str(error).splitlines()[0]))
+    return outcome
+
+
+def _ingest_target(lake: Lake, tenant: str, table: str, groups: dict[str, list[str]], batch: str, mode: str) -> list[tuple]:
+    """All groups of one table, one after another, because the first may fix its schema."""
+    outcome = []
+    for fmt, paths in sorted(groups.items()):
+        kind, shapes = fmt, {}
+        for path in sorted(paths):  # files of one header can be read together
+            try:
+                head = ",".join(readers.csv_header(lake.spark, path)) if kind == "csv" else ""
+            except Exception:  # noqa: BLE001  unreadable: reported when it is read
+                head = path
+            shapes.setdefault(head, []).append(path)
+        for head, some in shapes.items():
+            tag = f"{batch}-{kind}-{hashlib.sha1(head.encode()).hexdigest()[:8]}"
+            if lake.batch_ids(tenant, table, f"{tag}-"):  # an earlier attempt went file by file
+                outcome += _one_by_one(lake, tenant, table, kind, some, tag, mode)
+                continue
+            try:
+                outcome += _ingest_group(lake, tenant, table, kind, some, tag, mode)
+            except Exception:  # noqa: BLE001
+                if lake.batch_ids(tenant, table, tag):
+                    raise  # committed already: a repetition finds it done
+                outcome += _one_by_one(lake, tenant, table, kind, some, tag, mode)
+    return outcome
+
+
+# Targets that are ingested at the same time; each is a Spark job of its own.
+PARALLEL_TARGETS = 8
+
+
 def ingest_batch(lake: Lake, uploads: DataFrame, files: DataFrame, batch_id: int, mode: str = "by_name") -> None:
-    """Ingest the files of one micro-batch.
+    """Ingest the files of one micro-batch and those that were waiting for their registry row.
 
-    The driver handles file names only, at most ``max_files`` of them: they are grouped by
-    target table, and every group is read and written as one distributed job.
+    The driver handles file names only, at most ``max_files`` new ones: they are grouped by
+    target table, and the groups are read and written as distributed jobs side by side.
     """
-    groups: dict[tuple[str, str, str], list[str]] = {}
+    retry_pending(lake, uploads, batch_id, mode)
+    groups: dict[tuple[str, str], dict[str, list[str]]] = {}
+    waiting = []
     for f in _resolve(files, uploads).collect():
-        key = (f.tenant_id, f.table_name, readers.file_format(f.path, f.format))
-        groups.setdefault(key, []).append(f.path)
-    outcome: list[tuple] = []
-    for (tenant, table, fmt), paths in sorted(groups.items()):
-        tag = f"{batch_id:012d}-{fmt}"
-        try:
-            outcome += _ingest_group(lake, tenant, table, fmt, sorted(paths), tag, mode)
-        except Exception:
-            # One unreadable file must not hold up the others: go file by file.
-            for n, path in enumerate(sorted(paths)):
-                try:
-                    outcome += _ingest_group(lake, tenant, table, fmt, [path], f"{tag}-{n}", mode)
-                except Exception as error:
-                    outcome.append((tenant, table, path, "failed", 0, f"{tag}-{n}", str(error).splitlines()[0]))
-    _events(lake, outcome, f"{batch_id:012d}")
+        if f.tenant_id is None:
+            waiting.append(f.path)
+        else:
+            fmt = readers.file_format(f.path, f.format)
+            groups.setdefault((f.tenant_id, f.table_name), {}).setdefault(fmt, []).append(f.path)
+    tag = f"{batch_id:012d}"
+    with ThreadPoolExecutor(PARALLEL_TARGETS) as pool:
+        parts = pool.map(lambda g: _ingest_target(lake, *g[0], g[1], tag, mode), sorted(groups.items()))
+        outcome = [row for part in parts for row in part]
+    outcome += [(None, None, path, "pending", 0, tag, None) for path in waiting]
+    _events(lake, outcome, tag)
+    _keep_pending(lake, batch_id, sorted({*_pending(lake, batch_id), *waiting}))
+
+
+def _pending(lake: Lake, batch_id: int | None = None) -> list[str]:
+    """Files that wait for a registry row: the newest list, or the newest before or of ``batch_id``."""
+    folder = f"{lake.root}/registry/pending"
+    if not path_exists(lake.spark, folder):
+        return []
+    lists = lake.spark.read.schema("batch_id long, path string").option("recursiveFileLookup", True).json(folder)
+    if batch_id is not None:
+        lists = lists.filter(F.col("batch_id") <= batch_id)
+    newest = lists.groupBy("batch_id").agg(F.collect_set("path").alias("paths")).orderBy(F.desc("batch_id")).first()
+    return sorted(p for p in newest.paths if p) if newest else []
+
+
+def _keep_pending(lake: Lake, batch_id: int, paths: list[str]) -> None:
+    rows = [(batch_id, p) for p in paths] or [(batch_id, "")]
+    lake.spark.createDataFrame(rows, "batch_id long, path string").coalesce(1).write.mode("overwrite").json(
+        f"{lake.root}/registry/pending/{batch_id:012d}")
+
+
+def pending_files(lake: Lake) -> DataFrame:
+    """Paths of files seen but not registered yet."""
+    return lake.spark.createDataFrame([(p,) for p in _pending(lake)], "path string")
+
+
+def retry_pending(lake: Lake, uploads: DataFrame, batch_id: int, mode: str = "by_name") -> None:
+    """Ingest waiting files whose registry row has come. A repetition does nothing twice."""
+    paths = _pending(lake, batch_id)
+    if not paths:
+        return
+    found = _resolve(lake.spark.createDataFrame([(p,) for p in paths], "path string"), uploads).filter(
+        F.col("tenant_id").isNotNull()).collect()
+    outcome = [row for f in sorted(found) for row in _one_by_one(
+        lake, f.tenant_id, f.table_name, readers.file_format(f.path, f.format), [f.path], "late", mode)]
+    for row in outcome:
+        _events(lake, [row], row[5])
+    if found:
+        _keep_pending(lake, batch_id, sorted({*paths} - {f.path for f in found}))
 
 
 def _resolve(files: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Attach tenant, table and format: equality on the key below the tenant folder."""
+    """Attach tenant, table and format: equality on the key below the tenant folder; nulls where none is known."""
     key = F.regexp_extract("path", r"(tenants/[^/]+/raw/.*)$", 1)
     keyed = files.select("path", key.alias("file_key"))
     # An upload may be a single file or a folder of part files.
     keyed = keyed.withColumn("raw_file_path", F.explode(F.array(
         F.col("file_key"), F.regexp_replace("file_key", r"/[^/]+$", ""))))
-    return keyed.join(uploads, "raw_file_path").select("path", "tenant_id", "table_name", "format")
+    known = keyed.join(uploads, "raw_file_path").select("path", "tenant_id", "table_name", "format")
+    return files.select("path").join(known, "path", "left").dropDuplicates(["path", "tenant_id", "table_name"])
+
+
+def _newest_batch(lake: Lake) -> int | None:
+    folder = f"{lake.root}/registry/pending"
+    if not path_exists(lake.spark, folder):
+        return None
+    return lake.spark.read.schema("batch_id long, path string").option("recursiveFileLookup", True).json(folder).agg(
+        F.max("batch_id")).first()[0]
 
 
 def start_ingest(lake: Lake, uploads: Callable[[], DataFrame], checkpoint: str, mode: str = "by_name",
@@ -159,6 +264,10 @@ def start_ingest(lake: Lake, uploads: Callable[[], DataFrame], checkpoint: str,
     def handle(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(lake, uploads(), batch, batch_id, mode)
 
+    # Without new files there may be no micro-batch, so waiting files are tried first.
+    newest = _newest_batch(lake)
+    if newest is not None:
+        retry_pending(lake, uploads(), newest, mode)
     writer = raw_files(lake.spark, lake, max_files).writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)

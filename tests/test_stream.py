@@ -1,3 +1,5 @@
+import os
+
 from silverbrook.streaming import ingest
 
 T = "tenant_acme"
@@ -12,12 +14,20 @@ def drop_file(lake, tenant, name, text):
     return f"tenants/{tenant}/raw/{name}"
 
 
-def run(spark, lake, uploads, tmp_path):
+def run(spark, lake, uploads, tmp_path, mode="by_name"):
     schema = "raw_file_path string, tenant_id string, table_name string, format string"
-    query = ingest.start_ingest(lake, lambda: spark.createDataFrame(uploads, schema), str(tmp_path / "checkpoint"))
+    query = ingest.start_ingest(lake, lambda: spark.createDataFrame(uploads, schema), str(tmp_path / "checkpoint"), mode)
     query.awaitTermination()
 
 
+def outcomes(lake):
+    """File name -> its states and rows, pending ones included."""
+    found = {}
+    for r in ingest.job_events(lake).collect():
+        found.setdefault(r.path.rsplit("/", 1)[1], set()).add((r.status, r.row_count))
+    return found
+
+
 def test_files_arrive_once_and_bad_ones_stand_aside(spark, lake, tmp_path):
     uploads = [
         (drop_file(lake, T, "1_a.csv", "Id,Name\n1,a\n2,b\n"), T, "people", "csv"),
@@ -40,7 +50,7 @@ def test_files_arrive_once_and_bad_ones_stand_aside(spark, lake, tmp_path):
     events = {r.path.rsplit("/", 1)[1]: r for r in ingest.job_events(lake).collect()}
     assert {k: (v.status, v.row_count) for k, v in events.items()} == {
         "1_a.csv": ("completed", 2), "1_b.json": ("completed", 2), "2_good.csv": ("completed", 1),
-        "2_bad.csv": ("failed", 0)}
+        "2_bad.csv": ("failed", 0), "1_unregistered.csv": ("pending", 0)}
     assert "five,e" in events["2_bad.csv"].error
     assert [r.line for r in ingest.quarantined(lake, T, "people").collect()] == ["five,e"]
 
@@ -68,3 +78,58 @@ def test_repeated_micro_batch_adds_nothing(spark, lake):
         ingest.ingest_batch(lake, uploads, files, 5)
     assert lake.read(T, "t").count() == 2
     assert ingest.job_events(lake).count() == 1
+
+
+def test_csv_columns_meet_by_name(spark, lake, tmp_path):
+    up = [(drop_file(lake, T, "1.csv", "Name,City\nann,rome\n"), T, "people", "csv")]
+    run(spark, lake, up, tmp_path)
+    up += [(drop_file(lake, T, "2 b%20 c.csv", 'City,Name\noslo,"bob\nby"\n'), T, "people", "csv"),
+           (drop_file(lake, T, "3.csv", "City,Age\nbonn,5\n"), T, "people", "csv"),
+           (drop_file(lake, T, "4.csv", "Name,City\n"), T, "people", "csv"),
+           (drop_file(lake, T, "5.csv", "Name,City\n\"  cy \",bern\n"), T, "people", "csv")]
+    os.utime(f"{lake.root}/{up[1][0]}", (1e9, 1e9))  # copied with an old time
+    run(spark, lake, up, tmp_path)
+    assert sorted(map(tuple, lake.read(T, "people").collect())) == [
+        ("  cy ", "bern"), ("ann", "rome"), ("bob\nby", "oslo")]
+    assert outcomes(lake) == {"1.csv": {("completed", 1)}, "2 b%20 c.csv": {("completed", 1)}, "3.csv": {("failed", 0)},
+                              "4.csv": {("completed", 0)}, "5.csv": {("completed", 1)}}
+
+
+def test_json_keys_types_and_bad_lines(spark, lake, tmp_path):
+    up = [(drop_file(lake, T, "1.json", '{"Order ID": 1, "At": "2024-01-02"}\n'), T, "orders", "json")]
+    run(spark, lake, up, tmp_path)
+    up += [(drop_file(lake, T, "2.json", '[{"Order ID": 2, "At": "2024-01-03"},\n {"Order ID": 3}]'), T, "orders", "json"),
+           (drop_file(lake, T, "3.json", '{"Order ID": 4}\n{"Order ID": 5}\n'), T, "orders", "json"),
+           (drop_file(lake, T, "4.json", '{"Order ID": 6}\n{"Order ID": oops\n'), T, "orders", "json"),
+           (drop_file(lake, T, "5.json", '{"Order ID": "seven"}\n'), T, "orders", "json")]
+    run(spark, lake, up, tmp_path)
+    assert sorted((r.order_id, str(r["at"])) for r in lake.read(T, "orders").collect()) == [
+        (1, "2024-01-02"), (2, "2024-01-03"), (3, "None"), (4, "None"), (5, "None")]
+    assert outcomes(lake) == {"1.json": {("completed", 1)}, "2.json": {("completed", 2)}, "3.json": {("completed", 2)},
+                              "4.json": {("failed", 0)}, "5.json": {("failed", 0)}}
+    assert {"oops" in r.line or "seven" in r.line for r in ingest.quarantined(lake, T, "orders").collect()} == {True}
+
+
+def test_late_registration_and_evolution(spark, lake, tmp_path):
+    early = drop_file(lake, T, "1.csv", "Id\n1\n")
+    run(spark, lake, [], tmp_path)
+    assert [r.path.rsplit("/", 1)[1] for r in ingest.pending_files(lake).collect()] == ["1.csv"]
+    up = [(early, T, "things", "csv")]
+    for _ in range(2):  # no new file has come, and nothing arrives twice
+        run(spark, lake, up, tmp_path, "evolve")
+    assert [r.id for r in lake.read(T, "things").collect()] == [1] and ingest.pending_files(lake).count() == 0
+    up += [(drop_file(lake, T, "2.csv", "Extra,Id\nx,2\n"), T, "things", "csv"),
+           (drop_file(lake, T, "3.json", '{"ID": 3, "more": 1.5}\n'), T, "things", "json")]
+    run(spark, lake, up, tmp_path, "evolve")
+    assert sorted(map(str, (r.asDict() for r in lake.read(T, "things").collect()))) == sorted(map(str, [
+        {"id": 1, "extra": None, "more": None}, {"id": 2, "extra": "x", "more": None}, {"id": 3, "extra": None, "more": 1.5}]))
+
+
+def test_failing_catalog_does_not_repeat_rows(spark, lake, tmp_path, monkeypatch):
+    def broken(*args, **kwargs):
+        raise RuntimeError("no catalog")
+
+    monkeypatch.setattr(type(lake), "publish", broken)
+    up = [(drop_file(lake, T, f"{i}.csv", f"Id\n{i}\n"), T, "things", "csv") for i in range(3)]
+    run(spark, lake, up, tmp_path)
+    assert sorted(r.id for r in lake.read(T, "things").collect()) == [0, 1, 2]

@@ -157,6 +157,19 @@ def snk_purge_tenant(t: Tables):
     return without_tenants(t.sql(feeds.DATASETS), gone).select("dataset_id", "tenant_id", "status")
 
 
+@query("snk_purge_stored", """
+SELECT 'tenant_globex' AS tenant_id, count(*) AS n FROM {orders} HAVING count(*) > 0""")
+def snk_purge_stored(t: Tables):
+    """Purging one tenant, twice, removes its tables and leaves the other's alone."""
+    scene = Scene(t)
+    for tenant in (scene.acme, scene.globex):
+        scene.commit(t.orders, tenant=tenant)
+    for _ in range(2):
+        scene.lake.purge_tenant(scene.acme)
+    label = F.when(F.col("tenant_id") == scene.globex, "tenant_globex").otherwise("tenant_acme")
+    return scene.lake.commits().select(label.alias("tenant_id"), F.col("total_rows").alias("n"))
+
+
 EXPORT_INPUT = """
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN p_name || ', "' || p_brand || '"'
          WHEN 2 THEN p_name || chr(9) || p_type ELSE p_name || chr(10) || p_type END AS label,
@@ -176,9 +189,7 @@ def exp_csv(t: Tables):
 def exp_csv_files(t: Tables):
     """CSV export read back: line breaks, quotes and nulls survive."""
     path = export.export_csv(t.sql(EXPORT_INPUT), scratch_path(t.spark, "export-csv"))
-    back = t.spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"',
-                            schema="p_partkey bigint, label string, p_size int")
-    return back
+    return readers.read_csv(t.spark, path, t.sql(EXPORT_INPUT).schema)
 
 
 @query("exp_json", f"""

@@ -10,9 +10,9 @@ from silverbrook.plans.registry import Tables, query
 from silverbrook.session import scratch_path
 from silverbrook.streaming import ingest
 
-def upload(t: Tables, lake: Lake, tenant: str, name: str, df) -> tuple:
-    ingest.land(df, lake, tenant, name, "csv", **CSV_OPTIONS)
-    return (f"tenants/{tenant}/raw/{name}", tenant, "orders", "csv")
+def upload(t: Tables, lake: Lake, tenant: str, name: str, df, fmt: str = "csv") -> tuple:
+    ingest.land(df, lake, tenant, name, fmt, **(CSV_OPTIONS if fmt == "csv" else {}))
+    return (f"tenants/{tenant}/raw/{name}", tenant, "orders", fmt)
 
 
 def registry(t: Tables, rows: list[tuple]):
@@ -46,16 +46,16 @@ def str_ingest(t: Tables):
 
 
 @query("str_quarantine", """
-SELECT 'completed' AS status, count(*) AS row_count FROM {orders} WHERE o_orderstatus = 'F'
+SELECT 'completed' AS status, count(*) AS row_count FROM {orders} WHERE o_orderstatus <> 'O'
 UNION ALL SELECT 'failed', 0 FROM {orders} HAVING count(*) > 0
-UNION ALL SELECT 'visible', count(*) FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'visible', count(*) FROM {orders} WHERE o_orderstatus <> 'O'
 UNION ALL SELECT 'quarantined', count(*) FROM {orders} WHERE o_orderstatus = 'O'""")
 def str_quarantine(t: Tables):
     """A file whose prices are words fails whole; the good file next to it goes through."""
     scene, checkpoint = Scene(t), scratch_path(t.spark, "ingest")
     lake, rows = scene.lake, messy_orders(t)
     price = feeds.ORDER_HEADERS["o_totalprice"]
-    good = upload(t, lake, scene.acme, "1000_F.csv", rows.filter("STATUS = 'F'"))
+    good = upload(t, lake, scene.acme, "1000_F.csv", rows.filter("STATUS <> 'O'"))
     ingest.start_ingest(lake, lambda: registry(t, [good]), checkpoint).awaitTermination()
     bad = upload(t, lake, scene.acme, "2000_O.csv", rows.filter("STATUS = 'O'").withColumn(price, F.lit("lots")))
     ingest.start_ingest(lake, lambda: registry(t, [good, bad]), checkpoint).awaitTermination()
@@ -65,3 +65,56 @@ def str_quarantine(t: Tables):
     held = ingest.quarantined(lake, scene.acme, "orders").agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit("quarantined").alias("status"), "row_count")
     return outcome.unionByName(visible).unionByName(held)
+
+
+def _arrivals(t: Tables, parts: list[tuple], fmt: str, mode: str = "by_name", late: bool = False):
+    """The orders table of a fresh lake after each part was dropped and ingested in turn.
+
+    With ``late`` a file is registered only after a first run has seen it.
+    """
+    scene, checkpoint, uploads = Scene(t), scratch_path(t.spark, "ingest"), []
+    for n, df in enumerate(parts):
+        known = list(uploads)
+        uploads.append(upload(t, scene.lake, scene.acme, f"{n}.{fmt}", df, fmt))
+        for rows in (known, uploads) if late else (uploads,):
+            ingest.start_ingest(scene.lake, lambda rows=rows: registry(t, rows), checkpoint, mode).awaitTermination()
+    return scene.lake.read(scene.acme, "orders")
+
+
+def _halves(t: Tables):
+    rows = messy_orders(t)
+    return rows.filter("STATUS = 'F'"), rows.filter("STATUS <> 'F'")
+
+
+@query("str_reordered", feeds.ORDERS_CLEAN_SQL)
+def str_reordered(t: Tables):
+    """The second file has the same columns in another order; values go by name."""
+    first, second = _halves(t)
+    return _arrivals(t, [first, second.select(*[F.col(f"`{c}`") for c in reversed(second.columns)])], "csv")
+
+
+@query("str_ingest_json", feeds.ORDERS_CLEAN_SQL)
+def str_ingest_json(t: Tables):
+    """Two JSON files whose keys need cleaning; the second meets an existing table."""
+    spelled = [df.withColumn(feeds.ORDER_HEADERS["o_orderdate"], F.date_format(
+        f"`{feeds.ORDER_HEADERS['o_orderdate']}`", "yyyy-MM-dd'T'HH:mm:ss")) for df in _halves(t)]
+    return _arrivals(t, spelled, "json").select(*feeds.ORDER_CLEAN.values())
+
+
+@query("str_late_registration", feeds.ORDERS_CLEAN_SQL)
+def str_late_registration(t: Tables):
+    """Files are seen before their registry rows exist, and arrive once these do."""
+    return _arrivals(t, list(_halves(t)), "csv", late=True)
+
+
+@query("str_evolve", """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status,
+       CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS total_price,
+       CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority_level FROM {orders}""")
+def str_evolve(t: Tables):
+    """The second file lacks a column and brings a new one."""
+    first, second = _halves(t)
+    names = feeds.ORDER_HEADERS
+    common = [F.col(f"`{names[c]}`") for c in ("o_orderkey", "o_custkey", "o_orderstatus")]
+    return _arrivals(t, [first.select(*common, F.col(f"`{names['o_totalprice']}`")),
+                         second.select(*common, F.col(f"`{names['o_orderpriority']}`"))], "csv", "evolve")

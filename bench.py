@@ -34,6 +34,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINES
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus,
+        "spark.silverbrook.rowPartitions": cpus,  # the tables are single small files
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "8g"),
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="bench-warehouse-"),
         "spark.ui.showConsoleProgress": "false",

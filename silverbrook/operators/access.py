@@ -47,11 +47,16 @@ def visible_users(users: DataFrame, caller: Caller | None) -> DataFrame:
 def visible_counts(users: DataFrame, datasets: DataFrame) -> DataFrame:
     """How many dataset rows each user may read.
 
-    Rows are counted per tenant and in total by one rollup; users then join the single
-    count that applies to them, so no user-by-row pairs arise.
+    Rows are counted per tenant and in total; members join their tenant's one count, so no
+    user-by-row pairs arise.
     """
-    counts = datasets.rollup("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.grouping("tenant_id").alias("g"))
-    counts = counts.select(F.when(F.col("g") == 1, "*").otherwise(F.col("tenant_id")).alias("scope"), "n")
-    scope = F.when(F.col("role") == ADMIN, "*").otherwise(F.col("tenant"))
-    return users.withColumn("scope", scope).join(counts, "scope", "left").select(
-        "user_id", "role", "tenant", F.coalesce("n", F.lit(0)).alias("visible_rows"))
+    per_tenant = datasets.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+    everything = datasets.agg(F.count(F.lit(1)).alias("n"))
+    admin, member = F.col("role").eqNullSafe(ADMIN), F.col("tenant").isNotNull()
+    counted = users.filter(~admin & member).join(per_tenant, F.col("tenant") == F.col("tenant_id"), "left")
+    # Users without a key of their own need no join, so they never meet in one task.
+    return (
+        counted.select("user_id", "role", "tenant", F.coalesce("n", F.lit(0)).alias("visible_rows"))
+        .unionAll(users.filter(admin).select("user_id", "role", "tenant", everything.scalar()))
+        .unionAll(users.filter(~admin & ~member).select("user_id", "role", "tenant", F.lit(0).cast("long")))
+    )

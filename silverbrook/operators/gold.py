@@ -1,13 +1,24 @@
-"""Gold objects: stored views and materialised query results."""
+"""Gold objects: stored views and materialised query results.
+
+Every object's definition is kept below the lake's registry, so that views can be rebuilt
+in a new session and a source is not dropped while something still reads it.
+"""
 
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from silverbrook.functions import sqltext
+from silverbrook.operators import lineage
 from silverbrook.operators.tables import Lake
 from silverbrook.plans.tenant_query import TenantGuard
-from silverbrook.sources.storage import safe_name
+from silverbrook.sources.storage import delete_folder, path_exists, safe_name
 
 
 @dataclass(frozen=True)
@@ -24,6 +35,58 @@ def gold_name(requested: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]", "_", requested.strip()).lower()
 
 
+DEFINITION_SCHEMA = "tenant_id string, name string, object_type string, sql_query string"
+
+
+def _define(lake: Lake, tenant: str, name: str, object_type: str, sql: str) -> None:
+    row = lake.spark.createDataFrame([(tenant, name, object_type, sql)], DEFINITION_SCHEMA)
+    row.coalesce(1).write.mode("overwrite").json(f"{lake.root}/registry/gold/{safe_name(tenant)}/{name}")
+
+
+def definitions(lake: Lake) -> DataFrame:
+    """All Gold definitions with the objects they read."""
+    folder = f"{lake.root}/registry/gold"
+    if not path_exists(lake.spark, folder):
+        stored = lake.spark.createDataFrame([], DEFINITION_SCHEMA)
+    else:
+        stored = lake.spark.read.schema(DEFINITION_SCHEMA).option("recursiveFileLookup", True).json(folder)
+    return stored.withColumn(
+        "dependencies", sqltext.dependencies(F.col("sql_query"), F.col("tenant_id"), F.col("name")))
+
+
+def restore_views(lake: Lake, tenant: str | None = None) -> list[str]:
+    """Rebuild stored views in the session, those they read first; returns their names."""
+    views = definitions(lake).filter("object_type = 'view'")
+    if tenant is not None:
+        views = views.filter(F.col("tenant_id") == tenant)
+    waiting, done = views.collect(), []  # names and texts only
+    while waiting:
+        left = []
+        for v in waiting:
+            try:
+                lake.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{v.tenant_id}_gold`")
+                lake.spark.sql(f"CREATE OR REPLACE VIEW `{v.tenant_id}_gold`.`{v.name}` AS {v.sql_query}")
+                done.append(f"{v.tenant_id}_gold.{v.name}")
+            except AnalysisException:
+                left.append(v)
+        if len(left) == len(waiting):
+            warnings.warn(f"views without their sources: {sorted(v.name for v in left)}", stacklevel=2)
+            break
+        waiting = left
+    return done
+
+
+def drop(lake: Lake, tenant: str, name: str, layer: str = "silver", object_type: str = "table",
+         force: bool = False) -> bool:
+    """Drop an object unless another one reads it; ``force`` drops it anyway."""
+    others = definitions(lake).filter(~((F.col("name") == name) & (F.lit(layer) == "gold")))
+    lineage.check_deletable(others, tenant, name, layer, force)
+    went = lake.drop(tenant, name, layer, object_type)
+    if layer == "gold":
+        delete_folder(lake.spark, f"{lake.root}/registry/gold/{safe_name(tenant)}/{safe_name(name)}")
+    return went
+
+
 def create_view(lake: Lake, guard: TenantGuard, tenant: str, name: str, sql: str) -> GoldObject:
     """Create or replace a view that is computed anew on every read."""
     text, name = sql.strip().rstrip(";"), safe_name(gold_name(name))
@@ -31,6 +94,7 @@ def create_view(lake: Lake, guard: TenantGuard, tenant: str, name: str, sql: str
     schema = f"{safe_name(tenant)}_gold"
     lake.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
     lake.spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS {text}")
+    _define(lake, tenant, name, "view", text)
     return GoldObject(name, f"{schema}.{name}", "view", lake.spark.table(f"`{schema}`.`{name}`").columns)
 
 
@@ -39,4 +103,5 @@ def materialize(lake: Lake, guard: TenantGuard, tenant: str, name: str, sql: str
     """Store a query result. A second run replaces the table unless ``append`` is set."""
     text, name = sql.strip().rstrip(";"), safe_name(gold_name(name))
     done = lake.commit(tenant, name, guard.plan(tenant, text), layer="gold", batch_id=batch_id, replace=not append)
+    _define(lake, tenant, name, "table", text)
     return GoldObject(name, done.table, "table", done.columns, done.total_rows)

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from silverbrook.operators import export, gold
+from silverbrook.operators import export, gold, lineage
 from silverbrook.operators.tables import Lake, visible_rows, without_tenants
 from silverbrook.plans import feeds
 from silverbrook.plans.q_sources import CSV_OPTIONS, dropped, messy_orders
@@ -170,6 +170,40 @@ def snk_purge_stored(t: Tables):
     return scene.lake.commits().select(label.alias("tenant_id"), F.col("total_rows").alias("n"))
 
 
+@query("gold_rebuild", """
+SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY 1""")
+def gold_rebuild(t: Tables):
+    """The catalog is lost; tables come back from the log and views from their definitions."""
+    scene = Scene(t)
+    scene.commit(t.customer, "customers")
+    gold.create_view(scene.lake, scene.guard, scene.acme, "base", f"SELECT c_mktsegment FROM {scene.acme}_customers")
+    gold.create_view(scene.lake, scene.guard, scene.acme, "a_top",
+                     f"SELECT c_mktsegment, count(*) AS n FROM {scene.acme}_gold.base GROUP BY 1")
+    for schema in ("silver", "gold"):
+        t.spark.sql(f"DROP SCHEMA `{scene.acme}_{schema}` CASCADE")
+    scene.lake.publish_all()
+    gold.restore_views(scene.lake)
+    return t.spark.table(f"{scene.acme}_gold.a_top")
+
+
+@query("snk_drop_refused", """
+SELECT 'kept' AS state, count(*) AS n FROM {orders} UNION ALL SELECT 'gone', 0 FROM {orders} HAVING count(*) > 0""")
+def snk_drop_refused(t: Tables):
+    """A table that a view reads stays until the drop is forced."""
+    scene = Scene(t)
+    scene.commit(t.orders.select("o_orderkey"), "orders")
+    gold.create_view(scene.lake, scene.guard, scene.acme, "v", f"SELECT * FROM {scene.acme}_silver.orders")
+    try:
+        gold.drop(scene.lake, scene.acme, "orders")
+    except lineage.DependentsError:
+        pass
+    kept = scene.lake.read(scene.acme, "orders").agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("state"), "n")
+    seen = kept.collect()
+    gold.drop(scene.lake, scene.acme, "orders", force=True)
+    left = scene.lake.history(scene.acme, "orders").agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"))
+    return t.spark.createDataFrame(seen, kept.schema).unionAll(left.select(F.lit("gone"), "n"))
+
+
 EXPORT_INPUT = """
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN p_name || ', "' || p_brand || '"'
          WHEN 2 THEN p_name || chr(9) || p_type ELSE p_name || chr(10) || p_type END AS label,

@@ -51,20 +51,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-# An input below this size per core is worth dealing out evenly before CPU-heavy work.
-SMALL_BYTES_PER_CORE = 32 << 20
+# Session setting that names the number of partitions for CPU-heavy row work.
+ROW_PARTITIONS = "spark.silverbrook.rowPartitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work at least one partition per core.
+    """Redistribute CPU-heavy row work if the session asks for a number of partitions.
 
-    Only a small input (a few small files that would be read by one or two tasks) is
-    redistributed; anything larger is returned as it is, without a shuffle. The decision
-    rests on the optimizer's size estimate and runs nothing.
+    Only the setting decides, never the size of the input: inputs of a few small files gain
+    from it, all others are best left as they are read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+    wanted = df.sparkSession.conf.get(ROW_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

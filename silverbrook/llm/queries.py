@@ -134,3 +134,35 @@ FROM p LEFT JOIN f ON n >= 100 AND p.d = f.d
 def op1_lm_scores(spark, sf_dir):
     """Score of every document by the n-grams of all other documents."""
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def _secret_matches(kind: str) -> str:
+    order, pattern, group, least = secrets.KINDS[kind]
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT rid, source, '{kind}' AS kind, {order} AS ord, {least} AS least,
+      regexp_extract_all(t, '{quoted}', 0) AS ms, regexp_extract_all(t, '{quoted}', {group}) AS vs,
+      string_split_regex(t, '{quoted}') AS gaps FROM d"""
+
+
+ORACLES["op9_secrets"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_secret_matches(k) for k in secrets.KINDS)}),
+e AS (SELECT rid, source, kind, ord, least, i, ms[i] AS match, vs[i] AS value, gaps[i] AS gap
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)),
+p AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY rid, kind ORDER BY i) AS stop FROM e),
+s AS (SELECT rid, source, kind, ord, CAST(stop - length(match) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, value
+      FROM p WHERE length(value) >= least AND (kind <> 'opaque' OR (regexp_matches(value, '[0-9]')
+        AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')))),
+f AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM s GROUP BY 1),
+j AS (SELECT s.*, owners < {secrets.EXAMPLE_OWNERS} AS live,
+        kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS span
+      FROM s JOIN f USING (value) WHERE kind <> 'opaque' OR owners < {secrets.EXAMPLE_OWNERS}),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example,
+        string_agg(span, ',' ORDER BY start, ord) AS spans,
+        string_agg(span, ',' ORDER BY start, ord) FILTER (kind <> 'opaque') AS base FROM j GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+       coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (rid)
+"""

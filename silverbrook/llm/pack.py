@@ -15,6 +15,7 @@ documents give no pieces. A null doc_id is packed like any other.
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -32,35 +33,79 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 5
 FULL = 0.985  # bins below this share are packed once more across cells
 
 
+def tokenizer_words(text: str | None) -> list[bytes]:
+    """A text cut at blanks and line ends, where the tokenizer cuts too and leaves nothing.
+
+    It lower-cases as well, so ASCII letters are lower-cased here and fewer different words are left, unless a
+    combining accent might make one letter of two.
+    """
+    data = (text or "").encode()
+    if b"\xcc" not in data and b"\xcd" not in data:  # lead bytes of U+0300 to U+036F and some more
+        data = data.lower()
+    return data.replace(b"\n", b" ").split(b" ")
+
+
+def _byte_letters() -> dict[int, int]:
+    """How a byte-level vocabulary spells bytes: printable ones as themselves, the rest from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 0x100 + i for i, b in enumerate(rest)}
+
+
 class WordPieces(dict):
-    """Token ids of blank-separated words as little-endian bytes, emptied at ``limit`` words.
+    """Token ids of words as little-endian bytes, emptied at ``limit`` words.
 
-    The tokenizer treats blanks and line ends as separators that leave nothing, so a text's ids are those of its
-    words in order, and a word is tokenised once. New words go to the tokenizer many at a time with a bar between
-    them, whose id marks the borders; words with a bar of their own go one by one.
+    A text's ids are those of its words in order, and a word is tokenised once. Lower-case Latin words go straight
+    to the merges, since normalising and splitting leave them as they are; a full stop or comma after one is a token
+    of its own. All other words take the whole way, many at a time with a bar between them, whose id marks the
+    borders; words with a bar of their own go one by one.
     """
 
-    BAR = "|"
+    BAR = b"|"
 
-    def __init__(self, tokenizer, limit: int = 500_000):
+    def __init__(self, tokenizer, limit: int = 900_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-        (self.bar,) = tokenizer.encode(self.BAR, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.BAR not in w]
+        self.tokenizer, self.limit, self.merge = tokenizer, limit, tokenizer.model.tokenize
+        self.spelling = _byte_letters()
+        (self.bar,) = tokenizer.encode("|", add_special_tokens=False).ids
+        self.marks = {m: self.whole(m) for m in (b".", b",")}
+
+    def whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, word: bytes) -> bytes | None:
+        """Ids of a lower-case word of Latin letters below U+0250; None for any other."""
+        if word.isalpha() and word.islower():
+            spelled = word.decode()
+        else:
+            text = word.decode()
+            if not text.isalpha() or text != text.lower() or max(text) >= "\u0250":
+                return None
+            spelled = word.decode("latin-1").translate(self.spelling)
+        ids = [t.id for t in self.merge(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[bytes]) -> None:
+        plain = []
+        for word in words:
+            tail = self.marks.get(word[-1:])
+            ids = self.letters(word if tail is None else word[:-1])
+            if ids is not None:
+                self[word] = ids if tail is None else ids + tail
+            elif self.BAR in word:
+                self[word] = self.whole(word)
+            else:
+                plain.append(word)
         for at in range(0, len(plain), 500):
             some = plain[at:at + 500]
-            ids = np.array(self.tokenizer.encode(f" {self.BAR} ".join(some), add_special_tokens=False).ids, "<u4")
+            joined = b" | ".join(some).decode()
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
             raw, start = ids.tobytes(), 0
             for word, stop in zip(some, [*np.flatnonzero(ids == self.bar).tolist(), len(ids)], strict=True):
                 self[word] = raw[4 * start:4 * stop]
                 start = stop + 1
-        for word in words:
-            if self.BAR in word:
-                self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of(self, words: list[str]) -> bytes:
+    def of(self, words: list[bytes]) -> bytes:
         missing = {w for w in words if w not in self}
         if missing:
             if len(self) > self.limit:
@@ -88,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int
         for batch in batches:
             rows = []
             for doc, text in rows_of([batch], "doc_id", "text"):
-                words = (text or "").replace("\n", " ").split(" ")
+                words = tokenizer_words(text)
                 ids = b"".join(memo.of(words[i:i + 100_000]) for i in range(0, len(words), 100_000)) + closing
                 for i in range(0, len(ids), 4 * length):
                     part = ids[i:i + 4 * length]

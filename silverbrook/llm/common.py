@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverbrook.session import materialize
+from silverbrook.session import scratch_path
 
 __all__ = ["WordHashes", "components", "crc_mod", "fit_curve", "materialize", "mix", "rows_of", "table",
            "tokenizer_file", "words"]
@@ -22,6 +22,16 @@ _WORD_BYTES = bytes(
 )
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result, well compressed, to the shared folder and read it back.
+
+    Later steps scan stored columns instead of repeating the work, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -16,6 +16,7 @@ smallest page_id are all responses. No pages give no archives. Line breaks in a
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -121,7 +122,7 @@ class Archive:
 def write_archives(records: DataFrame, folder: str | None = None, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the records below ``folder`` (any store pyarrow can open) and returns the manifest (path, records, bytes)."""
     spark = records.sparkSession
-    folder = folder or scratch_path(spark, "warc")
+    folder = re.sub(r"^file:/+", "/", folder or scratch_path(spark, "warc"))
     files, place = FileSystem.from_uri(folder)
     files.create_dir(place, recursive=True)
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 CANDIDATES, QUERIES = 8_192, 512  # rows per block, about
 ENOUGH = 48  # so few possible candidates are resolved at once
-EXACT = 1 << 53  # sums below are exact in doubles
+DEPTHS = (4, 6, 8)  # eighths of the lists after which the bounds are looked at
+EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}  # whole numbers below are exact
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -35,33 +36,34 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 class SortedLists:
     """The candidates of a block, once per component, sorted by it."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, kind: type):
+        n = len(ids)
+        self.ids, self.rows, self.kind = ids, rows, kind
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()  # component x rank
-        self.values = np.take_along_axis(rows.T, self.order, axis=1).astype(float)
+        self.values = np.take_along_axis(rows.T, self.order, axis=1).astype(kind)
+        self.rank = np.empty(self.order.shape, np.uint16 if n <= 1 << 16 else np.int64)  # component x candidate
+        np.put_along_axis(self.rank, self.order, np.arange(n, dtype=self.rank.dtype)[None, :], axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score) other than ``own``."""
-        n, used = len(self.ids), np.flatnonzero(query)
-        sign, weight = query[used] > 0, query[used].astype(float)[:, None]
-        order, values = self.order[used], self.values[used]
-        order[sign], values[sign] = order[sign, ::-1], values[sign, ::-1]  # the best end comes first
-        gain = values * weight
-        worst = gain[:, -1]
+        n, sign = len(self.ids), query > 0
+        weight = query.astype(self.kind)
+        worst = np.where(sign, self.values[:, 0], self.values[:, -1]) * weight
         allowed = self.ids != own
-        known, depth, step = np.zeros(n), 0, max(64, n // 8)
-        alive = np.flatnonzero(allowed)
-        while len(alive) > max(ENOUGH, k) and depth < n:
-            upto = min(n, max(step, 2 * depth))
-            read = order[:, :upto].ravel()
-            known += np.bincount(order[:, depth:upto].ravel(), gain[:, depth:upto].ravel(), n)
-            frontier = gain[:, upto - 1]
-            each = np.ones(upto)
-            above = known + frontier.sum() - np.bincount(read, np.outer(frontier, each).ravel(), n)
-            below = known + worst.sum() - np.bincount(read, np.outer(worst, each).ravel(), n)
+        known, depth, alive = np.zeros(n), 0, np.flatnonzero(allowed)
+        for share in DEPTHS:
+            upto = -(-n * share // 8)
+            if len(alive) <= max(ENOUGH, k) or upto <= depth:
+                continue
+            for part, list_end in ((sign, slice(n - upto, n - depth)), (query < 0, slice(depth, upto))):
+                gain = self.values[part, list_end] * weight[part, None]
+                known += np.bincount(self.order[part, list_end].ravel(), gain.ravel(), n)
+            depth = upto
+            frontier = np.where(sign, self.values[:, n - depth], self.values[:, depth - 1]) * weight
+            unseen = np.where(sign[:, None], self.rank < n - depth, self.rank >= depth)
+            above, below = np.stack([frontier, worst]) @ unseen.astype(self.kind) + known
             floor = np.partition(below[allowed], -k)[-k]
             alive = np.flatnonzero(allowed & (above >= floor))
-            depth = upto
         score = self.rows[alive] @ query
         best = np.lexsort((self.ids[alive], -score))[:k]
         return [(int(self.ids[alive[i]]), int(score[i])) for i in best]
@@ -74,8 +76,9 @@ def _search(k: int):
             rows, wanted = (np.stack(f["q"].to_list()) for f in (candidates, queries))
             ids = candidates["vec_id"].to_numpy()
             size = int(np.abs(rows).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * max(1, rows.shape[1])
-            if size < EXACT:
-                lists = SortedLists(ids, rows)
+            kind = next((t for t, limit in EXACT.items() if size < limit), None)
+            if kind:
+                lists = SortedLists(ids, rows, kind)
                 found = (lists.top(q, own, k) for q, own in zip(wanted, queries["vec_id"], strict=True))
             else:  # doubles could round, so whole numbers without bounds
                 exact = rows.astype(object)

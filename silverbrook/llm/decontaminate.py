@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silverbrook.llm.common import rows_of, words
+from silverbrook.llm.common import materialize, rows_of, words
 
 WINDOW = 13
 # Windows held by an executor at once: about 250 bytes each. More windows are searched in further passes.
@@ -101,8 +101,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, size:
 
     Contaminated: some word is hit and ``share`` times the hit words reach the number of words. Windows are
     dealt by hash into passes of about ``block`` windows; each pass brings one part to the driver and the
-    executors, so memory has a fixed bound however large the benchmark is. Occurrences travel with the row,
-    so the documents are never shuffled.
+    executors and writes the rows before the next begins, so memory has a fixed bound however large the benchmark
+    is. Occurrences travel with the row, so the documents are never shuffled.
     """
     spark, found = docs.sparkSession, windows(benchmark, size).persist()
     passes = max(1, -(-found.count() // block))
@@ -141,6 +141,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, size:
         docs = docs.mapInArrow(search, schema + (
             ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
             if last else f", _found array<{_SPAN}>"))
+        if not last:
+            docs = materialize(docs, "decontamination-pass")
+            patterns.unpersist()
     found.unpersist()
     return docs
 

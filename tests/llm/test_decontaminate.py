@@ -63,3 +63,11 @@ def test_query_agrees_with_sql(spark, small):
 
     agree(spark, small, "op3_decontamination")
     assert any(r.contaminated for r in QUERIES["op3_decontamination"](spark, small).collect())
+
+
+def test_one_pass_in_memory_at_a_time(spark, docs_of):
+    docs = [(i, f"w{i} w{i + 1} w{i + 2}") for i in range(20)]
+    items = [(i, f"w{i} w{i + 1}") for i in range(0, 20, 2)]
+    got = dc.contamination(docs_of(docs), docs_of(items, "item_id long, text string"), block=3)
+    assert shown(got) == plain(docs, items)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # earlier passes are tables

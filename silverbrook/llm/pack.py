@@ -37,10 +37,10 @@ def tokenizer_words(text: str | None) -> list[bytes]:
     """A text cut at blanks and line ends, where the tokenizer cuts too and leaves nothing.
 
     It lower-cases as well, so ASCII letters are lower-cased here and fewer different words are left, unless a
-    combining accent might make one letter of two.
+    combining accent might make one letter of two, or a special token, which is matched before, one of other text.
     """
     data = (text or "").encode()
-    if b"\xcc" not in data and b"\xcd" not in data:  # lead bytes of U+0300 to U+036F and some more
+    if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:  # lead bytes of U+0300 to U+036F and some more
         data = data.lower()
     return data.replace(b"\n", b" ").split(b" ")
 

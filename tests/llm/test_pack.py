@@ -45,6 +45,13 @@ def test_words_are_tokenised_as_the_whole_text(spark):
         assert np.frombuffer(memo.of(pk.tokenizer_words(text)), "<u4").tolist() == plain_ids(text)[:-1], text
 
 
+def test_special_tokens_are_matched_before_lower_case():
+    memo = pk.WordPieces(pk.load_tokenizer(FILE))
+    for text in ("<|ENDOFTEXT|>", "One <|EndOfText|>, TWO <|endoftext|>Three <|STARTOFTEXT|>"):
+        assert np.frombuffer(memo.of(pk.tokenizer_words(text)), "<u4").tolist() == plain_ids(text)[:-1], text
+    assert plain_ids("<|ENDOFTEXT|>")[:-1] == [27, 347, 40786, 4160, 91, 285]
+
+
 def test_all_documents(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = QUERIES["op6_best_fit_packing"](spark, small).collect()

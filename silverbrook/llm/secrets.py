@@ -3,7 +3,7 @@
 Candidates are found in whole texts with regular expressions. Where a match begins follows from the lengths of the
 text between matches: splitting by the pattern and extracting by it give both in order. Candidate values are hashed
 and counted over the whole corpus by distinct repository and distinct owner: a value that many owners hold was
-copied from an example, a value of one or few owners looks live. Besides the three base kinds the method adds
+copied from an example, a value of one or few owners looks live, in however many repositories. Besides the three base kinds the method adds
 ``opaque`` spans, long runs of mixed letters and digits, but only those that few owners hold.
 
 All counting combines before the shuffle, first per (value, owner, repository), so a value held by a third of all

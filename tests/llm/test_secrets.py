@@ -63,6 +63,16 @@ def test_tricky_texts(spark, docs_of):
     assert [r.spans for r in got if r.doc_id == 13] == ["opaque:4:27"]
 
 
+def test_only_owners_decide(spark, docs_of):
+    """A value in many documents of one owner, or of two, stays live; the documents are counted beside it."""
+    rows = [(i, "password=Private99x and Wide0123456789Private0000", f"o{i % 2}") for i in range(60)]
+    frame = docs_of(rows, "doc_id long, text string, source string")
+    got = sc.scan(frame).collect()
+    assert all((r.n_live, r.n_example) == (2, 0) and "opaque" in r.spans for r in got) and len(got) == 60
+    counted = sc.ownership(frame.selectExpr("doc_id", "source AS owner", "1L AS hash")).collect()
+    assert [tuple(r) for r in counted] == [(1, 2, 60)]
+
+
 def test_ownership(spark, docs_of):
     example, own = "password=Example123", "password=Private99x"
     rows = [(i, f"a {example}", f"o{i}") for i in range(4)] + [(10 + i, own, "mine") for i in range(6)]

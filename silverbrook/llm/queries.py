@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silverbrook.llm import (
-    decontaminate, line_dedup, lm_score, pack, quality, secrets, simhash_golay, topk, toxicity, warc,
+    decontaminate, line_dedup, lm_score, pack, prefix_trie, quality, secrets, simhash_golay, topk, toxicity, warc,
 )
 from silverbrook.llm.common import table, tokenizer_file
 
@@ -166,3 +166,46 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN g USING (rid)
 """
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           coalesce(text, '')) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+z AS (
+  SELECT c, count(*) AS l, c - c % 20 AS b, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+           lambda a, s: list_reduce([xor(a, s), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 4 AS BIGINT) AS h
+  FROM t GROUP BY c),
+reb AS (
+  SELECT z.c, t.pos, r, x, w FROM z JOIN t ON t.c = z.b AND t.pos <= z.h
+  UNION ALL
+  SELECT z.c, t.pos - z.h + least(z.h, coalesce(f.l, 0)), r, x, w
+  FROM z JOIN t ON t.c = z.c AND t.pos > z.h LEFT JOIN z f ON f.c = z.b),
+p AS (
+  SELECT c, pos AS d, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY pos) AS k, w FROM reb
+  UNION ALL SELECT c, 0, [], 0 FROM z),
+e AS (SELECT c, max(d) AS len FROM p GROUP BY c),
+n AS (SELECT d, k, min(c) AS m, count(*) AS n, max(w) AS w FROM p GROUP BY d, k),
+a AS (SELECT p.c, p.d, n.m, n.n, n.w, e.len FROM p JOIN n USING (d, k) JOIN e USING (c)),
+u AS (SELECT DISTINCT d, m, n, w FROM a),
+up AS (SELECT u.d, u.m, a.m AS pm FROM u JOIN a ON a.c = u.m AND a.d = u.d - 1),
+ch AS (SELECT d - 1 AS d, pm AS m, count(*) AS n_children FROM up GROUP BY 1, 2),
+sub AS (
+  SELECT a.d, a.m, sum((u.n - 1) * u.w) AS saved, count(*) FILTER (ch.m IS NULL) AS n_leaves
+  FROM u JOIN a ON a.c = u.m AND a.d <= u.d LEFT JOIN ch ON ch.d = u.d AND ch.m = u.m GROUP BY 1, 2),
+en AS (SELECT d, m, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM a WHERE d = len GROUP BY 1, 2)
+SELECT u.m AS conv_id, CAST(u.d AS BIGINT) AS depth, pm AS parent_conv_id, u.n AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u LEFT JOIN up USING (d, m) LEFT JOIN ch USING (d, m) JOIN sub USING (d, m) LEFT JOIN en USING (d, m)
+"""

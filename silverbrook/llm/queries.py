@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silverbrook.llm import (
-    decontaminate, line_dedup, lm_score, pack, prefix_trie, quality, secrets, simhash_golay, topk, toxicity, warc,
+    decontaminate, divergence, line_dedup, lm_score, pack, prefix_trie, quality, secrets, simhash_golay, topk, toxicity,
+    warc,
 )
 from silverbrook.llm.common import table, tokenizer_file
 
@@ -209,3 +210,39 @@ SELECT u.m AS conv_id, CAST(u.d AS BIGINT) AS depth, pm AS parent_conv_id, u.n A
        CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM u LEFT JOIN up USING (d, m) LEFT JOIN ch USING (d, m) JOIN sub USING (d, m) LEFT JOIN en USING (d, m)
 """
+
+
+@query
+def op12_source_divergence(spark, sf_dir):
+    """Every source of a language against the others, and the ten terms that make it stand out."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM o GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(ln) AS ltotal FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.total, 0) + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.ln + 2)) // (l.ltotal + 2 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) FROM p x JOIN p y USING (lang, term)
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 10
+"""

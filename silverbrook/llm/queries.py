@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from silverbrook.llm import (
-    decontaminate, divergence, line_dedup, lm_score, pack, prefix_trie, quality, secrets, simhash_golay, topk, toxicity,
-    warc,
+    decontaminate, divergence, line_dedup, lm_score, ngram_join, pack, prefix_trie, quality, secrets, simhash_golay, topk,
+    toxicity, warc,
 )
 from silverbrook.llm.common import table, tokenizer_file
 
@@ -246,3 +246,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM r WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op11_ngram_jaccard(spark, sf_dir):
+    """Groups of documents whose sets of four-word shingles are alike."""
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, CASE WHEN len(w) < 4 THEN w ELSE w[i + 1 : i + 4] END AS g
+      FROM (SELECT rid, w, unnest(range(0, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT x, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (rid) JOIN c ON c.x = d.rid
+"""

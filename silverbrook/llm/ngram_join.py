@@ -11,7 +11,8 @@ probed by binary search in the candidate's sorted set, which gives the exact ove
 
 Crowds, sets with T' long lists or more, are linked first to the most shared set of their lists. Where all
 sets of a list are linked to each other by then the list goes. In what is left every set outside the largest linked
-group of a long list meets the sets of other groups there, unless n-grams nobody else has leave too few to share. Only
+group of a long list meets the sets of other groups there, unless the n-grams that both could share only in short lists
+leave too few: pairs that share one of those are merged anyway. Only
 links between different linked groups matter for the components, so no pairs within a group of copies are formed,
 and none is lost.
 
@@ -38,7 +39,9 @@ WIDTH = 4
 PERCENT = 85
 LONG = 64
 STEP = 32
-SAMPLE = 4_000
+EXTRA = 3
+SIZE_CLASS = 0.08
+SAMPLE = 10_000
 FREQUENT = 20_000
 BROADCAST = 1_000_000
 
@@ -62,13 +65,18 @@ def least_size(n):
 
 def offered(n):
     """How many n-grams a set of ``n`` offers."""
-    return np.minimum(n, n - least_size(n) + 1 + n // STEP)
+    return n - least_size(n) + np.minimum(least_size(n), EXTRA + n // STEP)
 
 
 def _least(n: str) -> str:
     return f"(({PERCENT} * {n} + 99) div 100)"
 
 
+def _times(n: str) -> str:
+    """l(n) of the module's description."""
+    return f"least({_least(n)}, {EXTRA} + {n} div {STEP})"
+
+
 def _overlap(n: str, m: str) -> str:
     return f"(({PERCENT} * ({n} + {m}) + {99 + PERCENT}) div {100 + PERCENT})"
 
@@ -211,33 +219,39 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     index = entries(classes)
     often = index.groupBy("token").count().where("count > 1").select("token")
     shared = materialize(index.join(often, "token"), "shared")
-    live = shared.groupBy("sid").agg(F.count("*").alias("s"), F.sum(F.col("light").cast("long")).alias("s_light"))
-    live = live.join(classes.drop("offer"), "sid").withColumn("offers", F.expr(
-        f"least(n, n - {_least('n')} + 1 + n div {STEP})")).withColumn("r", F.expr(f"1 + {_least('n')} div {STEP}"))
+    live = shared.groupBy("sid").agg(F.count("*").alias("s")).join(classes.drop("offer"), "sid").withColumn("offers", F.expr(
+        f"n - {_least('n')} + {_times('n')}")).withColumn("r", F.expr(_times(_least("n"))))
     live = materialize(live.where("s >= r").select(
-        "sid", "low", "n", "r", F.expr("s * 1000 div offers").alias("share"), (F.col("n_light") <= F.col("offers")).alias("deep"),
-        (F.col("n") - F.col("n_light") + F.col("s_light")).alias("most")), "live")
+        "sid", "low", "n", "r", F.expr("s * 1000 div offers").alias("share"),
+        (F.col("n_light") <= F.col("offers")).alias("deep"), (F.col("n") - F.col("n_light")).alias("late")), "live")
     sets = materialize(sets_of(docs, live.select("sid", "low")), "sets")
 
-    rows = shared.join(live.select("sid", "share", "r"), "sid")
+    rows = shared.join(live.select("sid", "n", "share", "r", F.floor(F.log("n") / SIZE_CLASS).alias("size")), "sid")
     score = F.col("share") * (1 << 40) + F.col("sid").bitwiseAND((1 << 40) - 1)
-    centres = rows.groupBy("token").agg(F.max_by("sid", score).alias("centre"))
-    near = rows.join(centres, "token").where("centre <> sid").groupBy("sid", "centre").agg(
-        F.count("*").alias("times"), F.max("r").alias("r")).where(f"times >= r")
-    near = near.groupBy("sid").agg(F.max_by("centre", "times").alias("v")).select(F.col("sid").alias("u"), "v")
+    centres = rows.groupBy("token", "size").agg(F.max_by("sid", score).alias("centre"), F.max(score).alias("score"))
+    reach = rows.select("token", "sid", "r", score.alias("own"), F.explode(F.array(
+        F.col("size") - 1, "size", F.col("size") + 1)).alias("size"))
+    near = reach.join(centres, ["token", "size"]).where("score > own").groupBy("sid", "centre").agg(
+        F.count("*").alias("times"), F.max("r").alias("r"), F.max("score").alias("score")).where("times >= r")
+    best = near.groupBy("sid").agg(F.max_by("centre", "score").alias("a"), F.max_by(
+        "centre", F.col("times") * 2000 + F.shiftright("score", 40)).alias("b"))
+    near = best.select(F.col("sid").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
     first = materialize(verified(near, sets), "first-links")
-    label = live.join(first.toDF("sid", "to"), "sid", "left").select("*", F.coalesce("to", "sid").alias("near")).drop("to")
+    to = first.join(live.select(F.col("sid").alias("v"), "share"), "v").groupBy(F.col("u").alias("sid")).agg(
+        F.max_by("v", F.col("share") * (1 << 40) + F.col("v").bitwiseAND((1 << 40) - 1)).alias("to"))
+    label = live.join(to, "sid", "left").select("*", F.coalesce("to", "sid").alias("near")).drop("to")
     hop = label.select(F.col("sid").alias("near"), F.col("near").alias("label"))
     live = materialize(label.join(hop, "near").drop("near"), "labelled")
 
-    rows = shared.select("token", "sid").join(live.select("sid", "label"), "sid")
+    rows = shared.join(live.select("sid", "label"), "sid")
     mixed = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("a"), F.max("label").alias("b"))
     rows = rows.drop("label").join(mixed.where("a <> b").select("token", "df"), "token")
     rows = materialize(rows, "mixed")
     need = rows.groupBy("sid").agg(
-        F.count("*").alias("s"), F.sum((F.col("df") > LONG).cast("long")).alias("n_long"))
+        F.count("*").alias("s"), F.count_if(F.col("df") > LONG).alias("n_long"),
+        F.count_if((F.col("df") > LONG) & F.col("light")).alias("light_long"))
     need = need.join(live, "sid").where("s >= r").select(
-        "sid", "n", "label", "deep", "most", F.greatest(F.lit(1), F.col("r") - F.col("n_long")).alias("need"),
+        "sid", "n", "label", "deep", (F.col("late") + F.col("light_long")).alias("most"), F.greatest(F.lit(1), F.col("r") - F.col("n_long")).alias("need"),
         (F.col("n_long") >= F.col("r")).alias("crowd"))
     rows = materialize(rows.join(need, "sid"), "needs")
 

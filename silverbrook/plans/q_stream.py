@@ -118,3 +118,53 @@ def str_evolve(t: Tables):
     common = [F.col(f"`{names[c]}`") for c in ("o_orderkey", "o_custkey", "o_orderstatus")]
     return _arrivals(t, [first.select(*common, F.col(f"`{names['o_totalprice']}`")),
                          second.select(*common, F.col(f"`{names['o_orderpriority']}`"))], "csv", "evolve")
+
+
+def _one_batch(t: Tables, parts: list[tuple], mode: str):
+    """The orders table after all parts, (name, rows, format), arrived in one batch."""
+    scene = Scene(t)
+    uploads = [upload(t, scene.lake, scene.acme, name, df, fmt) for name, df, fmt in parts]
+    ingest.start_ingest(scene.lake, lambda: registry(t, uploads), scratch_path(t.spark, "ingest"), mode).awaitTermination()
+    return scene.lake
+
+
+@query("str_ingest_parquet", """
+SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS customer_id,
+       CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS total_price,
+       CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority_level FROM {orders}""")
+def str_ingest_parquet(t: Tables):
+    """Parquet files of three sets of columns and two key types in one batch: no column is lost."""
+    rows, names = messy_orders(t), feeds.ORDER_HEADERS
+    key, who, price, level = (names[c] for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"))
+    parts = []
+    for status, columns in (("F", (key, who, price)), ("O", (who, level, key)), ("P", (key, level))):
+        some = rows.filter(F.col("STATUS") == status).select(*[F.col(f"`{c}`") for c in columns])
+        parts.append((status, some.withColumn(key, F.col(f"`{key}`").cast("int")) if status == "O" else some, "parquet"))
+    scene = _one_batch(t, parts, "evolve")
+    tenant = scene.commits().first().tenant_id
+    return scene.read(tenant, "orders").select("order_id", "customer_id", "total_price", "priority_level")
+
+
+@query("str_mixed_shapes", """
+SELECT 'completed' AS status, count(*) AS row_count FROM {orders} WHERE o_orderstatus <> 'O'
+UNION ALL SELECT 'failed', 0 UNION ALL SELECT 'visible', count(*) FROM {orders} WHERE o_orderstatus <> 'O'""")
+def str_mixed_shapes(t: Tables):
+    """In strict mode the file with a column too many fails, though it shares its batch and format with good ones."""
+    rows, key = messy_orders(t), feeds.ORDER_HEADERS["o_orderkey"]
+    slim = rows.select(F.col(f"`{key}`"), "STATUS")
+    parts = [("1", slim.filter("STATUS = 'F'"), "parquet"), ("2", rows.filter("STATUS = 'O'"), "parquet"),
+             ("3", slim.filter("STATUS = 'P'").select("STATUS", F.col(f"`{key}`")), "json")]
+    lake = _one_batch(t, parts, "by_name")
+    outcome = ingest.job_events(lake).groupBy("status").agg(F.sum("row_count").alias("row_count"))
+    return outcome.unionByName(lake.commits().agg(F.sum("row_count").alias("row_count")).select(
+        F.lit("visible").alias("status"), "row_count"))
+
+
+@query("str_pending_many", feeds.ORDERS_CLEAN_SQL)
+def str_pending_many(t: Tables):
+    """Files wait for their registry row and then arrive a few at a time."""
+    scene, checkpoint = Scene(t), scratch_path(t.spark, "ingest")
+    row = upload(t, scene.lake, scene.acme, "many.csv", messy_orders(t).repartition(12), "csv")
+    for known in ([], [row]):
+        ingest.start_ingest(scene.lake, lambda known=known: registry(t, known), checkpoint, max_files=5).awaitTermination()
+    return scene.lake.read(scene.acme, "orders")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silverbrook.functions.naming import clean_columns, unique_names
+from silverbrook.sources.shapes import heads
 
 Paths = str | Sequence[str]
 
@@ -90,12 +91,6 @@ def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
     return clean_columns(spark.read.parquet(*_paths(path)))
 
 
-def is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether one file is a single array; decided on its first non-blank line."""
-    first = spark.read.text(path).filter(F.col("value").rlike(r"\S")).take(1)
-    return bool(first) and first[0]["value"].lstrip("\ufeff \t").startswith("[")
-
-
 def _fits(value: Column, pattern: str, type_name: str) -> Column:
     """Whether a text reads as the type; null for null, which leaves the vote open."""
     return F.when(value.isNotNull(), value.rlike(pattern) & value.try_cast(type_name).isNotNull())
@@ -144,17 +139,23 @@ def _read_json(spark: SparkSession, paths: list[str], multi_line: bool, schema:
 
 
 def read_json(spark: SparkSession, path: Paths, schema: T.StructType | None = None,
-              corrupt_column: str | None = None) -> DataFrame:
+              corrupt_column: str | None = None, array: bool | None = None) -> DataFrame:
     """One JSON array, or one object per line, decided file by file; nested values keep their structure.
 
+    The first character of each file decides, found for all files in one job unless ``array`` says it.
+
     With ``schema`` keys are matched by their cleaned names and absent ones are null.
     ``corrupt_column`` adds the text of lines that are no JSON or do not fit. Line-delimited input
     splits across tasks. A single array document does not: that is the format's limit, so several
     arrays should arrive as several files.
     """
     kinds: dict[bool, list[str]] = {}
-    for p in _paths(path):
-        kinds.setdefault(is_json_array(spark, p), []).append(p)
+    if array is None:
+        found = heads(spark, [(p, "json") for p in _paths(path)])
+        for p in _paths(path):
+            kinds.setdefault(found[p][0] == "array", []).append(p)
+    else:
+        kinds[array] = _paths(path)
     parts = [_read_json(spark, some, array, schema, corrupt_column) for array, some in kinds.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

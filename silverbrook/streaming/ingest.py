@@ -4,25 +4,30 @@ A file stream announces new raw files; each micro-batch resolves them against th
 registry and appends their rows to the tables they belong to. The stream checkpoint makes
 every file arrive once, and the batch id makes a repeated micro-batch overwrite its own
 output instead of adding to it. A file whose registry row is not there yet waits in a
-pending list and is tried again; every file ends up completed, failed or pending.
+pending table, which is joined with the registry again and again; every file ends up
+completed, failed or pending.
+
+Files are read together only if they have the same columns, so neither a column nor a
+mismatch goes unseen because of what else is in the batch. The shapes of all files of a
+batch are found by one job; groups go in the order of their first file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from silverbrook.operators.tables import BatchRejected, Lake
 from silverbrook.sources import readers
-from silverbrook.sources.storage import path_exists
+from silverbrook.sources.shapes import plain_path, shapes
+from silverbrook.sources.storage import delete_folder, path_exists
 
 CORRUPT, SOURCE = "_corrupt_line", "_source_file"
 
@@ -73,20 +78,18 @@ def quarantined(lake: Lake, tenant: str, table: str) -> DataFrame:
     return lake.spark.read.parquet(f"{lake.root}/tenants/{tenant}/quarantine/{table}")
 
 
-def _plain(path: str) -> str:
-    """One spelling per file: no escapes beyond the name's own, one slash after the scheme."""
-    return re.sub(r"^([a-z][a-z0-9+.-]*):/+", r"\1:/", path)
-
-
 def _read_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str]) -> DataFrame:
-    """Rows of one group with their file; lines that do not fit carry their raw text."""
+    """Rows of one group with their file; lines that do not fit carry their raw text.
+
+    ``fmt`` is csv, parquet, array or lines, and all files have the same columns.
+    """
     spark, schema = lake.spark, lake.schema_of(tenant, table)
     if fmt == "csv":
         df = readers.read_csv(spark, paths, schema=schema, corrupt_column=CORRUPT)
     elif fmt == "parquet":
         df = readers.read_parquet(spark, paths).withColumn(CORRUPT, F.lit(None).cast("string"))
     else:
-        df = readers.read_json(spark, paths, schema=schema, corrupt_column=CORRUPT)
+        df = readers.read_json(spark, paths, schema=schema, corrupt_column=CORRUPT, array=fmt == "array")
     return df.withColumn(SOURCE, F.input_file_name())
 
 
@@ -98,13 +101,13 @@ def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str
     unreadable lines beside the data, then judged on those two columns. Only if a file
     fails is the batch written again without it. A file without rows is completed with none.
     """
-    listed = {_plain(p): p for p in paths}
+    listed = {plain_path(p): p for p in paths}
     tally: dict[str, tuple] = dict.fromkeys(paths, (0, 0, None))
 
     def accept(written: DataFrame) -> bool:
         per_file = written.groupBy(SOURCE).agg(
             F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("bad"), F.min(CORRUPT).alias("example"))
-        tally.update({listed[_plain(unquote(r[SOURCE]))]: (r["n"], r["bad"], r["example"]) for r in per_file.collect()})
+        tally.update({listed[plain_path(unquote(r[SOURCE]))]: (r["n"], r["bad"], r["example"]) for r in per_file.collect()})
         failed = [path for path, (_, bad, _) in tally.items() if bad]
         if failed:
             written.filter(F.col(CORRUPT).isNotNull()).select(F.col(SOURCE).alias("path"), F.col(CORRUPT).alias("line")) \
@@ -128,7 +131,7 @@ def _ingest_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str
 
 
 def _file_tag(path: str) -> str:
-    return hashlib.sha1(_plain(path).encode()).hexdigest()[:16]
+    return hashlib.sha1(plain_path(path).encode()).hexdigest()[:16]
 
 
 def _one_by_one(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str], tag: str, mode: str) -> list[tuple]:
@@ -143,28 +146,23 @@ def _one_by_one(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str],
     return outcome
 
 
-def _ingest_target(lake: Lake, tenant: str, table: str, groups: dict[str, list[str]], batch: str, mode: str) -> list[tuple]:
+Group = tuple[str, str, list[str]]
+
+
+def _ingest_target(lake: Lake, tenant: str, table: str, groups: list[Group], batch: str, mode: str) -> list[tuple]:
     """All groups of one table, one after another, because the first may fix its schema."""
     outcome = []
-    for fmt, paths in sorted(groups.items()):
-        kind, shapes = fmt, {}
-        for path in sorted(paths):  # files of one header can be read together
-            try:
-                head = ",".join(readers.csv_header(lake.spark, path)) if kind == "csv" else ""
-            except Exception:  # noqa: BLE001  unreadable: reported when it is read
-                head = path
-            shapes.setdefault(head, []).append(path)
-        for head, some in shapes.items():
-            tag = f"{batch}-{kind}-{hashlib.sha1(head.encode()).hexdigest()[:8]}"
-            if lake.batch_ids(tenant, table, f"{tag}-"):  # an earlier attempt went file by file
-                outcome += _one_by_one(lake, tenant, table, kind, some, tag, mode)
-                continue
-            try:
-                outcome += _ingest_group(lake, tenant, table, kind, some, tag, mode)
-            except Exception:  # noqa: BLE001
-                if lake.batch_ids(tenant, table, tag):
-                    raise  # committed already: a repetition finds it done
-                outcome += _one_by_one(lake, tenant, table, kind, some, tag, mode)
+    for kind, shape, paths in groups:
+        tag = f"{batch}-{kind}-{hashlib.sha1(shape.encode()).hexdigest()[:8]}"
+        if lake.batch_ids(tenant, table, f"{tag}-"):  # an earlier attempt went file by file
+            outcome += _one_by_one(lake, tenant, table, kind, paths, tag, mode)
+            continue
+        try:
+            outcome += _ingest_group(lake, tenant, table, kind, paths, tag, mode)
+        except Exception:  # noqa: BLE001
+            if lake.batch_ids(tenant, table, tag):
+                raise  # committed already: a repetition finds it done
+            outcome += _one_by_one(lake, tenant, table, kind, paths, tag, mode)
     return outcome
 
 
@@ -172,66 +170,87 @@ def _ingest_target(lake: Lake, tenant: str, table: str, groups: dict[str, list[s
 PARALLEL_TARGETS = 8
 
 
-def ingest_batch(lake: Lake, uploads: DataFrame, files: DataFrame, batch_id: int, mode: str = "by_name") -> None:
-    """Ingest the files of one micro-batch and those that were waiting for their registry row.
+def _ingest_files(lake: Lake, files: list[Row], tag: str, mode: str) -> list[tuple]:
+    """Ingest registered files: read by shape, tables side by side."""
+    formats = {f.path: readers.file_format(f.path, f.format) for f in files}
+    looks = shapes(lake.spark, formats.items())
+    targets: dict[tuple[str, str], dict[tuple[str, str], list[str]]] = {}
+    for f in sorted(files, key=lambda f: f.path):  # dicts keep this order
+        targets.setdefault((f.tenant_id, f.table_name), {}).setdefault(looks[f.path], []).append(f.path)
+    work = [(*target, [(*look, paths) for look, paths in groups.items()]) for target, groups in sorted(targets.items())]
+    with ThreadPoolExecutor(PARALLEL_TARGETS) as pool:
+        return [row for part in pool.map(lambda w: _ingest_target(lake, *w, tag, mode), work) for row in part]
+
+
+def ingest_batch(lake: Lake, uploads: DataFrame, files: DataFrame, batch_id: int, mode: str = "by_name",
+                 max_files: int = 1000) -> None:
+    """Ingest the files of one micro-batch and some of those that were waiting for their registry row.
 
-    The driver handles file names only, at most ``max_files`` new ones: they are grouped by
-    target table, and the groups are read and written as distributed jobs side by side.
+    The driver handles the names of registered files only, at most ``max_files`` of each kind: they are
+    grouped by target table and shape, and the groups are read and written as distributed jobs.
     """
-    retry_pending(lake, uploads, batch_id, mode)
-    groups: dict[tuple[str, str], dict[str, list[str]]] = {}
-    waiting = []
-    for f in _resolve(files, uploads).collect():
-        if f.tenant_id is None:
-            waiting.append(f.path)
-        else:
-            fmt = readers.file_format(f.path, f.format)
-            groups.setdefault((f.tenant_id, f.table_name), {}).setdefault(fmt, []).append(f.path)
+    retry_pending(lake, uploads, mode, max_files)
     tag = f"{batch_id:012d}"
-    with ThreadPoolExecutor(PARALLEL_TARGETS) as pool:
-        parts = pool.map(lambda g: _ingest_target(lake, *g[0], g[1], tag, mode), sorted(groups.items()))
-        outcome = [row for part in parts for row in part]
-    outcome += [(None, None, path, "pending", 0, tag, None) for path in waiting]
+    resolved = f"{lake.root}/registry/resolved/{tag}"
+    _resolve(files, uploads).write.mode("overwrite").parquet(resolved)
+    resolved = lake.spark.read.schema(RESOLVED).parquet(resolved)
+    waiting = resolved.filter(F.col("tenant_id").isNull()).select("path")
+    held, told = f"{lake.root}/registry/pending/{tag}", f"{lake.root}/registry/job_events/{tag}-pending"
+    some = not waiting.isEmpty()
+    if some:
+        waiting.write.mode("overwrite").json(held)
+    else:  # nor from an earlier attempt at this batch
+        delete_folder(lake.spark, held)
+    outcome = _ingest_files(lake, resolved.filter(F.col("tenant_id").isNotNull()).collect(), tag, mode)
     _events(lake, outcome, tag)
-    _keep_pending(lake, batch_id, sorted({*_pending(lake, batch_id), *waiting}))
+    if some:
+        waiting.select("path", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("row_count"), F.lit(tag).alias(
+            "batch_id"), F.current_timestamp().alias("at")).write.mode("overwrite").json(told)
+    else:
+        delete_folder(lake.spark, told)
 
 
-def _pending(lake: Lake, batch_id: int | None = None) -> list[str]:
-    """Files that wait for a registry row: the newest list, or the newest before or of ``batch_id``."""
-    folder = f"{lake.root}/registry/pending"
-    if not path_exists(lake.spark, folder):
-        return []
-    lists = lake.spark.read.schema("batch_id long, path string").option("recursiveFileLookup", True).json(folder)
-    if batch_id is not None:
-        lists = lists.filter(F.col("batch_id") <= batch_id)
-    newest = lists.groupBy("batch_id").agg(F.collect_set("path").alias("paths")).orderBy(F.desc("batch_id")).first()
-    return sorted(p for p in newest.paths if p) if newest else []
+RESOLVED = "path string, tenant_id string, table_name string, format string"
+_LATE = f"n long, {RESOLVED}"
 
 
-def _keep_pending(lake: Lake, batch_id: int, paths: list[str]) -> None:
-    rows = [(batch_id, p) for p in paths] or [(batch_id, "")]
-    lake.spark.createDataFrame(rows, "batch_id long, path string").coalesce(1).write.mode("overwrite").json(
-        f"{lake.root}/registry/pending/{batch_id:012d}")
+def _registry(lake: Lake, name: str, schema: str) -> DataFrame:
+    """One table of the ingestion's own books; without a file it is empty."""
+    folder = f"{lake.root}/registry/{name}"
+    if not path_exists(lake.spark, folder):
+        return lake.spark.createDataFrame([], schema)
+    return lake.spark.read.schema(schema).option("recursiveFileLookup", True).json(folder)
 
 
 def pending_files(lake: Lake) -> DataFrame:
-    """Paths of files seen but not registered yet."""
-    return lake.spark.createDataFrame([(p,) for p in _pending(lake)], "path string")
+    """Paths of files seen but not ingested for want of a registry row."""
+    arrived = _registry(lake, "arrived", "n long, path string").select("path")
+    return _registry(lake, "pending", "path string").distinct().join(arrived, "path", "left_anti")
 
 
-def retry_pending(lake: Lake, uploads: DataFrame, batch_id: int, mode: str = "by_name") -> None:
-    """Ingest waiting files whose registry row has come. A repetition does nothing twice."""
-    paths = _pending(lake, batch_id)
-    if not paths:
-        return
-    found = _resolve(lake.spark.createDataFrame([(p,) for p in paths], "path string"), uploads).filter(
-        F.col("tenant_id").isNotNull()).collect()
-    outcome = [row for f in sorted(found) for row in _one_by_one(
-        lake, f.tenant_id, f.table_name, readers.file_format(f.path, f.format), [f.path], "late", mode)]
-    for row in outcome:
-        _events(lake, [row], row[5])
-    if found:
-        _keep_pending(lake, batch_id, sorted({*paths} - {f.path for f in found}))
+def retry_pending(lake: Lake, uploads: DataFrame, mode: str = "by_name", max_files: int = 1000) -> int:
+    """Ingest at most ``max_files`` waiting files whose registry row has come; returns how many.
+
+    The choice is written down first, and struck off last: a call that was cut short is finished by the
+    next one under the same batch ids, so nothing arrives twice and nothing is left out.
+    """
+    folder, plans = f"{lake.root}/registry", _registry(lake, "late", _LATE)
+    if not path_exists(lake.spark, f"{folder}/pending"):
+        return 0
+    struck = _registry(lake, "arrived", "n long, path string").select("n").distinct()
+    number = plans.join(struck, "n", "left_anti").agg(F.min("n")).first()[0]
+    if number is None:
+        number = (plans.agg(F.max("n")).first()[0] or 0) + 1
+        chosen = _resolve(pending_files(lake), uploads).filter(F.col("tenant_id").isNotNull())
+        chosen = chosen.orderBy("path").limit(max_files).withColumn("n", F.lit(number).cast("long"))
+        chosen.write.mode("overwrite").json(f"{folder}/late/{number:08d}")
+    files = lake.spark.read.schema(_LATE).json(f"{folder}/late/{number:08d}").collect()
+    if files:
+        tag = f"late{number:08d}"
+        _events(lake, _ingest_files(lake, files, tag, mode), tag)
+        lake.spark.createDataFrame([(number, f.path) for f in files], "n long, path string").coalesce(1).write.mode(
+            "overwrite").json(f"{folder}/arrived/{number:08d}")
+    return len(files)
 
 
 def _resolve(files: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -245,14 +264,6 @@ def _resolve(files: DataFrame, uploads: DataFrame) -> DataFrame:
     return files.select("path").join(known, "path", "left").dropDuplicates(["path", "tenant_id", "table_name"])
 
 
-def _newest_batch(lake: Lake) -> int | None:
-    folder = f"{lake.root}/registry/pending"
-    if not path_exists(lake.spark, folder):
-        return None
-    return lake.spark.read.schema("batch_id long, path string").option("recursiveFileLookup", True).json(folder).agg(
-        F.max("batch_id")).first()[0]
-
-
 def start_ingest(lake: Lake, uploads: Callable[[], DataFrame], checkpoint: str, mode: str = "by_name",
                  max_files: int = 1000, continuous: str | None = None) -> StreamingQuery:
     """Start the ingestion stream.
@@ -262,12 +273,11 @@ def start_ingest(lake: Lake, uploads: Callable[[], DataFrame], checkpoint: str,
     waiting is ingested and the query ends; ``continuous`` keeps it running at an interval.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(lake, uploads(), batch, batch_id, mode)
+        ingest_batch(lake, uploads(), batch, batch_id, mode, max_files)
 
     # Without new files there may be no micro-batch, so waiting files are tried first.
-    newest = _newest_batch(lake)
-    if newest is not None:
-        retry_pending(lake, uploads(), newest, mode)
+    while retry_pending(lake, uploads(), mode, max_files):
+        pass
     writer = raw_files(lake.spark, lake, max_files).writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)

@@ -133,3 +133,77 @@ def test_failing_catalog_does_not_repeat_rows(spark, lake, tmp_path, monkeypatch
     up = [(drop_file(lake, T, f"{i}.csv", f"Id\n{i}\n"), T, "things", "csv") for i in range(3)]
     run(spark, lake, up, tmp_path)
     assert sorted(r.id for r in lake.read(T, "things").collect()) == [0, 1, 2]
+
+
+def parquet(spark, lake, tenant, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{lake.raw_folder(tenant)}/{name}")
+    return f"tenants/{tenant}/raw/{name}"
+
+
+def mixed(spark, lake):
+    return [(parquet(spark, lake, T, "1", [(1, "x1")], "Id long, X string"), T, "facts", "parquet"),
+            (parquet(spark, lake, T, "2", [(2, "y2")], "Id long, Y string"), T, "facts", "parquet"),
+            (parquet(spark, lake, T, "3", [("x3", 3)], "x string, id int"), T, "facts", "parquet"),
+            (parquet(spark, lake, T, "4", [(4, "x4")], "Id long, X string"), T, "facts", "parquet")]
+
+
+def test_parquet_files_of_differing_columns_in_one_batch_keep_them_all(spark, lake, tmp_path):
+    run(spark, lake, mixed(spark, lake), tmp_path, "evolve")
+    assert sorted(map(str, (r.asDict() for r in lake.read(T, "facts").collect()))) == sorted(map(str, [
+        {"id": 1, "x": "x1", "y": None}, {"id": 2, "x": None, "y": "y2"}, {"id": 3, "x": "x3", "y": None},
+        {"id": 4, "x": "x4", "y": None}]))
+
+
+def test_strict_mode_fails_the_odd_files_whatever_shares_a_batch(spark, lake, tmp_path):
+    up = mixed(spark, lake)
+    run(spark, lake, up, tmp_path)
+    assert sorted(map(tuple, lake.read(T, "facts").collect())) == [(1, "x1"), (3, "x3"), (4, "x4")]
+    events = {r.path.split("/raw/")[1][0]: r.status for r in ingest.job_events(lake).collect()}
+    assert events == {"1": "completed", "2": "failed", "3": "completed", "4": "completed"}
+    for table, together in (("one", True), ("two", False)):
+        files = [(drop_file(lake, T, f"{table}1.json", '{"a": 1}\n'), T, table, "json"),
+                 (drop_file(lake, T, f"{table}2.json", '[{"a": 2, "b": 3}]'), T, table, "json")]
+        for some in [files] if together else [files[:1], files]:
+            up = up + [f for f in some if f not in up]
+            run(spark, lake, up, tmp_path)
+        assert lake.read(T, table).columns == ["a"] and lake.read(T, table).count() == 1
+
+
+def test_shapes_of_all_formats(spark, tmp_path):
+    from silverbrook.sources.shapes import shapes
+
+    texts = {"a.csv": '"A, b",C\n1,2\n', "b.csv": "", "c.json": ' \n[{"b": 1}, {"a": {"z": 1}}]', "d.json": '{"x": 1}\nbad\n{"y": 2}',
+             "e.json": "", "f.parquet": "no parquet", "g h%20.csv": "Q\n1\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    files = {f"file:{tmp_path}/{n}": n.rsplit(".", 1)[1] for n in texts}
+    got = {p.rsplit("/", 1)[1]: v for p, v in shapes(spark, [*files.items(), ("nowhere://x/y.csv", "csv")]).items()}
+    assert got.pop("f.parquet")[1].startswith("unreadable") and got.pop("y.csv")[1].startswith("unreadable")
+    assert got == {"a.csv": ("csv", '["A, b", "C"]'), "b.csv": ("csv", "[]"), "c.json": ("array", '["a","b"]'),
+                   "d.json": ("lines", '["x","y"]'), "e.json": ("lines", "[]"), "g h%20.csv": ("csv", '["Q"]')}
+
+
+def test_many_waiting_files_arrive_in_bounded_steps(spark, lake, tmp_path, monkeypatch):
+    keys = [drop_file(lake, T, f"{i:03}.csv", f"Id\n{i}\n") for i in range(25)]
+    run(spark, lake, [], tmp_path)
+    assert ingest.pending_files(lake).count() == 25
+    up = spark.createDataFrame([(k, T, "things", "csv") for k in keys[:23]],
+                               "raw_file_path string, tenant_id string, table_name string, format string")
+    assert ingest.retry_pending(lake, up, max_files=10) == 10 and ingest.pending_files(lake).count() == 15
+    events, cut = ingest._events, RuntimeError("executor lost")
+
+    def broken(*args):
+        raise cut
+
+    monkeypatch.setattr(ingest, "_events", broken)  # cut short after the commit
+    try:
+        ingest.retry_pending(lake, up, max_files=10)
+    except RuntimeError as error:
+        assert error is cut
+    monkeypatch.setattr(ingest, "_events", events)
+    assert [ingest.retry_pending(lake, up, max_files=n) for n in (4, 10, 10)] == [10, 3, 0]
+    assert sorted(r.id for r in lake.read(T, "things").collect()) == list(range(23))
+    assert ingest.pending_files(lake).count() == 2
+    # a long list stays a table: only what is registered comes to the driver
+    spark.range(100_000).selectExpr("concat('file:/none/', id) AS path").write.json(f"{lake.root}/registry/pending/x")
+    assert ingest.retry_pending(lake, up) == 0 and ingest.pending_files(lake).count() == 100_002

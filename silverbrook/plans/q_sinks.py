@@ -261,3 +261,25 @@ def snk_manifest_diff(t: Tables):
         .otherwise(F.col("o_totalprice")))
     changes = export.manifest_diff(before, backup(later, "after"))
     return changes.groupBy("change").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("snk_vacuum", """
+SELECT 'removed' AS what, 'hidden' AS item, count(*) AS n_rows FROM (SELECT 1 FROM {orders} HAVING count(*) > 0)
+UNION ALL SELECT 'removed', 'replaced', count(*) FROM (SELECT 1 FROM {orders} HAVING count(*) > 0)
+UNION ALL SELECT 'now', o_orderstatus, count(*) FROM {orders} WHERE o_orderstatus <> 'F' GROUP BY 2
+UNION ALL SELECT 'as of 2', o_orderstatus, count(*) FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 2""")
+def snk_vacuum(t: Tables):
+    """What no retained snapshot shows goes: a replaced batch and one never committed. The rest reads as before."""
+    scene = Scene(t)
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    batch = {s: rows.filter(F.col("o_orderstatus") == s) for s in "FOP"}
+    scene.commit(batch["F"], batch_id="b1")
+    scene.commit(batch["O"], batch_id="b2", replace=True)
+    scene.commit(batch["P"], batch_id="b3")
+    scene.commit(batch["F"], batch_id="b4", publish=False)
+    gone = scene.lake.vacuum(scene.acme, "sales", oldest=2, hidden_hours=0)
+    parts = [gone.groupBy(F.lit("removed").alias("what"), F.col("reason").alias("item")).agg(F.count("*").alias("n_rows"))]
+    for what, at in (("now", None), ("as of 2", 2)):
+        parts.append(scene.lake.read(scene.acme, "sales", as_of=at).groupBy(
+            F.lit(what).alias("what"), F.col("o_orderstatus").alias("item")).agg(F.count("*").alias("n_rows")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -27,6 +27,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders directly below a folder; none if it does not exist."""
+    fs, hadoop_path = _filesystem(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     """Remove exactly one folder; false when it was not there."""
     fs, hadoop_path = _filesystem(spark, path)

@@ -9,7 +9,7 @@ from silverbrook.functions import naming
 from silverbrook.operators import export
 from silverbrook.plans import feeds
 from silverbrook.plans.registry import Tables, query
-from silverbrook.session import scratch_path
+from silverbrook.session import materialize, scratch_path
 from silverbrook.sources import readers, storage
 
 CSV_OPTIONS = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
@@ -32,6 +32,25 @@ def src_csv(t: Tables):
     return readers.read_csv(t.spark, dropped(messy_orders(t), t, "csv", "csv", **CSV_OPTIONS))
 
 
+@query("src_csv_split", """
+SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_price,
+       CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(10)
+            ELSE o_orderpriority END AS note FROM {orders}""")
+def src_csv_split(t: Tables):
+    """One file with line breaks and quotes inside quoted cells, read by many tasks."""
+    broken = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('",\n'))
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("Order ID"), F.col("o_custkey").alias("Customer ID"), F.col("o_totalprice").alias("Total Price"),
+        F.when(F.col("o_orderkey") % 3 == 0, broken).otherwise(F.col("o_orderpriority")).alias("Note"))
+    path = dropped(rows.coalesce(1), t, "split", "csv", **CSV_OPTIONS)
+    most = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")  # so that a small file has many blocks
+    try:
+        return materialize(readers.read_csv(t.spark, path), "split-rows")
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
 @query("src_parquet", feeds.ORDERS_CLEAN_SQL)
 def src_parquet(t: Tables):
     return readers.read_parquet(t.spark, dropped(messy_orders(t), t, "parquet", "parquet"))

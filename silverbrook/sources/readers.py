@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from silverbrook.functions.naming import clean_columns, unique_names
+from silverbrook.sources import csv_split
 from silverbrook.sources.shapes import heads
+from silverbrook.sources.storage import stored_bytes
 
 Paths = str | Sequence[str]
 
@@ -58,33 +60,69 @@ def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return [c or "" for c in first[0]] if first else []
 
 
+def _large(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether any file or folder is larger than what one task reads."""
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return any(stored_bytes(spark, p) > most for p in paths)
+
+
 def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | None = None, sep: str = ",",
-             corrupt_column: str | None = None, multi_line: bool = True) -> DataFrame:
+             corrupt_column: str | None = None, multi_line: bool | None = None, file_column: str | None = None) -> DataFrame:
     """Comma-separated text with a header line and inferred types; quoted cells may hold line breaks.
 
     With ``schema`` the columns it names get its types, whatever their order in the files; only
     other columns are inferred. Files of one call must share their header. ``corrupt_column``
-    adds the raw text of lines that do not fit the types instead of failing. ``multi_line=False``
-    lets large files be split, for callers that know of no line break inside quotes.
+    adds the raw text of lines that do not fit the types instead of failing, ``file_column`` the file.
+
+    Files larger than a task's share are read by many tasks: as lines where no quoted cell of any file holds a
+    line break, else as the records that ``csv_split`` finds. ``multi_line`` takes one of Spark's two ways instead.
     """
     paths = _paths(path)
-    reader = spark.read.options(header=True, sep=sep, multiLine=multi_line, **_CSV)
+    opened = None
+    if multi_line is None:
+        multi_line = True
+        if _large(spark, paths):
+            states = csv_split.block_states(spark, paths, sep).cache()
+            if states.where("broken").isEmpty():
+                multi_line = False
+            else:
+                opened = {(r.file, r.block) for r in states.where("inside").collect()}
+                returns = {r.file for r in states.where("returns").select("file").distinct().collect()}
+            states.unpersist()
+    options = {"sep": sep, "multiLine": multi_line, **_CSV}
+    reader = spark.read.options(header=True, **options)
+    if opened is None:
+        def infer():
+            return reader.option("inferSchema", True).csv(paths).schema
+    else:
+        rows = csv_split.records(spark, paths, opened, returns, sep)
+
+        def infer():
+            return spark.read.options(inferSchema=True, **options).csv(rows.select("record").rdd.map(lambda r: r[0])).schema
+
+    header = csv_header(spark, paths[0], sep) if schema is not None or opened is not None else None
     if schema is None:
-        fields = widen(reader.option("inferSchema", True).csv(paths).schema).fields
-        names = unique_names([f.name for f in fields])
+        fields = widen(infer()).fields
+        names = unique_names(header or [f.name for f in fields])
     else:
-        names, types = unique_names(csv_header(spark, paths[0], sep)), {f.name: f.dataType for f in schema.fields}
+        names, types = unique_names(header), {f.name: f.dataType for f in schema.fields}
         fields = [T.StructField(n, types.get(n)) for n in names if n in types]
         if len(fields) < len(names):
-            inferred = widen(reader.option("inferSchema", True).csv(paths).schema).fields
+            inferred = widen(infer()).fields
             fields = [T.StructField(n, types.get(n, f.dataType)) for n, f in zip(names, inferred, strict=True)]
     fields = [T.StructField(n, f.dataType, True) for n, f in zip(names, fields, strict=True)]
+    options["mode"] = "FAILFAST"
     if corrupt_column:
         fields.append(T.StructField(corrupt_column, T.StringType()))
-        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
-    else:
-        reader = reader.option("mode", "FAILFAST")
-    return reader.schema(T.StructType(fields)).csv(paths)
+        options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_column}
+    shape = T.StructType(fields)
+    if opened is None:
+        df = spark.read.options(header=True, **options).schema(shape).csv(paths)
+        return df.withColumn(file_column, F.input_file_name()) if file_column else df
+    texts = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    df = rows.select("file", F.from_csv("record", ddl, texts).alias("row"))
+    return df.select("row.*", *([F.col("file").alias(file_column)] if file_column else []))
 
 
 def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:

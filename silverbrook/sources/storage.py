@@ -33,6 +33,17 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at or below a path; patterns and missing paths have none."""
+    fs, hadoop_path = _filesystem(spark, path)
+    if not fs.exists(hadoop_path):
+        return 0
+    files, most = fs.listFiles(hadoop_path, True), 0
+    while files.hasNext():
+        most = max(most, files.next().getLen())
+    return most
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     """Remove exactly one folder; false when it was not there."""
     fs, hadoop_path = _filesystem(spark, path)

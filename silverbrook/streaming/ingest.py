@@ -85,8 +85,8 @@ def _read_group(lake: Lake, tenant: str, table: str, fmt: str, paths: list[str])
     """
     spark, schema = lake.spark, lake.schema_of(tenant, table)
     if fmt == "csv":
-        df = readers.read_csv(spark, paths, schema=schema, corrupt_column=CORRUPT)
-    elif fmt == "parquet":
+        return readers.read_csv(spark, paths, schema=schema, corrupt_column=CORRUPT, file_column=SOURCE)
+    if fmt == "parquet":
         df = readers.read_parquet(spark, paths).withColumn(CORRUPT, F.lit(None).cast("string"))
     else:
         df = readers.read_json(spark, paths, schema=schema, corrupt_column=CORRUPT, array=fmt == "array")

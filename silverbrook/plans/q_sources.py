@@ -42,7 +42,7 @@ def src_csv_split(t: Tables):
     rows = t.orders.select(
         F.col("o_orderkey").alias("Order ID"), F.col("o_custkey").alias("Customer ID"), F.col("o_totalprice").alias("Total Price"),
         F.when(F.col("o_orderkey") % 3 == 0, broken).otherwise(F.col("o_orderpriority")).alias("Note"))
-    path = dropped(rows.coalesce(1), t, "split", "csv", **CSV_OPTIONS)
+    path = dropped(rows.coalesce(1), t, "split", "csv", ignoreTrailingWhiteSpace=False, **CSV_OPTIONS)
     most = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
     t.spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")  # so that a small file has many blocks
     try:

@@ -74,6 +74,37 @@ def table_columns(spark: SparkSession, full_names) -> DataFrame:
     return spark.createDataFrame(rows, "full_name string, ordinal int, name string, type string")
 
 
+# Names of types in a stored schema that SQL spells otherwise.
+_SQL_TYPES = {"long": "bigint", "integer": "int", "short": "smallint", "byte": "tinyint"}
+
+
+def _latest(commits: DataFrame) -> DataFrame:
+    """One row per committed table with the schema of its last commit."""
+    return commits.groupBy("tenant_id", "layer", "table_name").agg(F.max_by("table_schema", "snapshot_id").alias("stored"))
+
+
+def logged_columns(commits: DataFrame) -> DataFrame:
+    """One row per column of every committed table, from the schemas in the commit log."""
+    fields = F.from_json("stored", "fields array<struct<name string, type string>>")["fields"]
+    rows = _latest(commits).select(
+        F.concat("tenant_id", F.lit("_"), "layer", F.lit("."), "table_name").alias("full_name"),
+        F.posexplode(fields).alias("at", "field"))
+    names = F.create_map(*[F.lit(x) for pair in _SQL_TYPES.items() for x in pair])
+    return rows.select("full_name", (F.col("at") + 1).alias("ordinal"), F.col("field.name").alias("name"),
+                       F.coalesce(names[F.col("field.type")], F.col("field.type")).alias("type"))
+
+
+def logged_objects(commits: DataFrame) -> DataFrame:
+    """Every committed table and its flat alias in the shape ``list_tables`` reads, from the commit log."""
+    tables = _latest(commits)
+    schema = F.concat("tenant_id", F.lit("_"), "layer")
+    alias = F.struct(F.lit(1).cast("long").alias("ordinal"), F.lit("main").alias("table_schema"),
+                     F.concat("tenant_id", F.lit("_"), "table_name").alias("table_name"))
+    own = F.struct(F.lit(0).cast("long").alias("ordinal"), schema.alias("table_schema"), F.col("table_name"))
+    both = F.when(F.col("layer") == "silver", F.array(own, alias)).otherwise(F.array(own))
+    return tables.select(F.explode(both).alias("o")).select("o.*", F.lit("VIEW").alias("table_type"))
+
+
 def dataset_counts(tenants: DataFrame, datasets: DataFrame, pinned: str = PINNED_TENANT) -> DataFrame:
     """Datasets per tenant, zero included; the pinned tenant first, then by name.
 

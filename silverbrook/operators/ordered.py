@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silverbrook.session import materialize
+
 
 def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column):
     rows = df.withColumn("_chunk", chunk)
@@ -115,20 +117,73 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, v
     return matched.unionAll(lone)
 
 
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+
+
+# Ranges below 2^20 microseconds, about a second, share one level.
+_FINEST = 20
+
+
 def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str,
-               start: str, end: str, width_seconds: int) -> DataFrame:
+               start: str, end: str) -> DataFrame:
     """Pairs with ``start <= at < end`` and equal keys.
 
-    Time is cut into buckets of ``width_seconds``; a range is repeated once per bucket it
-    touches, which turns the join into an equality that spreads one busy key over its
-    buckets. Choose a width near the usual range length.
+    A range lies in at most two blocks of the smallest power of two that is no shorter than itself, so it
+    becomes two rows at most, whether it lasts seconds or years. A point becomes one row for each such length that
+    occurs, sixty at most. The join is an equality on key, level and block, which spreads one busy key. Empty
+    ranges and rows with a null key or time find nothing.
     """
-    def bucket(ts: Column) -> Column:
-        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
-        return F.floor(micros / F.lit(width_seconds * 1_000_000))
-
-    spread = ranges.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    marked = points.withColumn("_bucket", bucket(F.col(at)))
-    joined = marked.join(spread, [*keys, "_bucket"])
-    return joined.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
-
+    first, last = _micros(F.col(start)), _micros(F.col(end)) - 1
+    # the bits of the length decide; the binary text of a number has as many digits
+    level = F.greatest(F.length(F.bin(last - first)), F.lit(_FINEST))
+    cut = ranges.where(F.col(start) < F.col(end)).withColumn("_level", level)
+    block = [F.call_function("shiftright", x, F.col("_level")) for x in (first, last)]
+    cut = cut.withColumn("_block", F.explode(F.array_distinct(F.array(*block))))
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())
+    marked = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(F.array(
+        *[F.lit(n) for n in levels]).cast("array<int>"))).withColumn(
+        "_block", F.call_function("shiftright", _micros(F.col(at)), F.col("_level")))
+    joined = marked.join(cut, [*keys, "_level", "_block"])
+    return joined.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_block")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per key, one column for each name in ``probabilities``.
+
+    Distinct values are counted and sorted by range over all tasks; the sum of the counts before each piece of a key
+    gives the ranks it holds, and only the pieces that hold a wanted rank are looked into. No task holds more
+    than its piece, however many distinct values a key has. Null values do not count; a key without others is null.
+    """
+    counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
+    counted = counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
+    counted = materialize(counted, "counted")
+    pieces = counted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"), F.min("_v").alias("_low"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(F.asc_nulls_first("_low")).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_size").over(whole))
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ((F.col("_total") - 1) * F.lit(float(p))).alias("at"))
+                                 for n, p in probabilities.items()]))
+    pieces = pieces.withColumn("_w", wanted).where(
+        (F.ceil("_w.at") >= F.col("_before")) & (F.floor("_w.at") < F.col("_before") + F.col("_size")) & (F.col("_total") > 0))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] + [F.col("r._part") == F.col("p._part")]
+    held = pieces.groupBy(*keys, "_part", "_before").agg(F.collect_set("_w").alias("_ws"))
+    rows = counted.alias("r").join(held.alias("p"), reduce(lambda a, b: a & b, same)).select(
+        *[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._part").alias("_part"), "_v", "_n", "_before", "_ws")
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_to", F.col("_before") + F.sum("_n").over(inside)).withColumn("_w", F.explode("_ws"))
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_to") - F.col("_n")) & (rank < F.col("_to"))
+
+    ends = rows.groupBy(*keys, F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at")).agg(
+        F.max(F.when(holds(F.floor("_w.at")), F.col("_v"))).alias("_a"),
+        F.max(F.when(holds(F.ceil("_w.at")), F.col("_v"))).alias("_b"))
+    share = F.col("_at") - F.floor("_at")
+    found = ends.withColumn("_q", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+        F.col("_a") * (1 - share) + F.col("_b") * share))
+    picked = [F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probabilities]
+    lone = df.groupBy(*keys).agg(F.count(value).alias("_n")).where("_n = 0").select(
+        *keys, *[F.lit(None).cast("double").alias(n) for n in probabilities])
+    return found.groupBy(*keys).agg(*picked).unionByName(lone)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from silverbrook.operators import access, catalog, jobs
 from silverbrook.plans import feeds
+from silverbrook.plans.q_sinks import Scene
 from silverbrook.plans.registry import Tables, query
 from silverbrook.sources import storage
 
@@ -67,6 +68,60 @@ def cat_columns(t: Tables):
         F.min_by("name", "ordinal").alias("first_name"), F.count_distinct("type").alias("n_types"))
 
 
+def _committed(t: Tables) -> Scene:
+    """Two tenants with tables committed from the given data, one of them in two batches that differ."""
+    scene = Scene(t)
+    slim = t.orders.select("o_orderkey", "o_custkey")
+    scene.commit(slim.where("o_custkey % 2 = 0"), "orders", mode="evolve")
+    scene.commit(t.orders.where("o_custkey % 2 = 1"), "orders", mode="evolve")
+    scene.commit(t.customer, "customer", tenant=scene.globex)
+    scene.commit(t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n")), "per_nation", layer="gold")
+    return scene
+
+
+def _place(scene: Scene, name):
+    """A catalog name without the random part of the scene's tenants."""
+    return F.regexp_replace(F.regexp_replace(name, scene.acme, "acme"), scene.globex, "globex")
+
+
+_SQL_TYPE = """CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+  ELSE lower(data_type) END"""
+
+
+@query("cat_table_columns", f"""
+WITH c AS (SELECT table_name, column_name, ordinal_position AS i, {_SQL_TYPE} AS type FROM information_schema.columns
+           WHERE table_schema = 'main' AND table_name IN ('orders', 'customer')),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE column_name WHEN 'o_orderkey' THEN -2 WHEN 'o_custkey' THEN -1 ELSE i END)
+        AS ordinal FROM c WHERE table_name = 'orders')
+SELECT 'acme_silver.orders' AS full_name, CAST(ordinal AS INTEGER) AS ordinal, column_name AS name, type,
+       (SELECT count(*) FROM {{orders}}) AS n_rows FROM o
+UNION ALL SELECT 'globex_silver.customer', CAST(i AS INTEGER), column_name, type, (SELECT count(*) FROM {{customer}})
+FROM c WHERE table_name = 'customer'
+UNION ALL SELECT 'acme_gold.per_nation', 1, 'c_nationkey', max(type), (SELECT count(DISTINCT c_nationkey) FROM {{customer}})
+FROM c WHERE column_name = 'c_nationkey'
+UNION ALL SELECT 'acme_gold.per_nation', 2, 'n', 'bigint', count(DISTINCT c_nationkey) FROM {{customer}}""")
+def cat_table_columns(t: Tables):
+    """Columns of every committed table, read from the commit log as a DataFrame."""
+    scene = _committed(t)
+    log = scene.lake.commits()
+    sizes = log.groupBy(F.concat("tenant_id", F.lit("_"), "layer", F.lit("."), "table_name").alias("full_name")).agg(
+        F.sum("row_count").alias("n_rows"))
+    found = catalog.logged_columns(log).join(sizes, "full_name")
+    return found.withColumn("full_name", _place(scene, "full_name"))
+
+
+@query("cat_session_tables", """
+SELECT * FROM (VALUES ('acme_silver.orders', 'orders', 'acme_silver', 'silver', 'view'),
+  ('acme_orders', 'acme_orders', 'main', 'silver', 'view'), ('globex_silver.customer', 'customer', 'globex_silver', 'silver', 'view'),
+  ('globex_customer', 'globex_customer', 'main', 'silver', 'view'), ('acme_gold.per_nation', 'per_nation', 'acme_gold', 'gold', 'view')
+) AS v(full_name, name, schema, layer, type) WHERE (SELECT count(*) FROM {orders}) > 0""")
+def cat_session_tables(t: Tables):
+    """Listing of all committed tables and aliases from the commit log, without asking the session table by table."""
+    scene = _committed(t)
+    found = catalog.list_tables(catalog.logged_objects(scene.lake.commits()))
+    return found.select(*[_place(scene, c).alias(c) for c in ("full_name", "name", "schema")], "layer", "type")
+
+
 @query("cat_dataset_counts", f"""
 SELECT t.slug, t.name, count(d.dataset_id) AS dataset_count FROM ({feeds.TENANTS}) AS t
 LEFT JOIN ({feeds.DATASETS}) AS d ON d.tenant_id = t.slug GROUP BY 1, 2""")

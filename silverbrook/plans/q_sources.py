@@ -116,6 +116,26 @@ def src_union_by_name(t: Tables):
     return readers.read_union_by_name(t.spark, [f"{root}/a", f"{root}/b"])
 
 
+@query("src_union_conflicts", """
+SELECT o_orderkey AS id, CAST(o_custkey AS DOUBLE) AS amount, CAST(CAST(o_custkey AS INTEGER) AS STRING) AS mark,
+       CAST(o_orderdate AS TIMESTAMP) AS at, NULL AS extra FROM {orders} WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority, CAST(o_orderdate AS TIMESTAMP), NULL FROM {orders} WHERE o_orderstatus = 'O'
+UNION ALL SELECT CAST(o_orderkey AS INTEGER), NULL, NULL, CAST(o_orderdate AS DATE), o_orderstatus FROM {orders} WHERE o_orderstatus = 'P'""")
+def src_union_conflicts(t: Tables):
+    """Files that disagree on types: int and long, long and double, number and text, date and timestamp."""
+    root = scratch_path(t.spark, "union")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    t.orders.filter("o_orderstatus = 'F'").select(
+        key.cast("long").alias("id"), F.col("o_custkey").cast("long").alias("amount"),
+        F.col("o_custkey").cast("int").alias("mark"), day.cast("timestamp_ntz").alias("at")).write.parquet(f"{root}/a")
+    t.orders.filter("o_orderstatus = 'O'").select(
+        F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("mark"), day.cast("timestamp_ntz").alias("at"),
+        key.cast("long").alias("id")).write.parquet(f"{root}/b")
+    t.orders.filter("o_orderstatus = 'P'").select(
+        key.cast("int").alias("id"), day.cast("date").alias("at"), F.col("o_orderstatus").alias("extra")).write.parquet(f"{root}/c")
+    return readers.read_union_by_name(t.spark, root)
+
+
 @query("src_path_table", """
 SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY o_orderstatus""")
 def src_path_table(t: Tables):

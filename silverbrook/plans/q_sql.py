@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from silverbrook.operators.ordered import asof_join, previous_value, range_join, running_total
+from silverbrook.operators.ordered import asof_join, previous_value, quantiles, range_join, running_total
 from silverbrook.plans.registry import Tables, query
 from silverbrook.plans.tenant_query import QueryResult, TenantGuard, capped, tenant_sql
 
@@ -252,7 +252,7 @@ def sql_range_join(t: Tables):
     errors = t.events.filter("event_type = 'error'").select(
         "user_id", F.col("ts").alias("starts"), F.expr("ts + INTERVAL 6 HOUR").alias("ends"),
         F.col("event_id").alias("error_id"))
-    return range_join(clicks, errors, ["user_id"], "ts", "starts", "ends", 6 * 3600).select(
+    return range_join(clicks, errors, ["user_id"], "ts", "starts", "ends").select(
         "error_id", "click_id", "user_id")
 
 
@@ -357,6 +357,32 @@ def sql_quantile(t: Tables):
         F.percentile("l_quantity", F.lit(0.9), F.col("n")).alias("p90"))
 
 
+@query("sql_quantile_price", """
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25,
+       round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM {lineitem} GROUP BY 1""")
+def sql_quantile_price(t: Tables):
+    """Exact quantiles of a column of mostly distinct values, by rank over sorted pieces."""
+    found = quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", {"p25": 0.25, "median": 0.5, "p99": 0.99})
+    return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p99")])
+
+
+@query("sql_range_lengths", """
+WITH r AS (SELECT event_id AS rid, user_id, ts AS starts,
+             ts + CASE event_id % 4 WHEN 0 THEN INTERVAL 1 SECOND WHEN 1 THEN INTERVAL 1 HOUR
+                  WHEN 2 THEN INTERVAL 9 DAY ELSE INTERVAL 400 DAY END AS ends
+           FROM {events} WHERE event_type = 'error')
+SELECT rid, count(*) AS n FROM r JOIN {events} e ON e.user_id = r.user_id AND e.ts >= r.starts AND e.ts < r.ends GROUP BY rid""")
+def sql_range_lengths(t: Tables):
+    """Events within ranges that last from a second to more than a year."""
+    length = F.when(F.col("event_id") % 4 == 0, F.expr("INTERVAL '1' SECOND")).when(
+        F.col("event_id") % 4 == 1, F.expr("INTERVAL '3600' SECOND")).when(
+        F.col("event_id") % 4 == 2, F.expr("INTERVAL '777600' SECOND")).otherwise(F.expr("INTERVAL '34560000' SECOND"))
+    errors = t.events.filter("event_type = 'error'").select(
+        F.col("event_id").alias("rid"), "user_id", F.col("ts").alias("starts"), (F.col("ts") + length).alias("ends"))
+    return range_join(t.events.select("user_id", "ts"), errors, ["user_id"], "ts", "starts", "ends").groupBy("rid").agg(
+        F.count("*").alias("n"))
+
+
 @query("sql_approx")
 def sql_approx(t: Tables):
     """Sketch-based distinct counts and quantiles; estimates, so there is no exact counterpart."""

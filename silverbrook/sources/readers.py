@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from silverbrook.functions.naming import clean_columns, unique_names
 from silverbrook.sources import csv_split
 from silverbrook.sources.shapes import heads
-from silverbrook.sources.storage import stored_bytes
+from silverbrook.sources.storage import files_below, stored_bytes
 
 Paths = str | Sequence[str]
 
@@ -223,6 +223,83 @@ def read_any(spark: SparkSession, path: str, declared: str | None = None, root:
     return readers[file_format(path, declared)](spark, locate(path, root))
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NUMBER = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
+_TIME = (T.DateType, T.TimestampNTZType, T.TimestampType)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds the values of both: numbers widen, dates become timestamps, all else is text.
+
+    A long that meets a double becomes a decimal or text only by the caller's wish: it becomes double, as in a union.
+    Records are joined field by field, lists and maps by what they hold.
+    """
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
+        return max(a, b, key=lambda t: _WHOLE.index(type(t)))
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale, whole = max(a.scale, b.scale), max(a.precision - a.scale, b.precision - b.scale)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    if isinstance(a, _NUMBER) and isinstance(b, _NUMBER):
+        return T.DoubleType()
+    if isinstance(a, _TIME) and isinstance(b, _TIME):
+        return T.TimestampType() if T.TimestampType in (type(a), type(b)) else T.TimestampNTZType()
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return common_schema([a, b])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType), True)
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(common_type(a.keyType, b.keyType), common_type(a.valueType, b.valueType), True)
+    return T.StringType()
+
+
+def common_schema(schemas: Sequence[T.StructType]) -> T.StructType:
+    """All columns of the schemas in order of appearance, each with the common type."""
+    types: dict[str, T.DataType] = {}
+    for f in (f for s in schemas for f in s.fields):
+        types[f.name] = common_type(types[f.name], f.dataType) if f.name in types else f.dataType
+    return T.StructType([T.StructField(n, t, True) for n, t in types.items()])
+
+
+def _fitted(column: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value of one type as another that holds it; fields a record lacks become null."""
+    if have == want:
+        return column
+    if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+        own = {f.name: f.dataType for f in have.fields}
+        fields = [(_fitted(column[f.name], own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name)
+                  for f in want.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+        return F.transform(column, lambda x: _fitted(x, have.elementType, want.elementType))
+    if isinstance(want, T.StringType) and isinstance(have, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(column)
+    return column.cast(want)
+
+
 def read_union_by_name(spark: SparkSession, path: Paths) -> DataFrame:
-    """Parquet files of differing schemas; a column a file lacks reads as null."""
-    return spark.read.option("mergeSchema", True).parquet(*_paths(path))
+    """Parquet files of differing schemas; a column a file lacks reads as null, conflicting types meet in a common one.
+
+    The footers of all files are read in one job. Files of one schema are scanned together with their own types, so
+    filters still reach the scan; each such group is cast and the groups are united.
+    """
+    files = [f for p in _paths(path) for f in files_below(spark, p)]
+    found = heads(spark, [(f, "parquet") for f in files])
+    groups: dict[str, list[str]] = {}
+    for f in files:
+        groups.setdefault(found[f][1], []).append(f)
+    parts = [spark.read.parquet(*some) for some in groups.values()]
+    if not parts:
+        return spark.read.parquet(*_paths(path))
+    schema = common_schema([p.schema for p in parts])
+
+    def shaped(part: DataFrame) -> DataFrame:
+        own = {f.name: f.dataType for f in part.schema.fields}
+        return part.select(*[
+            (_fitted(F.col(f"`{f.name}`"), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields])
+
+    return reduce(DataFrame.unionAll, map(shaped, parts))

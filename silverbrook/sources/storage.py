@@ -44,6 +44,19 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return most
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Data files at or below a path, in order of name; hidden ones and empty ones are left out."""
+    fs, hadoop_path = _filesystem(spark, path)
+    files, found = fs.listFiles(hadoop_path, True), []
+    base = fs.makeQualified(hadoop_path).toString()
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().toString()
+        if status.getLen() and not re.search(r"/[._][^/]*", name.removeprefix(base)):
+            found.append(name)
+    return sorted(found)
+
+
 def delete_folder(spark: SparkSession, path: str) -> bool:
     """Remove exactly one folder; false when it was not there."""
     fs, hadoop_path = _filesystem(spark, path)

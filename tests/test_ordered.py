@@ -61,7 +61,7 @@ def test_range_join(skewed):
     points = skewed.select("k", "ts", "id")
     ranges = skewed.filter("v < 10").select(
         "k", F.col("ts").alias("s"), F.expr("ts + INTERVAL 5 HOUR").alias("e"), F.col("id").alias("rid"))
-    got = ordered.range_join(points, ranges, ["k"], "ts", "s", "e", 3600).select("id", "rid")
+    got = ordered.range_join(points, ranges, ["k"], "ts", "s", "e").select("id", "rid")
     plain = points.join(ranges.withColumnRenamed("k", "rk"), F.expr("k = rk AND ts >= s AND ts < e")).select("id", "rid")
     same(got, plain)
     assert got.count() > 100
@@ -97,3 +97,40 @@ def test_asof_join_keeps_every_left_row(spark):
         left, right, ["k"], "at", ["v"], lambda at: F.floor(at / 10)).collect()}
     assert got == {0: (None, None), 1: (None, None), 2: (None, None), 3: (None, None), 4: (0, 10), 5: (2, 11), 6: (2, 11),
                    7: (None, None), 8: (29, None), 9: (29, None)}
+
+
+def test_ranges_from_microseconds_to_centuries(spark):
+    rng, zero = random.Random(8), dt.datetime(1969, 12, 31, 23, 0)
+    points = [(i, rng.choice("ab"), zero + dt.timedelta(microseconds=rng.choice([rng.randrange(10**7), rng.randrange(10**13)])))
+              for i in range(300)] + [(900, None, zero), (901, "a", None)]
+    ranges = []
+    for i in range(200):
+        s = zero + dt.timedelta(microseconds=rng.randrange(10**rng.randrange(3, 14)))
+        ranges.append((i, rng.choice("ab"), s, s + dt.timedelta(microseconds=rng.randrange(10**rng.randrange(1, 16)))))
+    ranges += [(900, "a", zero, zero), (901, "a", zero, zero - dt.timedelta(1)), (902, "a", None, zero), (903, None, zero, None)]
+    p = spark.createDataFrame(points, "id int, k string, ts timestamp_ntz")
+    r = spark.createDataFrame(ranges, "rid int, k string, s timestamp_ntz, e timestamp_ntz")
+    got = ordered.range_join(p, r, ["k"], "ts", "s", "e").select("id", "rid").collect()
+    want = [(i, j) for i, k, t in points for j, h, s, e in ranges if k and t and k == h and s and e and s <= t < e]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+    assert ordered.range_join(p, r.limit(0), ["k"], "ts", "s", "e").count() == 0
+
+
+def test_quantiles_of_hot_tied_and_null_values(spark):
+    rng = random.Random(9)
+    rows = [("hot", rng.choice([1.5, rng.random(), -3.0])) for _ in range(5000)] + [("one", 7.0), (None, 2.0), (None, 4.0)]
+    rows += [("gone", None), ("hot", None), ("two", 1.0), ("two", None), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ps = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r.k: tuple(r)[1:] for r in ordered.quantiles(df, ["k"], "v", ps).collect()}
+
+    def plain(values, p):
+        values, at = sorted(values), (len(values) - 1) * p
+        low, high = values[int(at)], values[-int(-at // 1)]
+        return low if low == high else low * (1 - (at - int(at))) + high * (at - int(at))
+
+    for key in ("hot", "one", "two", None):
+        values = [v for k, v in rows if k == key and v is not None]
+        assert got[key] == tuple(plain(values, p) for p in ps.values()), key
+    assert got["gone"] == (None,) * 5 and len(got) == 5
+    assert ordered.quantiles(df.limit(0), ["k"], "v", ps).count() == 0

@@ -42,3 +42,17 @@ def test_uploads_from_datasets(spark):
         [("raw/a.csv", "t", "t_silver.a", "csv", "silver"), ("raw/g", "t", "t_gold.g", "csv", "gold")],
         "raw_file_path string, tenant_id string, table_fqn string, format string, layer string")
     assert [tuple(r) for r in ingest.uploads_from(datasets).collect()] == [("raw/a.csv", "t", "a", "csv")]
+
+
+def test_columns_and_objects_of_the_commit_log(spark, lake):
+    from silverbrook.operators import catalog
+
+    lake.commit("tenant_x", "t", spark.createDataFrame([(1, 2.0, [1])], "a int, b double, c array<int>"))
+    lake.commit("tenant_x", "t", spark.createDataFrame([(1, "q")], "a int, d string"), mode="evolve")
+    lake.commit("tenant_x", "g", spark.range(1), layer="gold")
+    got = sorted(map(tuple, catalog.logged_columns(lake.commits()).collect()))
+    assert [r[:3] for r in got] == [("tenant_x_gold.g", 1, "id"), ("tenant_x_silver.t", 1, "a"), ("tenant_x_silver.t", 2, "b"),
+                                    ("tenant_x_silver.t", 3, "c"), ("tenant_x_silver.t", 4, "d")]
+    assert [r[3] for r in got if r[2] in "abd"] == ["int", "double", "string"] and got[0][3] == "bigint"
+    listed = {r.full_name for r in catalog.list_tables(catalog.logged_objects(lake.commits())).collect()}
+    assert listed == {r.full_name for r in catalog.list_tables(catalog.session_objects(spark)).collect()}

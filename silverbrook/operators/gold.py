@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from silverbrook.functions import sqltext
 from silverbrook.operators import lineage
 from silverbrook.operators.tables import Lake
-from silverbrook.plans.tenant_query import TenantGuard
+from silverbrook.plans.tenant_query import QueryRefused, TenantGuard
+from silverbrook.session import materialize as intermediate
 from silverbrook.sources.storage import delete_folder, path_exists, safe_name
 
 
@@ -54,25 +56,56 @@ def definitions(lake: Lake) -> DataFrame:
         "dependencies", sqltext.dependencies(F.col("sql_query"), F.col("tenant_id"), F.col("name")))
 
 
-def restore_views(lake: Lake, tenant: str | None = None) -> list[str]:
-    """Rebuild stored views in the session, those they read first; returns their names."""
-    views = definitions(lake).filter("object_type = 'view'")
+def view_levels(objects: DataFrame) -> Iterator[DataFrame]:
+    """Views (tenant_id, name, sql_query), a DataFrame per level, each level reading none of the later ones.
+
+    A level is what no longer reads a waiting view: an anti-join of the views that wait with the edges between them.
+    What is left when none is ready reads itself in a circle, and comes as a last level under ``circular``.
+    """
+    views = intermediate(objects.filter("object_type = 'view'").select("tenant_id", "name", "sql_query"), "views")
+    known = views.select("tenant_id", F.col("name").alias("dependency"))
+    edges = lineage.dependency_edges(views).where("dependency <> name").join(known, ["tenant_id", "dependency"])
+    edges = intermediate(edges, "view-edges")
+    waiting = views
+    while not waiting.isEmpty():
+        held = edges.join(waiting.select("tenant_id", F.col("name").alias("dependency")), ["tenant_id", "dependency"])
+        held = held.select("tenant_id", "name", F.lit(True).alias("held")).distinct()
+        marked = intermediate(waiting.join(held, ["tenant_id", "name"], "left"), "view-level")
+        ready = marked.where("held IS NULL").drop("held")
+        if ready.isEmpty():
+            yield waiting.withColumn("circular", F.lit(True))
+            return
+        yield ready.withColumn("circular", F.lit(False))
+        waiting = marked.where("held").drop("held")
+
+
+def restore_views(lake: Lake, tenant: str | None = None, guard: TenantGuard | None = None) -> list[str]:
+    """Rebuild stored views in the session, level by level, each through the guard; returns their names.
+
+    A view that the guard refuses, whose source is gone or that reads itself in a circle is left out with a warning.
+    """
+    objects = definitions(lake)
+    if guard is None:
+        tenants = objects.select("tenant_id").union(lake.commits().select("tenant_id")).distinct()
+        guard = TenantGuard(lake.spark, [r.tenant_id for r in tenants.toLocalIterator()])
     if tenant is not None:
-        views = views.filter(F.col("tenant_id") == tenant)
-    waiting, done = views.collect(), []  # names and texts only
-    while waiting:
-        left = []
-        for v in waiting:
+        objects = objects.filter(F.col("tenant_id") == tenant)
+    done, left = [], []
+    for level in view_levels(objects):
+        for v in level.orderBy("tenant_id", "name").toLocalIterator():
+            full_name = f"{v.tenant_id}_gold.{v.name}"
             try:
-                lake.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{v.tenant_id}_gold`")
-                lake.spark.sql(f"CREATE OR REPLACE VIEW `{v.tenant_id}_gold`.`{v.name}` AS {v.sql_query}")
-                done.append(f"{v.tenant_id}_gold.{v.name}")
-            except AnalysisException:
-                left.append(v)
-        if len(left) == len(waiting):
-            warnings.warn(f"views without their sources: {sorted(v.name for v in left)}", stacklevel=2)
-            break
-        waiting = left
+                if v.circular:
+                    raise QueryRefused("the view reads itself in a circle", 400)
+                guard.plan(v.tenant_id, v.sql_query)
+                schema = f"{safe_name(v.tenant_id)}_gold"
+                lake.spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
+                lake.spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{safe_name(v.name)}` AS {v.sql_query}")
+                done.append(full_name)
+            except (AnalysisException, QueryRefused, ValueError) as error:
+                left.append(f"{full_name}: {str(error).splitlines()[0]}")
+    if left:
+        warnings.warn(f"views not restored: {left}", stacklevel=2)
     return done
 
 

@@ -8,39 +8,34 @@ from pyspark.sql import functions as F
 from silverbrook.functions import sqltext
 from silverbrook.session import each, spread
 
-# Message fragments that turn a refusal into "forbidden".
-FORBIDDEN_MARKS = ("Access Denied", "prohibited")
-
-# Reasons for a refusal, in the order the rules are tried; only the marks above are fixed.
-EMPTY = "Query cannot be empty."
-FORBIDDEN_WORD = "Modification query with '%s' is prohibited."
-CHAINED = "Executing multiple chained SQL statements is prohibited."
-SYSTEM_SCHEMA = "Access Denied: Cross-schema query to '%s' is prohibited."
-FOREIGN_FILES = "Access Denied: object storage outside tenant '%s' scope."
-FOREIGN_SCHEMA = "Access Denied: Cross-tenant schema access prohibited: '%s' for tenant '%s'."
-FOREIGN_TABLE = "Access Denied: Cross-tenant table access prohibited: '%s' for tenant '%s'."
+# Reasons for a refusal, in the order the rules are tried. ``subject`` names what the rule found.
+EMPTY, WRITE_WORD, SEVERAL, SYSTEM_SCHEMA, FOREIGN_FILES, FOREIGN_SCHEMA, FOREIGN_TABLE = REASONS = (
+    "empty", "write_word", "several_statements", "system_schema", "foreign_files", "foreign_schema", "foreign_table")
 
 
 def audit_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -> DataFrame:
-    """Add ``tables``, ``reason``, ``verdict`` and ``status`` to every logged statement.
+    """Add ``tables``, ``reason``, ``subject``, ``verdict`` and ``status`` to every logged statement.
 
     A narrow job: one scan of the log, no shuffle. References are extracted once, in
     their own projection, because two rules and the output need them.
     """
     t, s = F.col(tenant), F.coalesce(F.col(sql), F.lit(""))
     word, schema, foreign = F.col("_word"), F.col("_schema"), F.col("_foreign")
-    foreign_schema = F.substring_index(F.lower(foreign), ".", 1)
     reason = (
         F.when(sqltext.is_empty(s), EMPTY)
-        .when(word.isNotNull(), F.format_string(FORBIDDEN_WORD, word))
-        .when(sqltext.statement_count(s) > 1, CHAINED)
-        .when(schema.isNotNull(), F.format_string(SYSTEM_SCHEMA, schema))
-        .when(sqltext.reads_foreign_files(s, t), F.format_string(FOREIGN_FILES, t))
-        .when(foreign.contains("."), F.format_string(FOREIGN_SCHEMA, foreign_schema, t))
-        .when(foreign.isNotNull(), F.format_string(FOREIGN_TABLE, foreign, t))
+        .when(word.isNotNull(), WRITE_WORD)
+        .when(sqltext.statement_count(s) > 1, SEVERAL)
+        .when(schema.isNotNull(), SYSTEM_SCHEMA)
+        .when(sqltext.reads_foreign_files(s, t), FOREIGN_FILES)
+        .when(foreign.contains("."), FOREIGN_SCHEMA)
+        .when(foreign.isNotNull(), FOREIGN_TABLE)
+    )
+    found = F.col("reason")
+    subject = (
+        F.when(found == WRITE_WORD, word).when(found == SYSTEM_SCHEMA, schema)
+        .when(found == FOREIGN_SCHEMA, F.substring_index(F.lower(foreign), ".", 1)).when(found == FOREIGN_TABLE, foreign)
     )
-    refused = F.col("reason").isNotNull()
-    forbidden = F.col("reason").contains(FORBIDDEN_MARKS[0]) | F.col("reason").contains(FORBIDDEN_MARKS[1])
+    refused, forbidden = found.isNotNull(), found != EMPTY
     staged = spread(log).select(
         "*", sqltext.referenced_tables(s).alias("tables"),
         sqltext.forbidden_word(s).alias("_word"), sqltext.system_schema(s).alias("_schema"))
@@ -48,6 +43,7 @@ def audit_queries(log: DataFrame, tenant: str = "tenant_id", sql: str = "sql") -
     return (
         staged.withColumn("_foreign", first_foreign)
         .withColumn("reason", reason)
+        .withColumn("subject", subject)
         .withColumn("verdict", F.when(~refused, "allowed").when(forbidden, "denied").otherwise("bad_request"))
         .withColumn("status", F.when(~refused, 200).when(forbidden, 403).otherwise(400))
         .drop("_word", "_schema", "_foreign")

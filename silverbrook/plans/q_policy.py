@@ -23,32 +23,28 @@ g AS (SELECT *, list_filter(tables, lambda x: CASE WHEN contains(x, '.')
           THEN split_part(lower(x), '.', 1) NOT IN (tenant_id, tenant_id || '_silver', tenant_id || '_gold')
           ELSE starts_with(lower(x), 'tenant_') AND NOT starts_with(lower(x), tenant_id || '_') END)[1] AS bad FROM r),
 v AS (SELECT *, CASE
-    WHEN regexp_full_match(sql, '{_BLANK}*') THEN 'Query cannot be empty.'
-    WHEN word IS NOT NULL THEN 'Modification query with ''' || word || ''' is prohibited.'
-    WHEN n_statements > 1 THEN 'Executing multiple chained SQL statements is prohibited.'
-    WHEN sys IS NOT NULL THEN 'Access Denied: Cross-schema query to ''' || sys || ''' is prohibited.'
+    WHEN regexp_full_match(sql, '{_BLANK}*') THEN 'empty' WHEN word IS NOT NULL THEN 'write_word'
+    WHEN n_statements > 1 THEN 'several_statements' WHEN sys IS NOT NULL THEN 'system_schema'
     WHEN regexp_matches(low, 'read_(parquet|csv|json)\(') AND contains(low, 'tenants/')
-      AND NOT contains(low, 'tenants/' || tenant_id || '/')
-      THEN 'Access Denied: object storage outside tenant ''' || tenant_id || ''' scope.'
-    WHEN bad IS NOT NULL THEN 'Access Denied: Cross-tenant ' || CASE WHEN contains(bad, '.')
-      THEN 'schema access prohibited: ''' || split_part(lower(bad), '.', 1)
-      ELSE 'table access prohibited: ''' || bad END || ''' for tenant ''' || tenant_id || '''.' END AS reason FROM g)"""
+      AND NOT contains(low, 'tenants/' || tenant_id || '/') THEN 'foreign_files'
+    WHEN contains(bad, '.') THEN 'foreign_schema' WHEN bad IS NOT NULL THEN 'foreign_table' END AS reason FROM g)"""
 
 
 @query("pol_audit", rf"""WITH {AUDIT_CTES}
-SELECT query_id, tenant_id, reason, array_to_string(tables, ',') AS table_list,
-       CASE WHEN reason IS NULL THEN 'allowed' WHEN reason = 'Query cannot be empty.' THEN 'bad_request'
+SELECT query_id, tenant_id, reason, CASE reason WHEN 'write_word' THEN word WHEN 'system_schema' THEN sys
+         WHEN 'foreign_schema' THEN split_part(lower(bad), '.', 1) WHEN 'foreign_table' THEN bad END AS subject, array_to_string(tables, ',') AS table_list,
+       CASE WHEN reason IS NULL THEN 'allowed' WHEN reason = 'empty' THEN 'bad_request'
             ELSE 'denied' END AS verdict,
-       CASE WHEN reason IS NULL THEN 200 WHEN reason = 'Query cannot be empty.' THEN 400 ELSE 403 END AS status
+       CASE WHEN reason IS NULL THEN 200 WHEN reason = 'empty' THEN 400 ELSE 403 END AS status
 FROM v""")
 def pol_audit(t: Tables):
     audited = policy.audit_queries(t.sql(feeds.QUERY_LOG))
-    return audited.select("query_id", "tenant_id", "reason", F.array_join("tables", ",").alias("table_list"),
+    return audited.select("query_id", "tenant_id", "reason", "subject", F.array_join("tables", ",").alias("table_list"),
                           "verdict", "status")
 
 
 @query("pol_summary", rf"""WITH {AUDIT_CTES}
-SELECT tenant_id, CASE WHEN reason IS NULL THEN 'allowed' WHEN reason = 'Query cannot be empty.' THEN 'bad_request'
+SELECT tenant_id, CASE WHEN reason IS NULL THEN 'allowed' WHEN reason = 'empty' THEN 'bad_request'
        ELSE 'denied' END AS verdict, count(*) AS n FROM v GROUP BY 1, 2""")
 def pol_summary(t: Tables):
     return policy.audit_summary(t.sql(feeds.QUERY_LOG))

@@ -176,9 +176,12 @@ def gold_rebuild(t: Tables):
     """The catalog is lost; tables come back from the log and views from their definitions."""
     scene = Scene(t)
     scene.commit(t.customer, "customers")
-    gold.create_view(scene.lake, scene.guard, scene.acme, "base", f"SELECT c_mktsegment FROM {scene.acme}_customers")
+    source = f"SELECT c_mktsegment FROM {scene.acme}_customers"
+    for i in range(9, 0, -1):  # a chain of ten, each name before that of the view it reads
+        gold.create_view(scene.lake, scene.guard, scene.acme, f"v{i}", source)
+        source = f"SELECT * FROM {scene.acme}_gold.v{i}"
     gold.create_view(scene.lake, scene.guard, scene.acme, "a_top",
-                     f"SELECT c_mktsegment, count(*) AS n FROM {scene.acme}_gold.base GROUP BY 1")
+                     f"SELECT c_mktsegment, count(*) AS n FROM {scene.acme}_gold.v1 GROUP BY 1")
     for schema in ("silver", "gold"):
         t.spark.sql(f"DROP SCHEMA `{scene.acme}_{schema}` CASCADE")
     scene.lake.publish_all()

@@ -146,6 +146,7 @@ class TenantGuard:
         heads = ("_".join(parts[:n]) for n in range(len(parts) - 1, 0, -1))
         return next((h for h in heads if h in self.tenants), None)
 
+    # The wording of refusals below is part of the interface that clients match on.
     def _check_relation(self, tenant: str, parts: list[str]) -> None:
         first, shown = parts[0].lower(), ".".join(parts)
         if len(parts) == 1:

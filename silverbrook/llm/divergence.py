@@ -59,12 +59,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for lang, source, text in rows_of(batches, "lang", "source", "text"):
             if not text:
                 continue
-            own, group = Counter(text.encode().translate(_TERM_BYTES).split()), (lang or "", source or "")
+            found, group = text.encode().translate(_TERM_BYTES).split(), (lang or "", source or "")
             terms = counts[group]
             held -= len(terms)
-            terms.update(own)
+            terms.update(found)
             held += len(terms)
-            docs_of[group].update(own.keys())
+            docs_of[group].update(set(found))
             if held > HELD:
                 yield from flush()
                 held = 0

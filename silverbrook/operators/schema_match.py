@@ -41,17 +41,19 @@ def _keyed(files: DataFrame, tables: DataFrame) -> DataFrame:
         "match-columns")
 
 
-def _overlap_needed(n_columns: Column) -> Column:
+def _overlap_needed(n_columns: Column, min_score: int) -> Column:
     """Fewest shared columns with which a dataset of this width can still qualify.
 
-    One match reaches the score limit up to width 3 and two up to width 6; three always
+    At the usual limit of 30 one match reaches it up to width 3 and two up to width 6; three always
     qualify. A wider partner only raises the need.
     """
-    reach = 100 / (MIN_SCORE - 0.5)
+    if min_score < 1:
+        raise ValueError("a limit below 1 would pair files with tables that share no column")
+    reach = 100 / (min_score - 0.5)
     return F.when(n_columns <= int(reach), 1).when(n_columns <= int(2 * reach), 2).otherwise(MIN_MATCHED)
 
 
-def _candidate_pairs(columns: DataFrame) -> DataFrame:
+def _candidate_pairs(columns: DataFrame, min_score: int) -> DataFrame:
     """Distinct file and table pairs that may qualify, with the width of each side."""
     # Repeated keys inside a file can match one table column several times over, so for
     # such a file the count of distinct shared keys proves nothing and all keys are used.
@@ -63,7 +65,7 @@ def _candidate_pairs(columns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).over(whole).alias("n_keys"),
         F.sum("copies").over(whole).alias("n_columns"),
         F.row_number().over(whole.orderBy("freq", "key")).alias("rarity"))
-    rare = F.col("rarity") <= F.col("n_keys") - _overlap_needed(F.col("n_columns")) + 1
+    rare = F.col("rarity") <= F.col("n_keys") - _overlap_needed(F.col("n_columns"), min_score) + 1
     repeats = F.col("is_file") & (F.col("n_columns") > F.col("n_keys"))
     offered = ranked.select("tenant_id", "is_file", "dataset_id", "key", "n_columns",
                             rare.alias("rare"), repeats.alias("repeats"))
@@ -83,7 +85,7 @@ def _candidate_pairs(columns: DataFrame) -> DataFrame:
     return pairs.select("tenant_id", "file_id", "table_id", "n_inferred", "n_existing").distinct()
 
 
-def _matched(columns: DataFrame) -> DataFrame:
+def _matched(columns: DataFrame, min_score: int) -> DataFrame:
     f = columns.filter("is_file").select(
         "tenant_id", F.col("dataset_id").alias("file_id"), "ordinal", "key", F.col("name").alias("inferred_name"),
         F.col("type").alias("inferred_type"), "category")
@@ -92,7 +94,7 @@ def _matched(columns: DataFrame) -> DataFrame:
     partner = first.select(
         "tenant_id", "table_id", "key", F.col("x.name").alias("existing_name"), F.col("x.type").alias("existing_type"),
         F.col("x.category").alias("existing_category"))
-    both = _candidate_pairs(columns).join(f, ["tenant_id", "file_id"]).join(partner, ["tenant_id", "table_id", "key"])
+    both = _candidate_pairs(columns, min_score).join(f, ["tenant_id", "file_id"]).join(partner, ["tenant_id", "table_id", "key"])
     exact = (F.lower("inferred_type") == F.lower("existing_type")) | (F.col("category") == F.col("existing_category"))
     soft = (F.col("category") == "STRING") | (F.col("existing_category") == "STRING")
     return both.select(
@@ -101,7 +103,7 @@ def _matched(columns: DataFrame) -> DataFrame:
         (~exact & soft).alias("compatible_type_match"))
 
 
-def _scores(matched: DataFrame) -> DataFrame:
+def _scores(matched: DataFrame, min_score: int) -> DataFrame:
     pair = ["tenant_id", "file_id", "table_id", "n_inferred", "n_existing"]
     counts = matched.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("matched"),
@@ -114,24 +116,27 @@ def _scores(matched: DataFrame) -> DataFrame:
     score = F.floor(weighted / F.greatest("n_inferred", "n_existing") * 100 + 0.5)
     return (
         counts.withColumn("score", score.cast("int"))
-        .filter((F.col("score") >= MIN_SCORE) | (F.col("matched") >= MIN_MATCHED))
+        .filter((F.col("score") >= min_score) | (F.col("matched") >= MIN_MATCHED))
         .select("tenant_id", "file_id", "table_id", "score", "matched", "exact_matches", "compatible_matches",
                 "n_inferred", "n_existing")
     )
 
 
-def matched_columns(files: DataFrame, tables: DataFrame) -> DataFrame:
+def matched_columns(files: DataFrame, tables: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """One row per file column that has a partner in a candidate table.
 
     The first table column with the key is the partner. Pairs that cannot qualify are
     absent.
     """
-    return _matched(_keyed(files, tables))
+    return _matched(_keyed(files, tables), min_score)
 
 
-def match_scores(files: DataFrame, tables: DataFrame) -> DataFrame:
-    """Qualifying (file, table) pairs with their score and match counts."""
-    return _scores(matched_columns(files, tables))
+def match_scores(files: DataFrame, tables: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
+    """Qualifying (file, table) pairs with their score and match counts.
+
+    A pair qualifies with a score of ``min_score`` (from 1) or three matched columns.
+    """
+    return _scores(matched_columns(files, tables, min_score), min_score)
 
 
 def decision(score: Column) -> Column:
@@ -139,13 +144,14 @@ def decision(score: Column) -> Column:
     return (F.when(score >= EXACT_BAND, "exact").when(score >= MEDIUM_BAND, "medium").otherwise("low"))
 
 
-def ranked_matches(files: DataFrame, tables: DataFrame, top: int | None = None) -> DataFrame:
+def ranked_matches(files: DataFrame, tables: DataFrame, top: int | None = None,
+                   min_score: int = MIN_SCORE) -> DataFrame:
     """Qualifying matches in rank order per file; ties keep table order.
 
     With ``top`` Spark prunes each file's list before the shuffle; the full ranking is
     spread over the scores, so one file that matches very many tables is not one task.
     """
-    scores = match_scores(files, tables)
+    scores = match_scores(files, tables, min_score)
     if top is None:
         # The counts behind the numbering read the scores a second time.
         scores = materialize(scores, "match-scores")
@@ -162,14 +168,14 @@ def ranked_matches(files: DataFrame, tables: DataFrame, top: int | None = None)
         (best & (F.col("score") >= HIGH_CONFIDENCE)).alias("high_confidence"))
 
 
-def unmatched_columns(files: DataFrame, tables: DataFrame) -> DataFrame:
+def unmatched_columns(files: DataFrame, tables: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """Columns of qualifying pairs without a partner, one row each, both sides.
 
     On either side a column counts as matched if a column of that name is matched.
     """
     columns = _keyed(files, tables)
-    hits = materialize(_matched(columns), "match-hits")
-    pairs = _scores(hits).select("tenant_id", "file_id", "table_id")
+    hits = materialize(_matched(columns, min_score), "match-hits")
+    pairs = _scores(hits, min_score).select("tenant_id", "file_id", "table_id")
 
     def side(is_file: bool, owner: str, hit: str, label: str) -> DataFrame:
         own = columns.filter(F.col("is_file") == is_file).select("tenant_id", F.col("dataset_id").alias(owner), "name")

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from silverbrook.functions import coltypes, naming
@@ -34,7 +35,7 @@ def test_infer_json(spark):
                    "e": ("json", True), "f": ("json", False), "g": ("boolean", False), "h": ("bigint", False)}
 
 
-def _brute_force(columns):
+def _brute_force(columns, limit=30):
     """Score every file with every table of its tenant, one pair at a time."""
     files, tables = {}, {}
     for tenant, dataset, ordinal, name, key, category, type_text, layer in columns:
@@ -57,7 +58,7 @@ def _brute_force(columns):
                     soft += 1
         weight = exact + 0.75 * soft + 0.5 * (matched - exact - soft)
         score = int(weight / max(len(mine), len(theirs)) * 100 + 0.5)
-        if score >= 30 or matched >= 3:
+        if score >= limit or matched >= 3:
             out.add((ft, f, t, score, matched, exact, soft))
     return out
 
@@ -82,6 +83,17 @@ def test_matching_finds_exactly_what_all_pairs_would(spark):
     found = {tuple(r) for r in got.select("tenant_id", "file_id", "table_id", "score", "matched", "exact_matches",
                                           "compatible_matches").collect()}
     assert found == expected and len(expected) > 200
+    rows = [tuple(r) for r in keyed.collect()]
+    sizes = set()
+    for limit in (1, 10, 55, 100, 101):
+        got = schema_match.match_scores(columns.filter("layer = 'file'"), columns.filter("layer <> 'file'"), limit)
+        found = {tuple(r) for r in got.select("tenant_id", "file_id", "table_id", "score", "matched", "exact_matches",
+                                              "compatible_matches").collect()}
+        assert found == _brute_force(rows, limit), limit
+        sizes.add(len(found))
+    assert len(sizes) > 3
+    with pytest.raises(ValueError):
+        schema_match.match_scores(columns.filter("layer = 'file'"), columns.filter("layer <> 'file'"), 0)
 
 
 def test_ranking_and_bands(spark):

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from silverbrook.sources.shapes import open_stored
+
+PIECE = 64 << 20  # bytes of a file that are one leaf of its hash tree
+FAN = 1024  # digests below a node, at most
+READ = 1 << 20  # bytes in memory at a time
+PIECES_PER_TASK = 64
+
 
 def _as_text(df: DataFrame, name: str) -> Column:
     column, kind = F.col(f"`{name}`"), df.schema[name].dataType
@@ -89,17 +100,61 @@ def export_tsv(df: DataFrame, path: str) -> str:
     return path
 
 
-def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Checksum and size of every stored file, computed where the files are read.
+def _ranges(large: DataFrame, n_pieces: int, piece: int) -> DataFrame:
+    """(path, n_bytes, width, i, digest): SHA-256 of every piece; a file has ``width`` of them, read by different tasks."""
+    spark = large.sparkSession
+    tasks = max(min(n_pieces, 4 * spark.sparkContext.defaultParallelism), n_pieces // PIECES_PER_TASK)
+    pieces = large.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)))
 
-    One file is one task-local value, so this suits files up to Spark's binary limit (2 GB).
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, i in zip(batch.column("path").to_pylist(), batch.column("i").to_pylist(), strict=True):
+                sha, left = hashlib.sha256(), piece
+                with open_stored(path) as file:
+                    file.seek(i * piece)
+                    while left and (data := file.read(min(left, READ))):
+                        sha.update(data)
+                        left -= len(data)
+                out.append(sha.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "digest"])
+
+    # The number is given, or adaptive execution would put these few bytes of work orders into one task.
+    return pieces.repartition(tasks, "path", "i").mapInArrow(
+        digests, "path string, n_bytes long, width long, i long, digest string")
+
+
+def _roots(tree: DataFrame, width: int, fan: int) -> DataFrame:
+    """(path, n_bytes, sha256): level by level, up to ``fan`` digests of a file are put together."""
+    while width > 1:
+        below = F.transform(F.array_sort(F.collect_list(F.struct("i", "digest"))), lambda x: x["digest"])
+        tree = tree.groupBy("path", "n_bytes", "width", F.floor(F.col("i") / fan).alias("up")).agg(below.alias("below")).select(
+            "path", "n_bytes", F.ceil(F.col("width") / fan).alias("width"), F.col("up").alias("i"),
+            F.when(F.col("width") > 1, F.sha2(F.array_join("below", ""), 256)).otherwise(F.get("below", F.lit(0))).alias("digest"))
+        width = -(-width // fan)
+    return tree.select("path", "n_bytes", F.col("digest").alias("sha256"))
+
+
+def manifest(spark: SparkSession, root: str, pattern: str = "*", piece: int = PIECE, fan: int = FAN) -> DataFrame:
+    """(path, n_bytes, sha256) of every stored file, computed where the files are read.
+
+    Files up to ``piece`` bytes have their SHA-256. Larger ones are read in ranges of so many bytes by many tasks, and
+    have the root of a tree: a leaf is the SHA-256 of one range, a node that of up to ``fan`` hex digests below it in
+    order. A root depends on the file, ``piece`` and ``fan`` only, so manifests are compared under equal parameters.
+    No file is ever one value, and no node gathers more than ``fan`` digests. Large files need a store that
+    ``pyarrow.fs`` can open; small ones are read by Spark, which lists no empty files.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", pattern).load(base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(base)
+    found = files.where(F.col("length") <= piece).select(
+        "path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > piece).select(
+        "path", F.col("length").alias("n_bytes"), F.ceil(F.col("length") / piece).alias("width"))
+    total, widest = large.agg(F.sum("width"), F.max("width")).first()
+    if total:
+        found = found.unionByName(_roots(_ranges(large, total, piece), widest, fan))
     at = F.instr(F.col("path"), base) + len(base) + 1
-    return files.select(F.substr("path", at).alias("path"), F.col("length").alias("n_bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+    return found.withColumn("path", F.substr("path", at))
 
 
 def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def _is_array(head: str) -> bool:
     return head.lstrip("\ufeff \t\r\n").startswith("[")
 
 
-def _open(path: str):
+def open_stored(path: str):
+    """A stored file, or the first file with content of a folder, through the store that its path names."""
     from pyarrow import fs
 
     local = re.sub(r"^file:/+", "/", path)
@@ -57,7 +58,7 @@ def _open(path: str):
 def _look(path: str, fmt: str) -> tuple[str, str | None, str | None]:
     """(kind, shape, error); a shape of null means that the file could not be looked at here."""
     try:
-        with _open(path) as file:
+        with open_stored(path) as file:
             if fmt == "parquet":
                 import pyarrow.parquet as pq
 

@@ -7,8 +7,9 @@ read is at most the value at the list's frontier and at least the value at its f
 candidate's score from above and below. Reading stops once few candidates have an upper bound that reaches the
 k-th lower bound; their scores are then resolved. The best of all blocks are merged by rank.
 
-Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Exactly repeated
-rows count once. Ties go to the smaller id; a score that a long cannot hold counts as the largest or smallest long. Vectors are compared with those of equal dimension. No rows, no result.
+Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Rows equal in id and
+quantised vector travel as one row with their number, but count as so many candidates and queries: a query leaves out
+its own row only, neither its copies nor other rows of its id. Ties go to the smaller id; a score that a long cannot hold counts as the largest or smallest long. Vectors are compared with those of equal dimension. No rows, no result.
 """
 
 from __future__ import annotations
@@ -21,16 +22,24 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 8_192, 512  # rows per block, about
 ENOUGH = 48  # so few possible candidates are resolved at once
 DEPTHS = (4, 6, 8)  # eighths of the lists after which the bounds are looked at
+REPEATS = 65_536  # copies of a row made at once
 EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}  # whole numbers below are exact
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, q): usable vectors with components floor(scale * x), each row once."""
+    """(vec_id, q, n): usable vectors with components floor(scale * x), and the number of equal rows."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False))).select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("q")).distinct()
+        F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("q")).groupBy("vec_id", "q").agg(F.count("*").alias("n"))
+
+
+def _repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Every row as often as its column ``n`` says, which is dropped."""
+    some = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / REPEATS))))
+    left = F.least(F.lit(REPEATS), F.col(n) - F.col("_i") * REPEATS)
+    return some.withColumn("_i", F.explode(F.sequence(F.lit(1), left.cast("int")))).drop("_i", n)
 
 
 class SortedLists:
@@ -38,18 +47,17 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, kind: type):
         n = len(ids)
-        self.ids, self.rows, self.kind = ids, rows, kind
+        self.ids, self.rows, self.kind = ids, rows, kind  # no row of an id twice
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()  # component x rank
         self.values = np.take_along_axis(rows.T, self.order, axis=1).astype(kind)
         self.rank = np.empty(self.order.shape, np.uint16 if n <= 1 << 16 else np.int64)  # component x candidate
         np.put_along_axis(self.rank, self.order, np.arange(n, dtype=self.rank.dtype)[None, :], axis=1)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (vec_id, score) other than ``own``."""
+    def top(self, query: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (position, score) of those ``allowed``."""
         n, sign = len(self.ids), query > 0
         weight = query.astype(self.kind)
         worst = np.where(sign, self.values[:, 0], self.values[:, -1]) * weight
-        allowed = self.ids != own
         known, depth, alive = np.zeros(n), 0, np.flatnonzero(allowed)
         for share in DEPTHS:
             upto = -(-n * share // 8)
@@ -66,7 +74,7 @@ class SortedLists:
             alive = np.flatnonzero(allowed & (above >= floor))
         score = self.rows[alive] @ query
         best = np.lexsort((self.ids[alive], -score))[:k]
-        return [(int(self.ids[alive[i]]), int(score[i])) for i in best]
+        return [(int(alive[i]), int(score[i])) for i in best]
 
 
 def _search(k: int):
@@ -74,26 +82,29 @@ def _search(k: int):
         out = []
         if len(candidates) and len(queries):
             rows, wanted = (np.stack(f["q"].to_list()) for f in (candidates, queries))
-            ids = candidates["vec_id"].to_numpy()
+            ids, copies = candidates["vec_id"].to_numpy(), candidates["n"].to_numpy()
             size = int(np.abs(rows).max(initial=0)) * int(np.abs(wanted).max(initial=0)) * max(1, rows.shape[1])
             kind = next((t for t, limit in EXACT.items() if size < limit), None)
-            if kind:
-                lists = SortedLists(ids, rows, kind)
-                found = (lists.top(q, own, k) for q, own in zip(wanted, queries["vec_id"], strict=True))
-            else:  # doubles could round, so whole numbers without bounds
-                exact = rows.astype(object)
-                found = (sorted(((int(i), int(s)) for i, s in zip(ids, exact.dot(q.astype(object)), strict=True) if i != own),
-                                key=lambda r: (-r[1], r[0]))[:k] for q, own in zip(wanted, queries["vec_id"], strict=True))
-            for query, same, best in zip(queries["vec_id"], queries["same"], found, strict=True):
-                out.extend((query, same, i, max(-(1 << 63), min((1 << 63) - 1, s))) for i, s in best)
-        return pd.DataFrame(out, columns=["query_id", "same", "vec_id", "score"])
+            lists = SortedLists(ids, rows, kind) if kind else None
+            exact = None if kind else rows.astype(object)  # doubles could round, so whole numbers without bounds
+            for q, query, same, asked in zip(wanted, queries["vec_id"], queries["same"], queries["n"], strict=True):
+                mine = copies.copy()
+                for i in np.flatnonzero(ids == query):
+                    mine[i] -= np.array_equal(rows[i], q)
+                if lists:
+                    best = lists.top(q, mine > 0, k)
+                else:
+                    best = sorted(((i, int(s)) for i, s in enumerate(exact.dot(q.astype(object))) if mine[i]),
+                                  key=lambda r: (-r[1], ids[r[0]]))[:k]
+                out.extend((query, same, asked, ids[i], max(-(1 << 63), min((1 << 63) - 1, s)), min(k, mine[i])) for i, s in best)
+        return pd.DataFrame(out, columns=["query_id", "same", "asked", "vec_id", "score", "n"])
 
     return search
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = CANDIDATES,
           queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score) for every query, a row whose id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score) for every query, each row whose id is divisible by ``every``."""
     rows = quantised(vectors).withColumn("dim", F.size("q"))
     rows = rows.withColumn("same", F.xxhash64("vec_id", "q"))
     asked = rows.where(F.col("vec_id") % every == 0)
@@ -104,8 +115,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, candidates: int = CAN
         "b", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     right = asked.withColumn("b", F.pmod(F.xxhash64("same"), F.lit(q_blocks)).cast("int")).withColumn(
         "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    found = left.select(*key, "vec_id", "q").groupBy(*key).cogroup(
-        right.select(*key, "vec_id", "q", "same").groupBy(*key)).applyInPandas(
-        _search(k), "query_id long, same long, vec_id long, score long")
+    found = left.select(*key, "vec_id", "q", "n").groupBy(*key).cogroup(
+        right.select(*key, "vec_id", "q", "same", "n").groupBy(*key)).applyInPandas(
+        _search(k), "query_id long, same long, asked long, vec_id long, score long, n long")
     rank = F.row_number().over(Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = _repeated(found, "n").withColumn("rank", rank).where(F.col("rank") <= k)
+    return _repeated(best.select("query_id", "rank", "vec_id", "score", "asked"), "asked")

@@ -15,10 +15,10 @@ unless their lengths or the parities of their words rule it out. README has the
 
 Crowds. Keys seen in one line only are dropped before rows are carried. The lines of a key are dealt into ``HEADS``
 lanes and each line meets the smallest line of every lane. Where more lines share a key, all lines of one connected
-group need no further links; the others go on with double keys, two segments that they share, in the same way. Lines
-outside the largest group of such a double key meet all lines of other groups there. Lines up to 8 words share two
-segments if they are similar, so this loses nothing; of longer lines a pair that shares one crowded segment only, and
-meets neither a smallest line nor each other elsewhere, is missed.
+group need no further links. The lines of keys that still hold several groups meet by pairs of neighbouring words:
+an edit takes two of them from a line, so similar lines share one of their ``2 e + 1`` rarest, counted among these
+lines. They meet by lanes again, and where a pair still holds several groups, lines outside its largest group meet
+all lines of other groups there. So a link between lines that offer a common segment is never lost to a crowd.
 
 For the comparison a word is one of 2^20 symbols, so that edit distance counts words and long lines stay cheap;
 equality of lines goes by a 64-bit hash of the whole normalised line.
@@ -31,7 +31,7 @@ rows. Other columns, whatever their names, are kept; ``n_lines`` and ``n_removed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silverbrook.llm.common import components, materialize
@@ -144,6 +144,39 @@ def _open(keyed: DataFrame, crowded: DataFrame, group: DataFrame) -> DataFrame:
     return member.join(split, "key", "left_semi")
 
 
+def _lost() -> Column:
+    """The most word pairs of a line that edits allowed take away: two each, or one where the other line is longer."""
+    fives = F.ceil(F.col("words") / 5)
+    return F.greatest(2 * F.floor(F.col("words") / 5), F.col("words") - 3 * fives)
+
+
+def _rarest(lone: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (key, k, words, sketch), the keys one more of a line's rarest word pairs than edits take away; similar lines share one."""
+    h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+    texts = lone.join(known, "k").where("words > 3").select("k", h.alias("h"))
+    pairs = F.zip_with(F.slice("h", 1, F.size("h") - 1), F.slice("h", 2, F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
+    cut = materialize(texts.select("k", F.array_distinct(pairs).alias("pairs")), "line-word-pairs")
+    every = cut.select("k", F.size("pairs").alias("size"), F.explode("pairs").alias("key"))
+    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Pairs that no other line has come first, and need not be carried.
+    line = Window.partitionBy("k")
+    ranked = every.join(often, "key").select(
+        "k", "key", (F.col("size") - F.count("*").over(line)).alias("alone"), F.row_number().over(line.orderBy("n", "key")).alias("place"))
+    return ranked.join(lone, "k").where(F.col("alone") + F.col("place") <= _lost() + 1).select("key", *lone.columns)
+
+
+def _across(left: DataFrame) -> DataFrame:
+    """From rows (key, k, words, sketch, component): the pairs (u, v) of a key that may be similar and are of two components."""
+    main = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"))
+    outside = left.join(main, "key").where("component <> main").select(
+        "key", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
+        F.col("component").alias("other"))
+    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near()).select(
+        F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
+    return more.distinct()
+
+
 def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     """Edges (u, v) between lines that connect what all links found would connect; rows as ``described`` gives them.
 
@@ -157,24 +190,16 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("k")).union(
         shared.join(crowded, "key", "left_semi").select("k")).distinct()
     known = materialize(occurrences.select("k", "norm").join(nodes, "k", "left_semi").groupBy("k").agg(
-        F.max("norm").alias("norm")).select("k", symbols(F.col("norm")).alias("symbols")), "line-known")
+        F.max("norm").alias("norm")).select("k", "norm", symbols(F.col("norm")).alias("symbols")), "line-known")
     found = materialize(_verified(pairs, known), "line-links")
-    open_ = materialize(_open(shared, crowded, components(found)).select("key", "k", "words", "sketch"), "line-open")
-    # Two segments of a line, one of them in an open key, the other shared as well.
-    other = shared.select(F.col("key").alias("second"), "k")
-    double = materialize(open_.join(other, "k").where("key <> second").select(
-        F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "k", "words", "sketch").distinct(), "line-doubles")
-    pairs, crowded = _meetings(double, heads)
+    lone = materialize(_open(shared, crowded, components(found)).select("k", "words", "sketch").distinct(), "line-open")
+    rare = materialize(_rarest(lone, known), "line-rare")
+    pairs, crowded = _meetings(rare, heads)
+    crowded = materialize(crowded, "line-crowds")
     found = found.union(materialize(_verified(pairs, known), "line-links"))
-    left = materialize(_open(double, crowded, components(found)), "line-left")
-    main = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside = left.join(main, "key").where("component <> main").select(
-        "key", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
-        F.col("component").alias("other"))
-    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near()).select(
-        F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
-    return found.union(_verified(more.distinct(), known))
+    left = materialize(_open(rare, crowded, components(found)), "line-left")
+    late = materialize(_across(left), "line-late")
+    return found.union(_verified(late, known))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -165,3 +165,20 @@ def test_edit_similarity_alone(spark):
             print(heads, n, len(pairs), found)
             assert found >= (1 if n <= 8 else 0.9 if heads > 1 else 0) * len(pairs), n
         assert all(group[i] == want[i] for i, (n, _) in enumerate(lines) if n <= 8)
+
+
+def test_crowds_of_one_shared_segment(spark):
+    """Similar lines that have one offered segment in common, which many other lines hold too, are linked."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bases = [[word() for _ in range(40)] for _ in range(25)]
+    lines = [" ".join(x) for base in bases for x in (base, edited(base, 4, rng, word))]
+    rows = ld.described(spark.createDataFrame(list(enumerate(lines)), "k long, norm string"))
+    # One offered segment each: the same for all.
+    frame = rows.selectExpr("k", "norm", "words", "sketch", "array(7L) segments").cache()
+    split = [x.split(" ") for x in lines]
+    near = {(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i])
+            if 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b))}
+    assert len(near) == len(bases)
+    for heads in (1, 4):
+        assert {(r.u, r.v) for r in ld.links(frame, heads).collect()} == near

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from silverbrook.functions.coltypes import type_category
 from silverbrook.functions.naming import web_name
 from silverbrook.operators.ordered import row_numbers
-from silverbrook.session import each, materialize
+from silverbrook.session import each, materialize, together
 
 # Weights of a matched column, and what makes a match worth showing.
 EXACT_WEIGHT, COMPATIBLE_WEIGHT, OTHER_WEIGHT = 1.0, 0.75, 0.5
@@ -57,9 +57,11 @@ def _candidate_pairs(columns: DataFrame, min_score: int) -> DataFrame:
     """Distinct file and table pairs that may qualify, with the width of each side."""
     # Repeated keys inside a file can match one table column several times over, so for
     # such a file the count of distinct shared keys proves nothing and all keys are used.
-    counted = columns.groupBy("tenant_id", "is_file", "dataset_id", "key").agg(F.count(F.lit(1)).alias("copies"))
+    # Hardly any key repeats within a dataset, so a dataset's rows come together before they are counted.
+    whole = ["tenant_id", "is_file", "dataset_id"]
+    counted = together(columns, columns.count(), *whole).groupBy(*whole, "key").agg(F.count(F.lit(1)).alias("copies"))
     frequency = counted.groupBy("tenant_id", "key").agg(F.count(F.lit(1)).alias("freq"))
-    whole = Window.partitionBy("tenant_id", "is_file", "dataset_id")
+    whole = Window.partitionBy(*whole)
     ranked = counted.join(frequency, ["tenant_id", "key"]).select(
         "tenant_id", "is_file", "dataset_id", "key",
         F.count(F.lit(1)).over(whole).alias("n_keys"),
@@ -89,7 +91,7 @@ def _matched(columns: DataFrame, min_score: int) -> DataFrame:
     f = columns.filter("is_file").select(
         "tenant_id", F.col("dataset_id").alias("file_id"), "ordinal", "key", F.col("name").alias("inferred_name"),
         F.col("type").alias("inferred_type"), "category")
-    first = columns.filter("NOT is_file").groupBy("tenant_id", F.col("dataset_id").alias("table_id"), "key").agg(
+    first = together(columns.filter("NOT is_file"), columns.count(), "tenant_id", "dataset_id").groupBy("tenant_id", F.col("dataset_id").alias("table_id"), "key").agg(
         F.min(F.struct("ordinal", "name", "type", "category")).alias("x"))
     partner = first.select(
         "tenant_id", "table_id", "key", F.col("x.name").alias("existing_name"), F.col("x.type").alias("existing_type"),

@@ -87,7 +87,7 @@ SELECT category, count(*) AS n, count(DISTINCT type) AS n_types
 FROM (SELECT type, {CATEGORY_SQL.replace('{t}', 'type')} AS category FROM ({feeds.DATASET_COLUMNS}) AS c) AS k
 GROUP BY 1""")
 def sch_type_category(t: Tables):
-    rows = t.sql(feeds.DATASET_COLUMNS).select("type", coltypes.type_category(F.col("type")).alias("category"))
+    rows = feeds.dataset_columns(t).select("type", coltypes.type_category(F.col("type")).alias("category"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("type").alias("n_types"))
 
 
@@ -132,7 +132,7 @@ q AS (SELECT * FROM w WHERE score >= 30 OR matched >= 3)"""
 
 
 def _files_and_tables(t: Tables):
-    columns = t.sql(feeds.DATASET_COLUMNS)
+    columns = feeds.dataset_columns(t)
     return columns.filter("layer = 'file'"), columns.filter("layer <> 'file'")
 
 

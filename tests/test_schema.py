@@ -122,3 +122,16 @@ def test_name_suggestions(spark):
     assert suggestions(spark, "raw.json", ["widget_id", "ab_id", "gpa", "salary", "payload", "tier"]) == [
         "widgets", "student_performance", "academic_records", "customer_subscriptions", "activity_events"]
     assert suggestions(spark, "test.csv", ["temp"]) == ["tests"]
+
+
+def test_dataset_columns_meet_in_more_tasks_as_they_grow(spark, monkeypatch):
+    from silverbrook import session
+    from silverbrook.plans import feeds
+    from silverbrook.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    got = feeds.dataset_columns(t)
+    sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 40 and max(sizes) < 250
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, t.sql(feeds.DATASET_COLUMNS).collect()))

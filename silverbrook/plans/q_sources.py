@@ -32,19 +32,25 @@ def src_csv(t: Tables):
     return readers.read_csv(t.spark, dropped(messy_orders(t), t, "csv", "csv", **CSV_OPTIONS))
 
 
+def block_bytes(size: int, most: int) -> int:
+    """So that a small file has many blocks, and a large one not many more: 128 KiB, or a hundredth of the largest file, up to ``most``."""
+    return min(most, max(128 * 1024, size // 100))
+
+
 @query("src_csv_split", """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total_price,
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(10)
             ELSE o_orderpriority END AS note FROM {orders}""")
 def src_csv_split(t: Tables):
-    """One file with line breaks and quotes inside quoted cells, read by many tasks."""
+    """Files with line breaks and quotes inside quoted cells, each read by many tasks; one file if the orders are one partition."""
     broken = F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('",\n'))
     rows = t.orders.select(
         F.col("o_orderkey").alias("Order ID"), F.col("o_custkey").alias("Customer ID"), F.col("o_totalprice").alias("Total Price"),
         F.when(F.col("o_orderkey") % 3 == 0, broken).otherwise(F.col("o_orderpriority")).alias("Note"))
-    path = dropped(rows.coalesce(1), t, "split", "csv", ignoreTrailingWhiteSpace=False, **CSV_OPTIONS)
+    path = dropped(rows, t, "split", "csv", ignoreTrailingWhiteSpace=False, **CSV_OPTIONS)
     most = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")  # so that a small file has many blocks
+    limit = int(t.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes(storage.stored_bytes(t.spark, path), limit)))
     try:
         return materialize(readers.read_csv(t.spark, path), "split-rows")
     finally:

@@ -67,3 +67,12 @@ def test_states_of_a_line():
         False, False, True, False, True, False, True, False]
     assert [ends(x, True) for x in ("", "a", 'a"', 'a""', 'a"",', 'a","b', 'a",b', '"')] == [
         True, True, False, True, True, True, False, False]
+
+
+def test_blocks_grow_with_the_files():
+    from silverbrook.plans.q_sources import block_bytes
+
+    assert block_bytes(1 << 20, 128 << 20) == 128 << 10
+    for size in (1 << 28, 1 << 31, 1 << 33):
+        assert size / block_bytes(size, 128 << 20) < 102
+    assert block_bytes(1 << 40, 128 << 20) == 128 << 20

@@ -40,11 +40,12 @@ SIMILARITY = 0.8
 SHORT, MANY = 6, 8
 BETWEEN, LONG = 30, 38  # similar lines under and over this range differ by more words than it has
 HEADS = 16
+BUCKETS = 1 << 18  # that count how rare word pairs are; pairs of one bucket count as equally rare
 _SYMBOL_BITS, _SYMBOL = 0x03FF03FF, 0xD800DC00  # twenty bits of a hash as one UTF-16 surrogate pair
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), r"[^a-z0-9\p{L}\p{N}]+", " "))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -81,20 +82,20 @@ def _segments(h: str) -> Column:
         n > 3, F.array_distinct(F.concat(runs(3, three), runs(2, two)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _toggled(bits: Column, x: Column) -> Column:
+    """``bits`` with the one flipped that the last six bits of ``x`` name."""
+    return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+
+
 def described(lines_of: DataFrame) -> DataFrame:
     """The rows with ``words`` (how many), ``segments`` and ``sketch``.
 
     A sketch has 64 parities, each of the number of words that fall to it. One edit changes two of them at most.
     """
-    one = F.lit(1).cast("long")
-
-    def toggled(bits: Column, x: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))
-
     rest = lines_of.columns
     hashed = lines_of.select(*rest, F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h"))
     return hashed.select(*rest, F.size("h").alias("words"), _segments("h").alias("segments"),
-                         F.aggregate("h", F.lit(0).cast("long"), toggled).alias("sketch"))
+                         F.aggregate("h", F.lit(0).cast("long"), _toggled).alias("sketch"))
 
 
 def symbols(norm: Column) -> Column:
@@ -151,29 +152,47 @@ def _lost() -> Column:
 
 
 def _rarest(lone: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (key, k, words, sketch), the keys one more of a line's rarest word pairs than edits take away; similar lines share one."""
+    """Rows (key, k, words, sketch), the keys one more of a line's rarest word pairs than edits take away; similar lines share one.
+
+    A pair that a line has several times is a first, a second one and so on, and these are keys of their own.
+    """
     h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    texts = lone.join(known, "k").where("words > 3").select("k", h.alias("h"))
     pairs = F.zip_with(F.slice("h", 1, F.size("h") - 1), F.slice("h", 2, F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
-    cut = materialize(texts.select("k", F.array_distinct(pairs).alias("pairs")), "line-word-pairs")
-    every = cut.select("k", F.size("pairs").alias("size"), F.explode("pairs").alias("key"))
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # Pairs that no other line has come first, and need not be carried.
-    line = Window.partitionBy("k")
-    ranked = every.join(often, "key").select(
-        "k", "key", (F.col("size") - F.count("*").over(line)).alias("alone"), F.row_number().over(line.orderBy("n", "key")).alias("place"))
-    return ranked.join(lone, "k").where(F.col("alone") + F.col("place") <= _lost() + 1).select("key", *lone.columns)
+    texts = lone.where("words > 3").join(known, "k").select("k", "words", h.alias("h"))
+    bucket = F.col("pair").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    often = materialize(texts.select(F.explode(pairs).alias("pair")).groupBy(bucket).agg(F.count("*").alias("n")), "line-often")
+    times = texts.repartition("k").select("k", "words", F.explode(pairs).alias("pair")).groupBy("k", "words", "pair").agg(
+        F.count("*").alias("times"))
+    every = times.select("k", "words", bucket, "pair", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    rarity = Window.partitionBy("k").orderBy(F.col("n") / F.col("time"), "pair", "time")
+    first = materialize(every.join(often, "bucket").withColumn("place", F.row_number().over(rarity)).where(
+        F.col("place") <= _lost() + 1).select("k", F.xxhash64("pair", "time").alias("key")), "line-rarest")
+    twice = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return first.join(twice, "key", "left_semi").join(lone, "k").select("key", *lone.columns)
+
+
+def _wide(lone: DataFrame, known: DataFrame) -> DataFrame:
+    """(k, wide): sketches of 256 parities, which still tell long lines apart that have a passage in common."""
+    h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+
+    def part(i: int) -> Column:
+        some = F.filter("h", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == i)
+        return F.aggregate(some, F.lit(0).cast("long"), _toggled)
+
+    return lone.select("k").distinct().join(known, "k").select("k", h.alias("h")).select("k", F.array(*map(part, range(4))).alias("wide"))
 
 
-def _across(left: DataFrame) -> DataFrame:
+def _across(left: DataFrame, known: DataFrame) -> DataFrame:
     """From rows (key, k, words, sketch, component): the pairs (u, v) of a key that may be similar and are of two components."""
+    left = materialize(left.join(_wide(left, known), "k"), "line-wide")
     main = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
     outside = left.join(main, "key").where("component <> main").select(
         "key", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
-        F.col("component").alias("other"))
-    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near()).select(
-        F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
+        F.col("wide").alias("widev"), F.col("component").alias("other"))
+    differ = sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("widev", F.lit(i)))) for i in range(4)), F.lit(0))
+    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near() & (
+        differ <= 2 * _edits(F.greatest("words", "wordsv")))).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
     return more.distinct()
 
 
@@ -182,9 +201,12 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
 
     Only lines of shared keys are looked up again.
     """
-    keyed = occurrences.select("k", "words", "sketch", F.explode("segments").alias("key"))
-    twice = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "line-twice")
-    shared = materialize(keyed.join(twice, "key", "left_semi").distinct(), "line-keys")
+    keyed = occurrences.select("k", F.explode("segments").alias("key"))
+    # Of several lines: a key that only copies of one line have leads nowhere. Rows are carried without their lines.
+    twice = materialize(keyed.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("key"), "line-twice")
+    met = materialize(keyed.join(twice, "key", "left_semi").distinct(), "line-keys")
+    shared = materialize(met.join(occurrences.groupBy("k").agg(F.max("words").alias("words"), F.max("sketch").alias("sketch")), "k").select(
+        "key", "k", "words", "sketch"), "line-shared")
     pairs, crowded = _meetings(shared, heads)
     pairs, crowded = materialize(pairs, "line-pairs"), materialize(crowded, "line-crowds")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("k")).union(
@@ -198,7 +220,7 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     crowded = materialize(crowded, "line-crowds")
     found = found.union(materialize(_verified(pairs, known), "line-links"))
     left = materialize(_open(rare, crowded, components(found)), "line-left")
-    late = materialize(_across(left), "line-late")
+    late = materialize(_across(left, known), "line-late")
     return found.union(_verified(late, known))
 
 

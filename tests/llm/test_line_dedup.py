@@ -182,3 +182,21 @@ def test_crowds_of_one_shared_segment(spark):
     assert len(near) == len(bases)
     for heads in (1, 4):
         assert {(r.u, r.v) for r in ld.links(frame, heads).collect()} == near
+
+
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """Lines two thirds of which are one passage, or one word again and again, are not compared as all pairs; no link is lost."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(40)]
+    lines = [[*(passage if i % 2 else ["the"] * 40), *(word() for _ in range(20))] for i in range(80)]
+    lines += [edited(x, 4, rng, word) for x in lines[:6]]
+    rows = ld.described(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "k long, norm string"))
+    frame = rows.selectExpr("k", "norm", "words", "sketch", "array(7L) segments").cache()
+    near = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i])
+            if 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b))}
+    assert len(near) == 6
+    rest, keep = [], ld.materialize
+    monkeypatch.setattr(ld, "materialize", lambda df, label: (rest.append(df.count()) if label == "line-late" else None, keep(df, label))[1])
+    assert {(r.u, r.v) for r in ld.links(frame, 4).collect()} == near
+    assert rest and sum(rest) <= len(lines)

@@ -17,6 +17,8 @@ from __future__ import annotations
 import random
 import struct
 import zlib
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -53,7 +55,9 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordPieces(dict):
-    """Token ids of words as little-endian bytes, emptied at ``limit`` words.
+    """Token ids of words as little-endian bytes, at most about ``limit`` words.
+
+    At half of that the words become the older ones, which are forgotten at the next time unless they occur again.
 
     A text's ids are those of its words in order, and a word is tokenised once. Lower-case Latin words go straight
     to the merges, since normalising and splitting leave them as they are; a full stop or comma after one is a token
@@ -65,6 +69,7 @@ class WordPieces(dict):
 
     def __init__(self, tokenizer, limit: int = 900_000):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer, self.limit, self.merge = tokenizer, limit, tokenizer.model.tokenize
         self.spelling = _byte_letters()
         (self.bar,) = tokenizer.encode("|", add_special_tokens=False).ids
@@ -106,12 +111,15 @@ class WordPieces(dict):
                 start = stop + 1
 
     def of(self, words: list[bytes]) -> bytes:
-        missing = {w for w in words if w not in self}
+        missing = set(filterfalse(self.__contains__, words))
         if missing:
-            if len(self) > self.limit:
+            if 2 * len(self) > self.limit:
+                self.older = dict(self)
                 self.clear()
                 missing = set(words)
-            self.learn(list(missing))
+            again = missing & self.older.keys() if self.older else set()
+            self.update((w, self.older[w]) for w in again)
+            self.learn(list(missing - again))
         return b"".join(map(self.__getitem__, words))
 
 
@@ -124,12 +132,18 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def word_pieces(path: str) -> WordPieces:
+    """The memo of this Python worker, which its tasks fill and use one after another."""
+    return WordPieces(load_tokenizer(path))
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document with its closing id, cut only where too long."""
     closing = np.array([end], "<u4").tobytes()
 
     def cut(batches):
-        memo = WordPieces(load_tokenizer(tokenizer_path))
+        memo = word_pieces(tokenizer_path)
         for batch in batches:
             rows = []
             for doc, text in rows_of([batch], "doc_id", "text"):

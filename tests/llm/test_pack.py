@@ -83,3 +83,17 @@ def test_islands_and_odd_rows(spark, docs_of):
         r.length for r in same if r.offset == 0), sum(r.length for r in same if r.offset < max(x.offset for x in same))]
     assert pk.pack(docs_of([]), FILE).collect() == []
     assert [r.n_ids for r in pk.sequences(pk.pack(docs_of([(1, "a b c")]), FILE)).collect()] == [4]
+
+
+def test_words_are_learnt_once_a_worker():
+    assert pk.word_pieces(FILE) is pk.word_pieces(FILE)
+    memo, learnt = pk.WordPieces(pk.load_tokenizer(FILE), limit=8), []
+    learn = memo.learn
+    memo.learn = lambda words: (learnt.extend(words), learn(words))
+    words = [b"one", b"two", b"three", b"four", b"five", b"two", b"six"]
+    for some in (words[:5], words[5:], words[5:6], words[:1]):
+        assert np.frombuffer(memo.of(some), "<u4").tolist() == plain_ids(b" ".join(some).decode())[:-1]
+    assert sorted(learnt) == sorted(set(words))  # a full memo forgets no word that is still in use
+    for i in range(60):
+        memo.of([b"w%d" % i])
+        assert len(memo) + len(memo.older) <= 12

@@ -16,8 +16,8 @@ unless their lengths or the parities of their words rule it out. README has the
 Crowds. Keys seen in one line only are dropped before rows are carried. The lines of a key are dealt into ``HEADS``
 lanes and each line meets the smallest line of every lane. Where more lines share a key, all lines of one connected
 group need no further links. The lines of keys that still hold several groups meet by pairs of neighbouring words:
-an edit takes two of them from a line, so similar lines share one of their ``2 e + 1`` rarest, counted among these
-lines. They meet by lanes again, and where a pair still holds several groups, lines outside its largest group meet
+an edit takes two of them from a line, so similar lines share one of their ``2 e + 1`` rarest, counted in buckets among these
+lines; a pair that a line repeats counts as a first, a second one and so on. They meet by lanes again, and where a pair still holds several groups, lines outside its largest group meet
 all lines of other groups there. So a link between lines that offer a common segment is never lost to a crowd.
 
 For the comparison a word is one of 2^20 symbols, so that edit distance counts words and long lines stay cheap;

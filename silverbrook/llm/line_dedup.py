@@ -161,11 +161,11 @@ def _rarest(lone: DataFrame, known: DataFrame) -> DataFrame:
     texts = lone.where("words > 3").join(known, "k").select("k", "words", h.alias("h"))
     bucket = F.col("pair").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
     often = materialize(texts.select(F.explode(pairs).alias("pair")).groupBy(bucket).agg(F.count("*").alias("n")), "line-often")
-    times = texts.repartition("k").select("k", "words", F.explode(pairs).alias("pair")).groupBy("k", "words", "pair").agg(
-        F.count("*").alias("times"))
+    # From the join on, the pairs of a line stay in its task: nothing but the counts, at most BUCKETS rows, is sent to them.
+    times = texts.select("k", "words", F.explode(pairs).alias("pair")).groupBy("k", "words", "pair").agg(F.count("*").alias("times"))
     every = times.select("k", "words", bucket, "pair", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
     rarity = Window.partitionBy("k").orderBy(F.col("n") / F.col("time"), "pair", "time")
-    first = materialize(every.join(often, "bucket").withColumn("place", F.row_number().over(rarity)).where(
+    first = materialize(every.join(F.broadcast(often), "bucket").withColumn("place", F.row_number().over(rarity)).where(
         F.col("place") <= _lost() + 1).select("k", F.xxhash64("pair", "time").alias("key")), "line-rarest")
     twice = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return first.join(twice, "key", "left_semi").join(lone, "k").select("key", *lone.columns)

@@ -200,3 +200,22 @@ def test_lines_with_a_common_passage(spark, monkeypatch):
     monkeypatch.setattr(ld, "materialize", lambda df, label: (rest.append(df.count()) if label == "line-late" else None, keep(df, label))[1])
     assert {(r.u, r.v) for r in ld.links(frame, 4).collect()} == near
     assert rest and sum(rest) <= len(lines)
+
+
+def test_word_pairs_are_not_shuffled(spark, monkeypatch):
+    """The word pairs of crowded lines get their counts and places where the lines are; only lines and counts move."""
+    rng = random.Random(10)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(30)]
+    rows = ld.described(spark.createDataFrame(list(enumerate(lines)), "k long, norm string"))
+    frame = rows.selectExpr("k", "norm", "words", "sketch", "array(7L) segments").cache()
+    plans, keep = {}, ld.materialize
+    monkeypatch.setattr(ld, "materialize", lambda df, label: (
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), keep(df, label))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ld.links(frame, 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above = plans["line-rarest"].split("Generate explode", 1)[0]
+    assert "Window" in above and "hashpartitioning" not in above

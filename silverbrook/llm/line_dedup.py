@@ -15,7 +15,8 @@ unless their lengths or the parities of their words rule it out. README has the
 
 Crowds. Keys seen in one line only are dropped before rows are carried. The lines of a key are dealt into ``HEADS``
 lanes and each line meets the smallest line of every lane. Where more lines share a key, all lines of one connected
-group need no further links. The lines of keys that still hold several groups meet by pairs of neighbouring words:
+group need no further links. Keys that still hold several groups are dealt by the lengths of their lines, and where ``HEADS`` squared
+lines or fewer are left together, lines of different groups all meet. The others meet by pairs of neighbouring words:
 an edit takes two of them from a line, so similar lines share one of their ``2 e + 1`` rarest, counted in buckets among these
 lines; a pair that a line repeats counts as a first, a second one and so on. They meet by lanes again, and where a pair still holds several groups, lines outside its largest group meet
 all lines of other groups there. So a link between lines that offer a common segment is never lost to a crowd.
@@ -31,6 +32,8 @@ rows. Other columns, whatever their names, are kept; ``n_lines`` and ``n_removed
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +114,17 @@ def _edits(longest: Column) -> Column:
 
 def _near() -> Column:
     """Whether words and sketches of two lines, the second with a v, allow for similar lines."""
+    more = F.abs(F.col("words") - F.col("wordsv"))
     edits = _edits(F.greatest("words", "wordsv"))
-    return (F.abs(F.col("words") - F.col("wordsv")) <= edits) & (
-        F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketchv"))) <= 2 * edits)
+    return (more <= edits) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketchv"))) <= _parities())
+
+
+def _parities() -> Column:
+    """The most parities in which two similar lines differ.
+
+    A word replaced changes two, a word more or less one; each word that one line is longer takes an edit of the second kind.
+    """
+    return 2 * _edits(F.greatest("words", "wordsv")) - F.abs(F.col("words") - F.col("wordsv"))
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -126,12 +137,17 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _meetings(keyed: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
-    """From distinct rows (key, k, words, sketch): pairs (u, v) that may be similar, and the keys not all of whose pairs met."""
+    """From distinct rows (key, k, words, sketch): pairs (u, v) that may be similar, and the keys not all of whose pairs met.
+
+    With a column component, lines of one component need not meet.
+    """
+    apart = "component" if "component" in keyed.columns else "k"
     lane = F.pmod(F.xxhash64("k", F.lit(heads)), F.lit(heads))
     first = keyed.groupBy("key", lane.alias("lane")).agg(
-        F.min("k").alias("v"), F.min_by("words", "k").alias("wordsv"), F.min_by("sketch", "k").alias("sketchv"), F.count("*").alias("n"))
-    pairs = keyed.join(first.select("key", "v", "wordsv", "sketchv"), "key").where(
-        (F.col("k") != F.col("v")) & _near()).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
+        F.min("k").alias("v"), F.min_by("words", "k").alias("wordsv"), F.min_by("sketch", "k").alias("sketchv"),
+        F.min_by(apart, "k").alias("other"), F.count("*").alias("n"))
+    pairs = keyed.join(first.select("key", "v", "wordsv", "sketchv", "other"), "key").where(
+        (F.col(apart) != F.col("other")) & _near()).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
     crowded = first.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("lanes")).where("n > lanes + 1")
     return pairs.distinct(), crowded.select("key")
 
@@ -139,8 +155,8 @@ def _meetings(keyed: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
 def _open(keyed: DataFrame, crowded: DataFrame, group: DataFrame) -> DataFrame:
     """The rows of crowded keys that hold more than one component, with it."""
     rows = keyed.join(crowded, "key", "left_semi")
-    member = rows.join(group, rows.k == group.node, "left").select(
-        *keyed.columns, F.coalesce("component", "k").alias("component"))
+    member = rows.drop("component").join(group, F.col("k") == F.col("node"), "left").select(
+        "key", "k", "words", "sketch", F.coalesce("component", "k").alias("component"))
     split = member.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     return member.join(split, "key", "left_semi")
 
@@ -152,47 +168,69 @@ def _lost() -> Column:
 
 
 def _rarest(lone: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (key, k, words, sketch), the keys one more of a line's rarest word pairs than edits take away; similar lines share one.
+    """Rows (key, k, words, sketch, component), the keys one more of a line's rarest word pairs than edits take away; similar lines share one.
 
-    A pair that a line has several times is a first, a second one and so on, and these are keys of their own.
+    A pair that a line has several times is a first, a second one and so on, and these are keys of their own. Keys of one component are left out.
     """
     h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
     pairs = F.zip_with(F.slice("h", 1, F.size("h") - 1), F.slice("h", 2, F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
-    texts = lone.where("words > 3").join(known, "k").select("k", "words", h.alias("h"))
+    # Merged, so that the pairs are where all of their line's are: a broadcast would leave that to a shuffle of pairs.
+    texts = lone.where("words > 3").hint("merge").join(known, "k").select("k", "words", "component", h.alias("h"))
     bucket = F.col("pair").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
     often = materialize(texts.select(F.explode(pairs).alias("pair")).groupBy(bucket).agg(F.count("*").alias("n")), "line-often")
     # From the join on, the pairs of a line stay in its task: nothing but the counts, at most BUCKETS rows, is sent to them.
-    times = texts.select("k", "words", F.explode(pairs).alias("pair")).groupBy("k", "words", "pair").agg(F.count("*").alias("times"))
-    every = times.select("k", "words", bucket, "pair", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    times = texts.select("k", "words", "component", F.explode(pairs).alias("pair")).groupBy("k", "words", "component", "pair").agg(
+        F.count("*").alias("times"))
+    every = times.select("k", "words", "component", bucket, "pair", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
     rarity = Window.partitionBy("k").orderBy(F.col("n") / F.col("time"), "pair", "time")
     first = materialize(every.join(F.broadcast(often), "bucket").withColumn("place", F.row_number().over(rarity)).where(
-        F.col("place") <= _lost() + 1).select("k", F.xxhash64("pair", "time").alias("key")), "line-rarest")
-    twice = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return first.join(twice, "key", "left_semi").join(lone, "k").select("key", *lone.columns)
+        F.col("place") <= _lost() + 1).select("k", "component", F.xxhash64("pair", "time").alias("key")), "line-rarest")
+    split = first.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    return first.drop("component").join(split, "key", "left_semi").join(lone, "k").select("key", *lone.columns)
 
 
-def _wide(lone: DataFrame, known: DataFrame) -> DataFrame:
-    """(k, wide): sketches of 256 parities, which still tell long lines apart that have a passage in common."""
-    h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-
+def _wide() -> Column:
+    """Sketches of 256 parities from the words' hashes ``h``, which still tell long lines apart that have a passage in common."""
     def part(i: int) -> Column:
         some = F.filter("h", lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(3)) == i)
         return F.aggregate(some, F.lit(0).cast("long"), _toggled)
 
-    return lone.select("k").distinct().join(known, "k").select("k", h.alias("h")).select("k", F.array(*map(part, range(4))).alias("wide"))
+    return F.array(*map(part, range(4)))
+
+
+def _differ() -> Column:
+    """In how many of the 256 parities two lines differ, the second with a v."""
+    return sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("widev", F.lit(i)))) for i in range(4)), F.lit(0))
+
+
+def _close(open_rows: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """From rows (key, k, words, sketch, component): pairs (u, v) that may be similar, and the lines left to meet.
+
+    A key is dealt by the lengths of its lines, each line to its own length and to the next, so similar lines stay together. Up
+    to ``most`` lines meet as they are; the rest is left.
+    """
+    length = F.floor(F.log("words") / math.log(1 / SIMILARITY) + 1e-9)
+    dealt = materialize(open_rows.join(known.select("k", "wide"), "k").select("*", F.explode(F.array(length, length + 1)).alias("length")).select(
+        F.xxhash64("key", "length").alias("part"), "k", "words", "sketch", "wide", "component"), "line-parts")
+    parts = dealt.groupBy("part").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
+    few = materialize(dealt.join(parts.where(F.col("n") <= most).select("part"), "part", "left_semi"), "line-few")
+    others = few.select("part", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
+                        F.col("wide").alias("widev"), F.col("component").alias("other"))
+    pairs = few.join(others, "part").where((F.col("k") > F.col("v")) & (F.col("component") != F.col("other")) & _near() & (
+        _differ() <= _parities())).select(F.col("k").alias("u"), "v")
+    many = dealt.join(parts.where(F.col("n") > most).select("part"), "part", "left_semi")
+    return pairs.distinct(), many.select("k", "words", "sketch").distinct()
 
 
 def _across(left: DataFrame, known: DataFrame) -> DataFrame:
     """From rows (key, k, words, sketch, component): the pairs (u, v) of a key that may be similar and are of two components."""
-    left = materialize(left.join(_wide(left, known), "k"), "line-wide")
+    left = materialize(left.join(known.select("k", "wide"), "k"), "line-wide")
     main = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
     outside = left.join(main, "key").where("component <> main").select(
         "key", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
         F.col("wide").alias("widev"), F.col("component").alias("other"))
-    differ = sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("widev", F.lit(i)))) for i in range(4)), F.lit(0))
-    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near() & (
-        differ <= 2 * _edits(F.greatest("words", "wordsv")))).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
+    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near() & (_differ() <= _parities())).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
     return more.distinct()
 
 
@@ -212,12 +250,17 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("k")).union(
         shared.join(crowded, "key", "left_semi").select("k")).distinct()
     known = materialize(occurrences.select("k", "norm").join(nodes, "k", "left_semi").groupBy("k").agg(
-        F.max("norm").alias("norm")).select("k", "norm", symbols(F.col("norm")).alias("symbols")), "line-known")
+        F.max("norm").alias("norm")).select("k", "norm", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).select(
+        "k", "norm", symbols(F.col("norm")).alias("symbols"), _wide().alias("wide")), "line-known")
     found = materialize(_verified(pairs, known), "line-links")
-    lone = materialize(_open(shared, crowded, components(found)).select("k", "words", "sketch").distinct(), "line-open")
+    pairs, lone = _close(_open(shared, crowded, components(found)), known, heads * heads)
+    pairs, lone = materialize(pairs, "line-pairs"), materialize(lone, "line-open")
+    found = found.union(materialize(_verified(pairs, known), "line-links"))
+    group = components(found)
+    lone = lone.join(group, F.col("k") == F.col("node"), "left").select("k", "words", "sketch", F.coalesce("component", "k").alias("component"))
     rare = materialize(_rarest(lone, known), "line-rare")
     pairs, crowded = _meetings(rare, heads)
-    crowded = materialize(crowded, "line-crowds")
+    pairs, crowded = materialize(pairs, "line-pairs"), materialize(crowded, "line-crowds")
     found = found.union(materialize(_verified(pairs, known), "line-links"))
     left = materialize(_open(rare, crowded, components(found)), "line-left")
     late = materialize(_across(left, known), "line-late")

@@ -1,7 +1,10 @@
 import random
+import time
 
 import xxhash
+from pyspark.sql import functions as F
 
+from silverbrook.llm import common
 from silverbrook.llm import line_dedup as ld
 from silverbrook.llm.queries import QUERIES
 
@@ -219,3 +222,58 @@ def test_word_pairs_are_not_shuffled(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     above = plans["line-rarest"].split("Generate explode", 1)[0]
     assert "Window" in above and "hashpartitioning" not in above
+
+
+def test_small_crowds_meet_as_they_are(spark, monkeypatch):
+    """Lines of a key that has fewer than heads squared of about one length need no word pairs; no link is lost."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    bases = [[word() for _ in range(n)] for n in (4, 5, 9, 10, 20, 24, 25, 30, 40, 50, 60, 100) for _ in range(5)]
+    lines = [" ".join(x) for base in bases for x in (base, edited(base, len(base) // 5, rng, word))]
+    lines += [" ".join(base[:-(len(base) // 5)]) for base in bases if len(base) % 5 == 0]
+    lines = sorted(set(lines))
+    rows = ld.described(spark.createDataFrame(list(enumerate(lines)), "k long, norm string"))
+    frame = rows.selectExpr("k", "norm", "words", "sketch", "array(7L) segments").cache()
+    split = [x.split(" ") for x in lines]
+    near = {(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i])
+            if 5 * abs(len(a) - len(b)) <= max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b))}
+    rest, keep = [], ld.materialize
+    monkeypatch.setattr(ld, "materialize", lambda df, label: (rest.append(df.count()) if label == "line-open" else None, keep(df, label))[1])
+    got = {(r.u, r.v) for r in ld.links(frame).collect()}
+    assert got <= near and joined(got, len(lines)) == joined(near, len(lines))
+    assert rest == [0]
+
+
+def test_lines_of_one_group_do_not_meet_again(spark):
+    """Rows of a component that is known already give no pairs, those of others do."""
+    rows = [(1, k, 20, 0, 1 if k < 9 else 9) for k in range(1, 10)]
+    frame = spark.createDataFrame(rows, "key long, k long, words int, sketch long, component long")
+    assert {(r.u, r.v) for r in ld._meetings(frame, 500)[0].collect()} == {(9, k) for k in range(1, 9)}
+    assert ld._meetings(frame.drop("component"), 500)[0].count() == 36
+
+
+def test_a_longer_line_has_fewer_parities_to_differ_in(spark):
+    """Eight words taken off and four replaced are twelve edits, though only sixteen words differ."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    taken, both = base[:32], base[:28] + [f"x{i}" for i in range(4)]
+    frame = ld.described(spark.createDataFrame([(0, " ".join(base)), (1, " ".join(taken)), (2, " ".join(both))], "k long, norm string"))
+    other = frame.selectExpr("k v", "words wordsv", "sketch sketchv")
+    assert {(r.k, r.v) for r in frame.join(other, frame.k < other.v).where(ld._near()).collect()} == {(0, 1), (1, 2)}
+    for _ in range(20):
+        line = [f"w{rng.randrange(30)}" for _ in range(40)]
+        pair = ld.described(spark.createDataFrame([(0, " ".join(line)), (1, " ".join(edited(line, 8, rng, lambda: "y")))], "k long, norm string"))
+        assert pair.where("k = 0").crossJoin(pair.where("k = 1").selectExpr("words wordsv", "sketch sketchv")).where(ld._near()).count() == 1
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    """A stored step leaves no shuffle files behind, and the session's setting is as before."""
+    blocks = lambda: [b for b in map(str, spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split(" "))
+                      if b.startswith("shuffle_")]
+    before, had = spark.conf.get(common.SHUFFLE_CLEANUP), set(blocks())
+    stored = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup")
+    deadline = time.time() + 20
+    while set(blocks()) - had and time.time() < deadline:
+        time.sleep(0.2)
+    assert not set(blocks()) - had and spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    assert stored.count() == 7

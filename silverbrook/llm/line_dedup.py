@@ -43,6 +43,7 @@ SIMILARITY = 0.8
 SHORT, MANY = 6, 8
 BETWEEN, LONG = 30, 38  # similar lines under and over this range differ by more words than it has
 HEADS = 16
+KEYS = 32  # of a line that are carried to meet each other line once; lines of more meet under each of them
 BUCKETS = 1 << 18  # that count how rare word pairs are; pairs of one bucket count as equally rare
 _SYMBOL_BITS, _SYMBOL = 0x03FF03FF, 0xD800DC00  # twenty bits of a hash as one UTF-16 surrogate pair
 
@@ -172,7 +173,7 @@ def _rarest(lone: DataFrame, known: DataFrame) -> DataFrame:
 
     A pair that a line has several times is a first, a second one and so on, and these are keys of their own. Keys of one component are left out.
     """
-    h = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+    h = F.transform(F.split("symbols", ""), lambda w: F.xxhash64(w))
     pairs = F.zip_with(F.slice("h", 1, F.size("h") - 1), F.slice("h", 2, F.size("h") - 1), lambda x, y: F.xxhash64(x, y))
     # Merged, so that the pairs are where all of their line's are: a broadcast would leave that to a shuffle of pairs.
     texts = lone.where("words > 3").hint("merge").join(known, "k").select("k", "words", "component", h.alias("h"))
@@ -224,14 +225,18 @@ def _close(open_rows: DataFrame, known: DataFrame, most: int) -> tuple[DataFrame
 
 def _across(left: DataFrame, known: DataFrame) -> DataFrame:
     """From rows (key, k, words, sketch, component): the pairs (u, v) of a key that may be similar and are of two components."""
-    left = materialize(left.join(known.select("k", "wide"), "k"), "line-wide")
+    # A pair meets once, under the smallest key that its lines share; long lists of keys are not carried, their lines meet under each.
+    keys = left.groupBy("k").agg(F.count("*").alias("n"), F.collect_list("key").alias("keys")).select(
+        "k", F.when(F.col("n") <= KEYS, F.col("keys")).alias("keys"))
+    left = materialize(left.join(keys, "k").join(known.select("k", "wide"), "k"), "line-wide")
     main = left.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"))
     outside = left.join(main, "key").where("component <> main").select(
         "key", F.col("k").alias("v"), F.col("words").alias("wordsv"), F.col("sketch").alias("sketchv"),
-        F.col("wide").alias("widev"), F.col("component").alias("other"))
-    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near() & (_differ() <= _parities())).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
-    return more.distinct()
+        F.col("wide").alias("widev"), F.col("keys").alias("keysv"), F.col("component").alias("other"))
+    once = F.coalesce(F.array_min(F.array_intersect("keys", "keysv")) == F.col("key"), F.lit(True))
+    more = left.join(outside, "key").where((F.col("component") != F.col("other")) & _near() & (_differ() <= _parities()) & once).select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v"))
+    return more
 
 
 def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
@@ -242,7 +247,7 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     keyed = occurrences.select("k", F.explode("segments").alias("key"))
     # Of several lines: a key that only copies of one line have leads nowhere. Rows are carried without their lines.
     twice = materialize(keyed.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("key"), "line-twice")
-    met = materialize(keyed.join(twice, "key", "left_semi").distinct(), "line-keys")
+    met = keyed.join(twice, "key", "left_semi").distinct()
     shared = materialize(met.join(occurrences.groupBy("k").agg(F.max("words").alias("words"), F.max("sketch").alias("sketch")), "k").select(
         "key", "k", "words", "sketch"), "line-shared")
     pairs, crowded = _meetings(shared, heads)
@@ -251,7 +256,7 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
         shared.join(crowded, "key", "left_semi").select("k")).distinct()
     known = materialize(occurrences.select("k", "norm").join(nodes, "k", "left_semi").groupBy("k").agg(
         F.max("norm").alias("norm")).select("k", "norm", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).select(
-        "k", "norm", symbols(F.col("norm")).alias("symbols"), _wide().alias("wide")), "line-known")
+        "k", symbols(F.col("norm")).alias("symbols"), _wide().alias("wide")), "line-known")
     found = materialize(_verified(pairs, known), "line-links")
     pairs, lone = _close(_open(shared, crowded, components(found)), known, heads * heads)
     pairs, lone = materialize(pairs, "line-pairs"), materialize(lone, "line-open")
@@ -263,7 +268,7 @@ def links(occurrences: DataFrame, heads: int = HEADS) -> DataFrame:
     pairs, crowded = materialize(pairs, "line-pairs"), materialize(crowded, "line-crowds")
     found = found.union(materialize(_verified(pairs, known), "line-links"))
     left = materialize(_open(rare, crowded, components(found)), "line-left")
-    late = materialize(_across(left, known), "line-late")
+    late = materialize(_across(left, known).distinct(), "line-late")
     return found.union(_verified(late, known))
 
 

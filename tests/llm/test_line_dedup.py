@@ -277,3 +277,15 @@ def test_shuffle_files_go_with_the_step(spark):
         time.sleep(0.2)
     assert not set(blocks()) - had and spark.conf.get(common.SHUFFLE_CLEANUP) == before
     assert stored.count() == 7
+
+
+def test_a_pair_meets_once_in_the_last_step(spark, monkeypatch):
+    """Lines that share several keys give one row, not one per key; more keys than are carried lose nothing."""
+    rows = [(key, k, 20, 0, k) for k in range(6) for key in range(5)]
+    left = spark.createDataFrame(rows, "key long, k long, words int, sketch long, component long")
+    known = spark.range(6).selectExpr("id k", "array(0L, 0L, 0L, 0L) wide")
+    want = {(u, v) for u in range(6) for v in range(u)}
+    once = [(r.u, r.v) for r in ld._across(left, known).collect()]
+    assert set(once) == want and len(once) <= 2 * len(want)  # lines outside the main group meet from either side
+    monkeypatch.setattr(ld, "KEYS", 4)
+    assert {(r.u, r.v) for r in ld._across(left, known).collect()} == want
